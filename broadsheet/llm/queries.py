@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import OP7_SQL, op7_mix_sources
+from .packing import op2_pack
 
 QUERIES = {
+    "op2_pack": op2_pack,
     "op7_mix_sources": op7_mix_sources,
 }
 SQL = {
