@@ -51,6 +51,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: an expression that a lambda repeats would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits. Null counts as empty; an empty text has no words."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -58,15 +63,14 @@ def words(text: Column) -> Column:
 
 def shingle_hashes(word_array: Column, width: int = 5) -> Column:
     """64-bit hashes of all runs of ``width`` words, repeats included; a shorter text is one shingle of all its words."""
-    n = F.size(word_array)
-    at = lambda i: F.xxhash64(*[F.get(word_array, i + j) for j in range(width)])
-    return (
-        F.when(n >= width, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), at))
-        .when(n > 0, F.array(F.xxhash64(F.array_join(word_array, " "))))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
-
-
-def fixed_pairs(mapping: dict) -> Column:
-    """A literal map column."""
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        at = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)])
+        return (
+            F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), at))
+            .when(n > 0, F.array(F.xxhash64(F.array_join(w, " "))))
+            .otherwise(F.array().cast("array<bigint>"))
+        )
+
+    return let(word_array, runs)

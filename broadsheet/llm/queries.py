@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .fingerprint import op3_fingerprint
 from .mixing import OP7_SQL, op7_mix_sources
 from .packing import op2_pack
 
 QUERIES = {
     "op2_pack": op2_pack,
+    "op3_fingerprint": op3_fingerprint,
     "op7_mix_sources": op7_mix_sources,
 }
 SQL = {
