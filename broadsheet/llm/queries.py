@@ -5,8 +5,12 @@ from __future__ import annotations
 from .fingerprint import op3_fingerprint
 from .mixing import OP7_SQL, op7_mix_sources
 from .packing import op2_pack
+from .pii import op5_find_personal_data
+from .secrets import op10_find_secrets
 
 QUERIES = {
+    "op10_find_secrets": op10_find_secrets,
+    "op5_find_personal_data": op5_find_personal_data,
     "op2_pack": op2_pack,
     "op3_fingerprint": op3_fingerprint,
     "op7_mix_sources": op7_mix_sources,
