@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprint import op3_fingerprint
+from .language import op6_identify_language
 from .mixing import OP7_SQL, op7_mix_sources
 from .packing import op2_pack
 from .pii import op5_find_personal_data
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_find_personal_data": op5_find_personal_data,
     "op2_pack": op2_pack,
     "op3_fingerprint": op3_fingerprint,
+    "op6_identify_language": op6_identify_language,
     "op7_mix_sources": op7_mix_sources,
 }
 SQL = {
