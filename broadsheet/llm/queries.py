@@ -8,8 +8,10 @@ from .mixing import OP7_SQL, op7_mix_sources
 from .packing import op2_pack
 from .pii import op5_find_personal_data
 from .secrets import op10_find_secrets
+from .toxicity import op4_score_toxicity
 
 QUERIES = {
+    "op4_score_toxicity": op4_score_toxicity,
     "op10_find_secrets": op10_find_secrets,
     "op5_find_personal_data": op5_find_personal_data,
     "op2_pack": op2_pack,
