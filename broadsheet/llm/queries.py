@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprint import op3_fingerprint
 from .language import op6_identify_language
+from .line_templates import OP9_SQL, op9_drop_template_lines
 from .mixing import OP7_SQL, op7_mix_sources
 from .packing import op2_pack
 from .pii import op5_find_personal_data
@@ -11,6 +12,7 @@ from .secrets import op10_find_secrets
 from .toxicity import op4_score_toxicity
 
 QUERIES = {
+    "op9_drop_template_lines": op9_drop_template_lines,
     "op4_score_toxicity": op4_score_toxicity,
     "op10_find_secrets": op10_find_secrets,
     "op5_find_personal_data": op5_find_personal_data,
@@ -20,5 +22,6 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
 }
 SQL = {
+    "op9_drop_template_lines": OP9_SQL,
     "op7_mix_sources": OP7_SQL,
 }
