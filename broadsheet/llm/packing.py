@@ -29,7 +29,7 @@ WINDOW, OPEN_WINDOWS, MIN_CUT, FAN_IN = 4096, 16, 32, 32
 #: Id that ends every document.
 END_ID = 2
 #: Words whose ids one worker keeps; then the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 2_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, left binary"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("part", pa.int32()), ("left", pa.binary())])
@@ -72,18 +72,15 @@ class WordTokenizer:
         cut = []
         for text in texts:
             low = text.lower()
-            if "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and "<|" not in text:
+            if "<|" not in text and (text.isascii() or "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
                 text = low
             cut.append(_MARK.sub(r" \g<0>", text.replace("\n", " ")).split(" "))
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        found: set[str] = set()
-        for one in cut:
-            found.update(one)
-        if new := [w for w in found if w not in self.cache]:
-            self._learn(new)
-        cache = self.cache
-        return [b"".join([cache[w] for w in one]) for one in cut]
+        if new := set().union(*cut).difference(self.cache):
+            self._learn(list(new))
+        known = self.cache.__getitem__
+        return [b"".join(map(known, one)) for one in cut]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -174,13 +171,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
 
         def pieces():
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    some = batch.slice(at, 256)
-                    group = []
-                    for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                        ids += end
-                        group += [(doc_id, i // 4, ids[i : i + 4 * window], len(ids) // 4) for i in range(0, len(ids), 4 * window)]
-                    yield group
+                group = []
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                    ids += end
+                    group += [(doc_id, i // 4, ids[i : i + 4 * window], len(ids) // 4) for i in range(0, len(ids), 4 * window)]
+                yield group
 
         return _packed(pieces(), window, open_windows, min_cut, 0, True)
 
