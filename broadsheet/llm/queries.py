@@ -6,12 +6,14 @@ from .fingerprint import op3_fingerprint
 from .language import op6_identify_language
 from .line_templates import OP9_SQL, op9_drop_template_lines
 from .mixing import OP7_SQL, op7_mix_sources
+from .ngram_join import op1_ngram_jaccard
 from .packing import op2_pack
 from .pii import op5_find_personal_data
 from .secrets import op10_find_secrets
 from .toxicity import op4_score_toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op9_drop_template_lines": op9_drop_template_lines,
     "op4_score_toxicity": op4_score_toxicity,
     "op10_find_secrets": op10_find_secrets,
