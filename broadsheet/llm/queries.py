@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op8_nearest_vectors
 from .fingerprint import op3_fingerprint
 from .language import op6_identify_language
 from .line_templates import OP9_SQL, op9_drop_template_lines
@@ -13,6 +14,7 @@ from .secrets import op10_find_secrets
 from .toxicity import op4_score_toxicity
 
 QUERIES = {
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op9_drop_template_lines": op9_drop_template_lines,
     "op4_score_toxicity": op4_score_toxicity,
