@@ -4,7 +4,8 @@ A line's words that hold a digit are variable fields and read ``<*>``. Lines des
 their first DEPTH words, to a leaf. In a leaf, a template is the line as a whole, or with one of four equal parts of the
 remaining words left open: lines that differ in one part only share that template, so a field of other kind (a name, a
 title) is generalised too, and at least three quarters of the words stay constant. Templates that recur across documents
-are dropped from all but the first document (``keep_first``) or from all.
+are dropped from all but the first document (``keep_first``) or from all. A line that is fields for more than half is its
+own template, word for word, lest rows of numbers pass for boilerplate.
 
 Documents with equal text count as one: a copied document doesn't make its lines boilerplate. A line is a hash at each
 level, counted with partial sums in each task; a leaf or a template that all documents share is never gathered. Only lines
@@ -29,17 +30,18 @@ FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 def _lines(text: Column) -> Column:
     """For each line: n (words), leaf, keys (its templates); null for lines under MIN_WORDS."""
 
-    def hashed(w: Column) -> Column:
+    def hashed(w: Column, line: Column) -> Column:
         n = F.size(w)
         rest = n - DEPTH
         cut = lambda j: F.lit(DEPTH) + F.floor(rest * j / PARTS).cast("int")
         parted = [F.xxhash64(n, F.lit(j), F.slice(w, F.lit(1), cut(j)), F.slice(w, cut(j + 1) + 1, n - cut(j + 1))) for j in range(PARTS)]
         whole = F.xxhash64(n, F.lit(-1), w)
-        keys = F.when(n >= MIN_PARTED, F.array(whole, *parted)).otherwise(F.array(whole))
+        fields = F.size(F.filter(w, lambda x: x == "<*>"))
+        keys = F.when(fields * 2 > n, F.array(F.xxhash64(n, F.lit(-2), line))).when(n >= MIN_PARTED, F.array(whole, *parted)).otherwise(F.array(whole))
         return F.when(n >= MIN_WORDS, F.struct(n.alias("n"), F.xxhash64(n, F.slice(w, 1, DEPTH)).alias("leaf"), keys.alias("keys")))
 
     masked = F.split(F.regexp_replace(text, FIELD, "<*>"), "\n")
-    return F.transform(masked, lambda line: let(F.filter(F.split(line, " "), lambda x: x != ""), hashed))
+    return F.zip_with(masked, F.split(text, "\n"), lambda m, line: let(F.filter(F.split(m, " "), lambda x: x != ""), lambda w: hashed(w, line)))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ tl_words AS (
   SELECT *, list_filter(string_split(regexp_replace(said, '{FIELD}', '<*>', 'g'), ' '), lambda x: x <> '') AS w FROM tl_split),
 tl_lines AS (SELECT *, len(w) AS n FROM tl_words WHERE len(w) >= {MIN_WORDS}),
 tl_keys AS (
-  SELECT doc_id, text, line, n, unnest(CASE WHEN n >= {MIN_PARTED} THEN ['- ' || array_to_string(w, ' '), {parts}] ELSE ['- ' || array_to_string(w, ' ')] END) AS key
+  SELECT doc_id, text, line, n, unnest(CASE WHEN 2 * len(list_filter(w, lambda x: x = '<*>')) > n THEN ['= ' || said] WHEN n >= {MIN_PARTED} THEN ['- ' || array_to_string(w, ' '), {parts}] ELSE ['- ' || array_to_string(w, ' ')] END) AS key
   FROM tl_lines),
 tl_once AS (SELECT key, text, max(n) AS n, min(doc_id) AS doc_id FROM tl_keys GROUP BY key, text),
 tl_counted AS (SELECT key, max(n) AS n, count(*) AS docs, arg_min(text, coalesce(doc_id, 9223372036854775807)) AS keeper FROM tl_once GROUP BY key),
