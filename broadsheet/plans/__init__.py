@@ -1 +1,9 @@
+"""The query catalogue on the driver's tables."""
 
+from __future__ import annotations
+
+from .registry import QUERIES, SQL  # noqa: F401
+
+
+def load() -> None:
+    from . import console  # noqa: F401
