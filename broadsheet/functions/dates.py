@@ -10,6 +10,7 @@ from email.utils import parsedate_to_datetime
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .texts import month_key
 
@@ -80,13 +81,13 @@ def problem(value: str | None) -> str | None:
     return f"date could not be parsed: {text!r}" if text and not MISSING.fullmatch(text) and parse(text) is None else None
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(T.TimestampType())
 def parse_datetime(value: pd.Series) -> pd.Series:
     found = [parse(None if v is None or v != v else v) for v in value]
     return pd.Series(pd.to_datetime(found, utc=True)).astype("datetime64[us, UTC]").dt.tz_localize(None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def date_problem(value: pd.Series) -> pd.Series:
     return pd.Series([problem(None if v is None or v != v else v) for v in value], dtype=object)
 

@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .urls import _mapped, safe_target
 
@@ -139,32 +140,32 @@ def summary(markup: Column, limit: int = 320) -> Column:
     return F.when(F.char_length(plain) <= limit, plain).otherwise(F.concat(F.rtrim(F.substring(plain, 1, limit - 1)), F.lit("…")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_text(text: pd.Series) -> pd.Series:
     return _mapped(clean, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_key(text: pd.Series) -> pd.Series:
     return _mapped(key, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sanitize_error(text: pd.Series) -> pd.Series:
     return _mapped(safe_error, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sanitize_metadata(text: pd.Series) -> pd.Series:
     return _mapped(safe_metadata_json, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def overlay_metadata(old: pd.Series, new: pd.Series) -> pd.Series:
     return _mapped(overlay_json, old, new)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def language(text: pd.Series) -> pd.Series:
     return _mapped(language_tag, text)
 

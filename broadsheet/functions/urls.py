@@ -11,6 +11,7 @@ from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that carry no identity.
 TRACKERS = frozenset(
@@ -178,22 +179,22 @@ def _mapped(function, *columns: pd.Series) -> pd.Series:
     return pd.Series([function(*(None if x is None or x != x else x for x in row)) for row in zip(*columns, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_url(url: pd.Series) -> pd.Series:
     return _mapped(normalize_or_none, url)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return _mapped(resolve, base, link)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_transport_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return _mapped(resolve_transport, base, link)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def url_target(url: pd.Series) -> pd.Series:
     return _mapped(safe_target, url)
 

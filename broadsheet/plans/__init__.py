@@ -6,4 +6,4 @@ from .registry import QUERIES, SQL  # noqa: F401
 
 
 def load() -> None:
-    from . import console  # noqa: F401
+    from . import articles, console  # noqa: F401
