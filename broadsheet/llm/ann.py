@@ -5,7 +5,8 @@ on a bounded sample (SAMPLE vectors, by hash of the vector); every vector is ind
 centroid, its code quantises what the centroid leaves. A query visits the nearest lists, as many as hold TARGET of the true
 neighbours of TUNE sample vectors within the sample. Lists are cut into chunks and each chunk meets the queries that visit it, in blocks: a table of distances between query residual and codewords gives
 asymmetric distances to all codes, and the RERANK nearest of the chunk are measured on the original vectors in double
-precision. The answers of all chunks are merged. Neither lists nor queries are ever gathered in one task.
+precision. The answers of all chunks are merged. Neither a whole list nor all queries are ever gathered in
+one task.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ NEIGHBOURS, SAMPLE, RERANK = 10, 20_000, 200
 TARGET, TUNE = 0.97, 512
 #: Most lists; components that one codebook covers; codewords a codebook.
 LISTS, PART, WORDS = 4096, 4, 64
-#: Entries of a chunk, and queries that meet it at once.
-CHUNK, QUERIES = 4096, 1024
+#: Entries of a chunk, queries that meet it in one task, and at once.
+CHUNK, BLOCK, QUERIES = 4096, 16_384, 1024
 TURNS, SEED = 12, 11
 
 
@@ -145,6 +146,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS
     rows = rows.where(F.size("embedding") == index.dim)
     asked = staged(asked.where(F.size("embedding") == index.dim), "asked")
     distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("q"))
+    blocks = -(-asked.count() // BLOCK)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -170,8 +172,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS
             out = [(q, e, at, c) for q, e, found, all_ in zip(f["q"], f["embedding"], lists, few, strict=True) for at in (chunks if all_ else found) for c in range(chunks.get(at, 0))]
             yield pd.DataFrame(out, columns=["q", "embedding", "list", "chunk"])
 
-    visits = distinct.mapInPandas(visit, "q long, embedding array<double>, list int, chunk int")
-    indexed = indexed.withColumn("chunk", F.pmod(F.xxhash64("key"), F.element_at(chunk_of, F.col("list"))).cast("int"))
+    visits = distinct.mapInPandas(visit, "q long, embedding array<double>, list int, chunk int").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(blocks, 1))).cast("int"))
+    indexed = indexed.withColumn("chunk", F.pmod(F.xxhash64("key"), F.element_at(chunk_of, F.col("list"))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"q": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -193,7 +195,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS
                 out += [(q, vec_id, score) for score, vec_id in found]
         return pd.DataFrame(out, columns=["q", "vec_id", "score"])
 
-    pairs = visits.groupBy("list", "chunk").cogroup(indexed.groupBy("list", "chunk")).applyInPandas(meet, "q long, vec_id long, score double")
+    pairs = visits.groupBy("list", "chunk", "block").cogroup(indexed.groupBy("list", "chunk", "block")).applyInPandas(meet, "q long, vec_id long, score double")
     best = W.partitionBy("q").orderBy("score", "vec_id")
     found = pairs.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= neighbours + 1).select("q", "vec_id", "score")
     asked = asked.join(distinct, "embedding").select("query_id", "q")

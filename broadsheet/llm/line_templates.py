@@ -70,8 +70,8 @@ def drop_recurring_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     found = recurring_lines(docs)
     goes = ~F.col("first") if keep_first else F.lit(True)
     found = found.groupBy("doc_id", "fp").agg(F.count("*").alias("recurring"), F.collect_list(F.when(goes, F.col("line"))).alias("gone"))  # lines of one document
-    d, g = docs.withColumn("_fp", F.xxhash64("text")).alias("d"), found.alias("g")
-    joined = d.join(g, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.col("d._fp") == F.col("g.fp")), "left")
+    d, g = docs.alias("d"), found.alias("g")
+    joined = d.join(g, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.fp")), "left")
     text, lines = F.col("d.text"), F.split(F.col("d.text"), "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("g.gone"), i)), "\n")
     new = F.when(F.size("g.gone") > 0, kept).otherwise(text)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged, table, word_count
+from .common import fresh, staged, table, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -119,10 +119,10 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repea
     fp = F.xxhash64("text")
     rows = mixed_sizes(docs, weights, max_repeats, [fp.alias("fp")])
     times = rows.where("taken > 0").select("doc_id", "source", "fp", (F.col("taken") / F.col("size")).cast("int").alias("times")).groupBy("doc_id", "source", "fp").agg(F.min("times").alias("times"))
-    d, t = docs.withColumn("_fp", fp).alias("d"), times.alias("t")
-    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._fp") == F.col("t.fp"))
+    d, t, number = docs.alias("d"), times.alias("t"), fresh(docs, "pass")
+    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.xxhash64("d.text") == F.col("t.fp"))
     again = F.explode(F.sequence(F.lit(1), F.col("t.times")))
-    return d.join(t, on).select(*[F.col(f"d.`{c}`") for c in docs.columns], again.alias("_pass")).drop("_pass")
+    return d.join(t, on).select(*[F.col(f"d.`{c}`") for c in docs.columns], again.alias(number)).drop(number)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

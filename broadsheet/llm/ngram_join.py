@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, let, shingle_hashes, staged, table, words
+from .common import bounded_batches, fresh, let, shingle_hashes, staged, table, words
 from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -309,10 +309,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without all but the first document of each class; rows that are equal throughout stay once."""
+    """The rows of docs without all but the first document of each class. Rows that are equal in id and text stay once."""
     keep = near_duplicates(docs.select("doc_id", "text"), threshold).where("first").select("doc_id", "text_hash").distinct().alias("k")
-    d = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "_hash"]).alias("d")
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col("d._hash") == F.col("k.text_hash"))
+    name = fresh(docs, "text_hash")
+    d = docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", name]).alias("d")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{name}") == F.col("k.text_hash"))
     return d.join(keep, same, "left_semi").select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 

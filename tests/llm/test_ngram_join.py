@@ -55,11 +55,11 @@ def test_equals_all_pairs(spark, monkeypatch, groups, members, block):
 
 def test_edges(spark):
     rows = [(1, None, 1), (2, "", 1), (3, "one two", 1), (4, "One, two!", 1), (5, "one two three", 1), (5, "other", 1), (None, "one two", 1), (6, "x " * 50_000, 1), (6, "x " * 50_000, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash int")
     found = pytest.rows(ngram_join.near_duplicates(docs), "doc_id", "class_id", "n_links", "first")
     assert found == sorted([(None, 3, 2, False), (1, 1, 0, True), (2, 2, 0, True), (3, 3, 2, True), (4, 3, 2, False), (5, 5, 0, True), (5, 5, 0, True), (6, 6, 1, False), (6, 6, 1, True)], key=lambda r: (r[0] is not None, r[0] or 0, r[3]))
     kept = ngram_join.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and kept.count() == 6
+    assert kept.columns == docs.columns and kept.count() == 6 and {r.text_hash for r in kept.collect()} == {1}
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
