@@ -56,6 +56,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     once = keyed.groupBy("key", "fp").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
     counted = once.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("docs"), F.min_by("fp", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "fp")).alias("keeper"))
     recurring = counted.where(F.col("docs") >= F.when(F.col("n") >= LONG_WORDS, LONG_DOCS).otherwise(MIN_DOCS)).select("key", "keeper")
+    recurring = staged(recurring, "recurring")  # so that both sides of the join are plain shuffles, whose hot keys Spark splits
     return keyed.join(recurring, "key").groupBy("doc_id", "fp", "line").agg(F.bool_and(F.col("keeper") == F.col("fp")).alias("first"))
 
 
