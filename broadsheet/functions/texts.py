@@ -103,6 +103,17 @@ def overlay_json(old: str | None, new: str | None) -> str:
     return json.dumps(merged, sort_keys=True, ensure_ascii=False)
 
 
+def decoded(content: bytes | None, content_type: str | None = None) -> str | None:
+    """Text of a response: by the charset that it states, else UTF-8; what doesn't fit is replaced."""
+    if content is None:
+        return None
+    m = re.search(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", content_type or "")
+    try:
+        return bytes(content).decode(m[1] if m else "utf-8", "replace")
+    except LookupError:
+        return bytes(content).decode("utf-8", "replace")
+
+
 # --- expressions ---
 
 
@@ -140,6 +151,11 @@ def summary(markup: Column, limit: int = 320) -> Column:
     return F.when(F.char_length(plain) <= limit, plain).otherwise(F.concat(F.rtrim(F.substring(plain, 1, limit - 1)), F.lit("…")))
 
 
+@F.pandas_udf(T.StringType())
+def decode(content: pd.Series, content_type: pd.Series) -> pd.Series:
+    return _mapped(decoded, content, content_type)
+
+
 @F.pandas_udf(T.StringType())
 def clean_text(text: pd.Series) -> pd.Series:
     return _mapped(clean, text)
@@ -170,4 +186,4 @@ def language(text: pd.Series) -> pd.Series:
     return _mapped(language_tag, text)
 
 
-SQL_FUNCTIONS = {"clean_text": clean_text, "title_key": title_key, "sanitize_error": sanitize_error, "sanitize_metadata": sanitize_metadata, "overlay_metadata": overlay_metadata, "language_tag": language}
+SQL_FUNCTIONS = {"decode_text": decode, "clean_text": clean_text, "title_key": title_key, "sanitize_error": sanitize_error, "sanitize_metadata": sanitize_metadata, "overlay_metadata": overlay_metadata, "language_tag": language}

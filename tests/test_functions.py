@@ -70,6 +70,7 @@ def test_texts():
     assert texts.safe_error("GET https://u:p@e.org/x?token=1 failed, password=abc Authorization: Bearer zzz") == "GET https://e.org/x failed, password=<redacted> Authorization: <redacted>"
     assert texts.overlay_json('{"a": 1, "b": 1}', '{"b": 2}') == '{"a": 1, "b": 2}' and texts.overlay_json("[", None) == "{}"
     assert texts.safe_metadata({"raw_html": "x", "api_key": 1, "n": float("nan"), "d": [1] * 200})["d"] == [1] * 100
+    assert texts.decoded("é".encode("latin-1"), "text/html; charset=ISO-8859-1") == "é" and texts.decoded(b"\xff", "x; charset=odd") == "\ufffd" and texts.decoded(None) is None
     assert texts.nested_text({"b": ["x", {"z": "y"}], "a": "w"}) == "w x y"
 
 
