@@ -320,3 +320,21 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "n_links", F.col("first").alias("representative"))
+
+
+#: All pairs by shared shingles, then reachability: the definition, fit for small tables.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
+both_ways AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
+reach(x, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, root FROM reach JOIN both_ways USING (x)),
+classes AS (SELECT x AS doc_id, min(root) AS class_id FROM reach GROUP BY x),
+counts AS (SELECT x AS doc_id, count(*) AS n FROM both_ways GROUP BY x)
+SELECT doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, doc_id = class_id AS representative FROM classes LEFT JOIN counts USING (doc_id)
+"""

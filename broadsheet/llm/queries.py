@@ -7,7 +7,7 @@ from .fingerprint import op3_fingerprint
 from .language import op6_identify_language
 from .line_templates import OP9_SQL, op9_drop_template_lines
 from .mixing import OP7_SQL, op7_mix_sources
-from .ngram_join import op1_ngram_jaccard
+from .ngram_join import OP1_SQL, op1_ngram_jaccard
 from .packing import op2_pack
 from .pii import op5_find_personal_data
 from .secrets import op10_find_secrets
@@ -26,6 +26,7 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
 }
 SQL = {
+    "op1_ngram_jaccard": OP1_SQL,
     "op9_drop_template_lines": OP9_SQL,
     "op7_mix_sources": OP7_SQL,
 }
