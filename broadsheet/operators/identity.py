@@ -3,8 +3,8 @@
 The rule depends on order, so it can't be one join. But rows that share no URL, no content hash and no title within a
 publisher never meet in it. Their connected components are therefore independent, and each is folded by itself, row after
 row, in parallel. A component comes from a few copies of one story; a hash that very many rows share would make a large one,
-so hashes that more than ``max_shared`` rows have link only rows whose title key is the same too, which is all that the
-rule lets such a hash decide.
+so hashes that more than ``max_shared`` rows have link only rows whose title key is the same too. That is all a hash can
+merge; what such a boilerplate hash loses is the guard that keeps an update from taking a hash that another article has.
 """
 
 from __future__ import annotations
