@@ -14,7 +14,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     Large: the greater neighbours of each vertex. Small: its lesser neighbours and itself.
     """
     seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Written out, so that both sides of the join are plain shuffles: Spark splits the edges of a vertex that has very many.
+    least = staged(seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     linked = seen.join(least, "u")
     new = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return new.where("u > v").distinct()
