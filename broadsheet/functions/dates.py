@@ -115,4 +115,10 @@ def bounds(first: Column, last: Column) -> tuple[Column, Column]:
     )
 
 
+def display(raw: Column) -> Column:
+    """Time as shown: a date stays a date, a time is in UTC to the minute, other text stays as it is."""
+    text = F.trim(raw)
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).otherwise(F.coalesce(F.date_format(lenient_timestamp(text), "yyyy-MM-dd HH:mm 'UTC'"), text))
+
+
 SQL_FUNCTIONS = {"parse_datetime": parse_datetime, "date_problem": date_problem}

@@ -171,6 +171,12 @@ def safe_link(url: Column) -> Column:
     return F.when(ok, url)
 
 
+def control_link(base: Column, source_id: Column) -> Column:
+    """Link that starts a source; null without a safe base or an id."""
+    mark = F.when(F.contains(base, F.lit("?")), "&").otherwise("?")
+    return F.when(F.coalesce(source_id, F.lit("")) != "", F.concat(safe_link(base), mark, F.lit("source_id="), F.url_encode(source_id)))
+
+
 def first_srcset(srcset: Column) -> Column:
     return F.nullif(F.split(F.trim(F.split_part(srcset, F.lit(","), F.lit(1))), r"\s+")[0], F.lit(""))
 

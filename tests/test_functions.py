@@ -140,3 +140,9 @@ def test_bounds(spark):
     df = spark.createDataFrame([("a", "2025-01-02", "2025-01-05"), ("a", "2025-01-01", None), ("b", "later", "2025-01-09"), ("b", "2025-01-01", None)], "k string, x string, y string")
     low, high = dates.bounds(F.col("x"), F.col("y"))
     assert pytest.rows(df.groupBy("k").agg(low.alias("a"), high.alias("b"))) == [("a", "2025-01-01", "2025-01-05"), ("b", "2025-01-01", "later")]
+
+
+def test_links_and_display(spark):
+    df = spark.createDataFrame([("https://c.example.org/start?x=1", "a b", "2025-01-02"), ("javascript:x", "a", "2025-01-02T03:04:05Z"), ("https://c.example.org/", "", "soon")], "b string, s string, t string")
+    found = df.select(urls.control_link(F.col("b"), F.col("s")).alias("l"), dates.display(F.col("t")).alias("d")).collect()
+    assert [tuple(r) for r in found] == [("https://c.example.org/start?x=1&source_id=a+b", "2025-01-02"), (None, "2025-01-02 03:04 UTC"), (None, "soon")]
