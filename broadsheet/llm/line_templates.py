@@ -52,11 +52,13 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("fp"), F.posexplode(_lines(F.col("text"))).alias("line", "t"))
     rows = staged(rows.where("t is not null").select("doc_id", "fp", "line", "t.n", "t.leaf", "t.keys"), "lines")
     shared = rows.groupBy("leaf").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("leaf")
+    # Both sides of the joins below are plain shuffles, whose hot keys Spark splits; leaves are too many to broadcast.
+    shared = staged(shared, "leaves").hint("merge")
     keyed = staged(rows.join(shared, "leaf").select("doc_id", "fp", "line", "n", F.explode("keys").alias("key")), "templates")
     once = keyed.groupBy("key", "fp").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
     counted = once.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("docs"), F.min_by("fp", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "fp")).alias("keeper"))
     recurring = counted.where(F.col("docs") >= F.when(F.col("n") >= LONG_WORDS, LONG_DOCS).otherwise(MIN_DOCS)).select("key", "keeper")
-    recurring = staged(recurring, "recurring")  # so that both sides of the join are plain shuffles, whose hot keys Spark splits
+    recurring = staged(recurring, "recurring")
     return keyed.join(recurring, "key").groupBy("doc_id", "fp", "line").agg(F.bool_and(F.col("keeper") == F.col("fp")).alias("first"))
 
 
