@@ -31,6 +31,7 @@ def cursor_offset(cursor: str | None, offset: int | None) -> int:
 
 
 def offset_page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int | None = 0) -> DataFrame:
+    """Rows offset to offset + limit. Each task keeps as many rows, so deep pages are for keyset_page()."""
     limit, offset = clamp(limit, offset)
     return df.orderBy(*order).offset(offset).limit(limit)
 
