@@ -3,10 +3,10 @@
 Equal vectors are one entry, with the few smallest ids that any answer can need. Coarse centroids and codebooks are fitted
 on a bounded sample (SAMPLE vectors, by hash of the vector); every vector is indexed: its list is that of the nearest
 centroid, its code quantises what the centroid leaves. A query visits the nearest lists, as many as hold TARGET of the true
-neighbours of TUNE sample vectors within the sample. Lists are cut into chunks and each chunk meets the queries that visit it, in blocks: a table of distances between query residual and codewords gives
-asymmetric distances to all codes, and the RERANK nearest of the chunk are measured on the original vectors in double
-precision. The answers of all chunks are merged. Neither a whole list nor all queries are ever gathered in
-one task.
+neighbours of TUNE sample vectors within the sample. Lists are cut into chunks and each chunk meets the queries that visit
+it, in blocks: a table of distances between query residual and codewords gives asymmetric distances to all codes, and the
+nearest of the chunk (RERANK of them, or a share that is tuned likewise) are measured on the original vectors in double
+precision. The answers of all chunks are merged. Neither a whole list nor all queries are ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import staged, table
 #: Neighbours; most vectors that the index is fitted on; nearest of a chunk, by code, that are measured.
 NEIGHBOURS, SAMPLE, RERANK = 10, 20_000, 200
 #: Share of true neighbours that the visited lists shall hold, and sample vectors that this is measured on.
-TARGET, TUNE = 0.97, 512
+TARGET, TUNE = 0.985, 256
 #: Most lists; components that one codebook covers; codewords a codebook.
 LISTS, PART, WORDS = 4096, 4, 64
 #: Entries of a chunk, queries that meet it in one task, and at once.
@@ -70,19 +70,36 @@ class Index:
         self.cuts = [(i, min(i + PART, self.dim)) for i in range(0, self.dim, PART)]
         self.books = [kmeans(left[:, a:b], WORDS) for a, b in self.cuts]
 
-    def tuned_probes(self, sample: np.ndarray, neighbours: int, target: float) -> int:
-        """The fewest nearest lists that hold the target share of the sample's own nearest neighbours."""
+    def tune(self, sample: np.ndarray, copies: np.ndarray, neighbours: int, target: float) -> tuple[int, float]:
+        """(lists to visit, share of a list to measure) that hold the target share of the sample's own nearest neighbours.
+
+        The first is by the places of the neighbours' lists in order of nearness, the second by the neighbours' places in
+        their lists in order of asymmetric distance. Copies count.
+        """
         if len(sample) < 2:
-            return 1
+            return 1, 1.0
         asked, own = sample[:TUNE], self.lists(sample, 1)[:, 0]
         d = _squared(asked, sample)
         d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
         n = min(neighbours, len(sample) - 1)
-        true = own[np.argpartition(d, n - 1, axis=1)[:, :n]]
+        true = np.argpartition(d, n - 1, axis=1)[:, :n]
+        true = np.take_along_axis(true, np.take_along_axis(d, true, 1).argsort(1), 1)
+        before = np.cumsum(copies[true], 1) - copies[true]
+        weight = np.clip(neighbours - before, 0, copies[true]).ravel()  # a vector with copies takes several places
         order = _squared(asked, self.centroids).argsort(1)
         place = np.empty_like(order)
         np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
-        return int(np.quantile(np.take_along_axis(place, true, 1), target, method="higher")) + 1
+        place = np.take_along_axis(place, own[true], 1).ravel()
+        held = np.cumsum(np.bincount(place, weight, order.shape[1]))
+        members, codes, shares = [np.flatnonzero(own == at) for at in range(len(self.centroids))], self.codes(sample, own), np.zeros(true.shape)
+        for i, row in enumerate(true):
+            for at in np.unique(own[row]):
+                near = self.distances(asked[i : i + 1], at, codes[members[at]])[0]
+                mine = own[row] == at
+                shares[i, mine] = (near[None, :] <= near[np.searchsorted(members[at], row[mine])][:, None]).mean(1)
+        by_share = shares.ravel().argsort()
+        enough = np.searchsorted(np.cumsum(weight[by_share]), target * weight.sum())
+        return int(np.searchsorted(held, target * held[-1])) + 1, float(shares.ravel()[by_share][min(enough, len(by_share) - 1)])
 
     def lists(self, x: np.ndarray, n: int) -> np.ndarray:
         d = _squared(x, self.centroids)
@@ -116,13 +133,13 @@ def entries(vectors: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
 
 def fit(rows: DataFrame, total: int, neighbours: int = NEIGHBOURS, sample: int = SAMPLE, lists: int | None = None, target: float = TARGET) -> Index | None:
     """An index, with its number of lists to visit, from at most ``sample`` rows of least hash; lists defaults to the square root of the total, LISTS at most."""
-    some = rows.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h", "embedding").limit(sample).toPandas()
+    some = rows.select("embedding", F.size("ids").alias("n"), F.xxhash64("embedding").alias("h")).orderBy("h", "embedding").limit(sample).toPandas()
     if not len(some):
         return None
-    width = some["embedding"].map(len).mode().iloc[0]
-    x = _matrix([v for v in some["embedding"] if len(v) == width])
+    some = some[some["embedding"].map(len) == some["embedding"].map(len).mode().iloc[0]]
+    x = _matrix(some["embedding"])
     index = Index(x, lists or int(np.clip(round(total**0.5), 1, LISTS)))
-    index.probes = index.tuned_probes(x, neighbours, target)
+    index.probes, index.share = index.tune(x, some["n"].to_numpy(), neighbours, target)
     return index
 
 
@@ -186,7 +203,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS
         for i in range(0, len(query), QUERIES):
             some = query[i : i + QUERIES]
             near = shared.value.distances(some, int(right["list"].iloc[0]), codes)
-            top = np.argpartition(near, rerank - 1, axis=1)[:, :rerank] if near.shape[1] > rerank else np.tile(np.arange(near.shape[1]), (len(some), 1))
+            most = max(rerank, int(np.ceil(shared.value.share * near.shape[1])))
+            top = np.argpartition(near, most - 1, axis=1)[:, :most] if near.shape[1] > most else np.tile(np.arange(near.shape[1]), (len(some), 1))
             for q, v, at in zip(left["q"].iloc[i : i + QUERIES], left["embedding"].iloc[i : i + QUERIES], top, strict=True):
                 d = np.sqrt(((wide[at] - v) ** 2).sum(1))
                 order = np.argsort(d, kind="stable")
