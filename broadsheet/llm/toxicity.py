@@ -6,8 +6,8 @@ both classes. So a rare expression weighs only by what its class has really show
 A document's words are compared by length-normalised log-likelihood ratio; a logistic curve over the ratio of the whole
 text and those of its most toxic words gives the score. It is fitted on labelled documents that the models have not seen.
 
-Counting covers all labelled documents. The models reach the executors as tables of fixed size (SLOTS entries), where an
-n-gram is found by hash and checked by tag.
+Counting covers all labelled documents. The models reach the executors as tables of all n-grams and contexts counted, 12
+bytes each besides the slots: they grow with the labelled text, and none is dropped.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, staged, table
 from .language import letters
 
-#: n-grams and contexts that the executors' tables hold, as powers of two.
+#: Least slots of the executors' tables of n-grams and contexts, as powers of two; larger tables have two slots or more a key.
 SLOT_BITS, CONTEXT_BITS = 21, 19
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
@@ -55,9 +55,8 @@ def keys(text: str) -> np.ndarray:
     return out
 
 
-def _slots(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = key.astype(np.uint64) * _MIX
-    return (h >> np.uint64(64 - bits)).astype(np.intp), ((h >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16)
+def _slots(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key.astype(np.uint64) * _MIX >> np.uint64(64 - bits)).astype(np.intp)
 
 
 def ngram_counts(labelled: DataFrame) -> DataFrame:
@@ -114,32 +113,49 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def p(c: str):
         return F.when(F.col(f"all_{c}") > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"all_{c}")).otherwise(0.0) + backoff(c) * F.col("shared")
 
-    seen = grams.join(contexts, "context").join(shared, "three").select("key", F.ln(p("toxic") / p("plain")).cast("float").alias("ratio"), (F.col("toxic") + F.col("plain")).alias("n"))
-    unseen = contexts.select("context", F.ln(backoff("toxic") / backoff("plain")).cast("float").alias("ratio"), (F.col("all_toxic") + F.col("all_plain")).alias("n"))
+    seen = grams.join(contexts, "context").join(shared, "three").select("key", F.ln(p("toxic") / p("plain")).cast("float").alias("ratio"))
+    unseen = contexts.select("context", F.ln(backoff("toxic") / backoff("plain")).cast("float").alias("ratio"))
     return seen, unseen
 
 
+class Table:
+    """A value for each of many distinct keys. Keys that share a slot stand side by side, so none gives way."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray, bits: int):
+        self.bits = max(bits, (2 * len(key)).bit_length())
+        slot = _slots(key, self.bits)
+        order = np.argsort(slot, kind="stable")
+        self.starts = np.zeros((1 << self.bits) + 1, np.int32 if len(key) < 2**31 else np.int64)
+        np.cumsum(np.bincount(slot, minlength=1 << self.bits), out=self.starts[1:])
+        self.keys, self.values = np.append(key[order], -1), np.append(value[order], np.nan).astype(np.float32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The values of keys, which are not negative; NaN for those that the table lacks."""
+        slot = _slots(key, self.bits)
+        at = self.starts[slot]
+        hit = self.keys[at] == key
+        out = np.where(hit, self.values[at], np.float32(np.nan))
+        left = np.flatnonzero(~hit)
+        at, end = at[left] + 1, self.starts[slot[left] + 1]
+        while (more := at < end).any():
+            left, at, end = left[more], at[more], end[more]
+            hit = self.keys[at] == key[left]
+            out[left[hit]] = self.values[at[hit]]
+            left, at, end = left[~hit], at[~hit] + 1, end[~hit]
+        return out
+
+
 class Ratios:
-    """Log-likelihood ratios in tables of fixed size. Where two n-grams share a slot, the more frequent one keeps it."""
+    """Log-likelihood ratios of all n-grams seen, and of unseen characters after all contexts seen."""
 
-    def __init__(self, seen: pd.DataFrame, unseen: pd.DataFrame):
-        self.seen, self.seen_tag = self._filled(seen["slot"], seen["tag"], seen["ratio"], SLOT_BITS)
-        self.unseen, self.unseen_tag = self._filled(unseen["slot"], unseen["tag"], unseen["ratio"], CONTEXT_BITS)
+    def __init__(self, seen: Table, unseen: Table):
+        self.seen, self.unseen = seen, unseen
         self.fit = np.zeros(FEATURES + 1)
 
-    @staticmethod
-    def _filled(slot, tag, ratio, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        values, tags = np.full(1 << bits, np.nan, np.float32), np.zeros(1 << bits, np.uint16)
-        values[slot], tags[slot] = ratio, tag
-        return values, tags
-
     def ratios(self, key: np.ndarray) -> np.ndarray:
-        slot, tag = _slots(key, SLOT_BITS)
-        found = np.where(self.seen_tag[slot] == tag, self.seen[slot], np.nan)
+        found = self.seen.find(key)
         miss = np.flatnonzero(np.isnan(found))
-        slot, tag = _slots(key[miss] >> 12, CONTEXT_BITS)
-        rest = np.where(self.unseen_tag[slot] == tag, self.unseen[slot], np.nan)
-        found[miss] = np.nan_to_num(rest)
+        found[miss] = np.nan_to_num(self.unseen.find(key[miss] >> 12))
         found[key == 0] = 0
         return found.astype(np.float64)
 
@@ -180,16 +196,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
-def _hashed(rows: DataFrame, key: str, bits: int) -> pd.DataFrame:
-    """slot, tag and ratio of the most frequent n-gram of each slot: at most 2 ** bits rows come to the driver."""
-
-    def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            slot, tag = _slots(frame["k"].to_numpy(), bits)
-            yield pd.DataFrame({"slot": slot.astype(np.int32), "tag": tag.astype(np.int32), "ratio": frame["ratio"], "n": frame["n"], "k": frame["k"]})
-
-    placed = rows.select(F.col(key).alias("k"), "ratio", "n").mapInPandas(slots, "slot int, tag int, ratio float, n long, k long")
-    return placed.groupBy("slot").agg(F.max_by(F.struct("tag", "ratio"), F.struct("n", "k")).alias("m")).select("slot", "m.tag", "m.ratio").toPandas()
+def _hashed(rows: DataFrame, key: str, bits: int) -> Table:
+    """All of rows (key, ratio) as a table; they come to the driver in Arrow's form."""
+    found = rows.select(F.col(key).alias("k"), "ratio").toArrow()
+    return Table(found["k"].to_numpy(), found["ratio"].to_numpy(), bits)
 
 
 def remainder(of: int = 5) -> F.Column:

@@ -99,3 +99,27 @@ def test_ratios_equal_their_definition(spark):
     assert np.allclose(found, [by_definition(*keys, k) for k in every], atol=1e-5)
     assert model.ratios(np.array([0]))[0] == 0
     assert (toxicity.keys("ab cd")[[0, 3]] < 4096).all()  # words start without context
+
+
+def test_no_ngram_gives_way(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SLOT_BITS", 4)
+    monkeypatch.setattr(toxicity, "CONTEXT_BITS", 3)
+    draw = np.random.default_rng(9)
+    texts = [(text(draw, SYLLABLES["bb"], 40) + (" zoggung" if i == 5 else ""), int(i % 4 == 1)) for i in range(12)]
+    seen, unseen = toxicity.log_ratios(toxicity.ngram_counts(spark.createDataFrame(texts, "text string, toxic int")))
+    model = toxicity.Ratios(toxicity._hashed(seen, "key", toxicity.SLOT_BITS), toxicity._hashed(unseen, "context", toxicity.CONTEXT_BITS))
+    keys = [[int(k) for t, c in texts if c == want for k in toxicity.keys(t) if k] for want in (1, 0)]
+    every = sorted({*keys[0], *keys[1]})
+    assert len(every) > 1 << toxicity.SLOT_BITS
+    assert np.allclose(model.ratios(np.array(every)), [by_definition(*keys, k) for k in every], atol=1e-5)
+    contexts = {r.context: r.ratio for r in unseen.collect()}
+    assert np.allclose(model.ratios(np.array([(c << 12) + 4095 for c in contexts])), list(contexts.values()), atol=1e-6)
+
+
+def test_keys_that_share_a_slot():
+    draw = np.random.default_rng(3)
+    key = np.unique(draw.integers(0, 1 << 60, 5000))
+    for bits in (1, 20):
+        table = toxicity.Table(key[::2], np.arange(len(key[::2]), dtype=np.float32), bits)
+        assert (table.find(key[::2]) == np.arange(len(key[::2]))).all() and np.isnan(table.find(key[1::2])).all()
+    assert np.isnan(toxicity.Table(key[:0], np.zeros(0, np.float32), 3).find(key)).all()
