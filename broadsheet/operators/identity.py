@@ -2,14 +2,15 @@
 
 The rule depends on order, so it can't be one join. But rows that share no URL, no content hash and no title within a
 publisher never meet in it. Their connected components are therefore independent, and each is folded by itself, row after
-row, in parallel. A component comes from a few copies of one story; a hash that very many rows share would make a large one,
-so hashes that more than ``max_shared`` rows have link only rows whose title key is the same too. That is all a hash can
-merge; what such a boilerplate hash loses is the guard that keeps an update from taking a hash that another article has.
+row, in parallel. A component comes from a few copies of one story; a hash that very many rows share makes a large one, as
+the rule looks at all rows of a hash, those of other titles too. Look-ups go by index, so a component is folded in time that
+grows with its rows; but it is folded by one task, which holds its rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import pandas as pd
@@ -42,16 +43,77 @@ def _object(text: str | None) -> dict:
     return found if isinstance(found, dict) else {}
 
 
+class _Index:
+    """Articles by a value they have; of several, the one created first."""
+
+    def __init__(self):
+        self.having: dict = {}
+        self.order: dict = {}  # heaps of the same ids; those that left are skipped when they come up
+
+    def put(self, value, i: int) -> None:
+        self.having.setdefault(value, set()).add(i)
+        heapq.heappush(self.order.setdefault(value, []), i)
+
+    def drop(self, value, i: int) -> None:
+        having = self.having[value]
+        having.discard(i)
+        if not having:
+            del self.having[value], self.order[value]
+
+    def first(self, value, besides: int | None = None) -> int | None:
+        having, order = self.having.get(value, ()), self.order.get(value, [])
+        if len(having) <= (besides in having):
+            return None
+        while order[0] not in having:
+            heapq.heappop(order)
+        if order[0] != besides:
+            return order[0]
+        while order[0] not in having or order[0] == besides:
+            heapq.heappop(order)
+        found = order[0]
+        heapq.heappush(order, besides)
+        return found
+
+
 class Resolver:
     """Articles of one component while arrivals are folded into them. An article's id is the arrival that created it."""
 
+    KEYS = ("canonical_url", "normalized_url", "content_hash", "content_identity_key")
+
     def __init__(self):
         self.articles: dict[int, dict] = {}
         self.titles: dict[tuple[str, str], int] = {}  # (publisher, title key) -> article
+        self.titled: dict[int, set[tuple[str, str]]] = {}  # article -> its keys in titles
         self.merged: dict[int, list[int]] = {}
+        self.indexes = {c: _Index() for c in (*self.KEYS, "hash_and_title")}
+        self.indexed: dict[int, dict] = {}  # article -> the values it is indexed by
+
+    def _put(self, at: int, article: dict | None) -> None:
+        """Sets an article, or removes it (None)."""
+        values = {}
+        if article is None:
+            del self.articles[at]
+        else:
+            self.articles[at] = article
+            values = {c: article[c] for c in self.KEYS if article[c]}
+            if article["content_hash"]:
+                values["hash_and_title"] = (article["content_hash"], texts.key(article["title"]))
+        was = self.indexed.pop(at, {})
+        for c, value in was.items() - values.items():
+            self.indexes[c].drop(value, at)
+        for c, value in values.items() - was.items():
+            self.indexes[c].put(value, at)
+        if values:
+            self.indexed[at] = values
+
+    def _name(self, key: tuple[str, str], at: int) -> None:
+        if key in self.titles:
+            self.titled[self.titles[key]].discard(key)
+        self.titles[key] = at
+        self.titled.setdefault(at, set()).add(key)
 
     def _having(self, column: str, value, besides: int | None = None) -> int | None:
-        return next((i for i, a in self.articles.items() if i != besides and a[column] == value), None) if value else None
+        return self.indexes[column].first(value, besides) if value else None
 
     def _find(self, new: dict) -> int | None:
         """By URL; else by hash where titles agree (or both lack one and there is a URL); else by title within the publisher."""
@@ -60,46 +122,53 @@ class Resolver:
                 return found
         key, located = texts.key(new["title"]), bool(new["canonical_url"] or new["normalized_url"])
         if new["content_hash"] and (key or located):
-            same = [i for i, a in self.articles.items() if a["content_hash"] == new["content_hash"]]
-            agreed = next((i for i in same if texts.key(self.articles[i]["title"]) == key and (key or located)), None)
-            if agreed is not None or (same and not located):
+            agreed = self._having("hash_and_title", (new["content_hash"], key))
+            if agreed is not None or (not located and self._having("content_hash", new["content_hash"]) is not None):
                 return agreed
         return self.titles.get((new["publisher_id"], key)) if new["publisher_id"] and key else None
 
     def _merge(self, donor: int, keeper: int) -> None:
         """The donor's values fill what the keeper lacks; its URLs and hash stay out where a third article has them."""
-        gone, kept = self.articles.pop(donor), self.articles[keeper]
+        gone, kept = self.articles[donor], dict(self.articles[keeper])
+        self._put(donor, None)
         for c in COLUMNS:
             if not kept[c] and gone[c] and not (c in ("canonical_url", "normalized_url", "content_hash") and self._having(c, gone[c], keeper)):
                 kept[c] = gone[c]
         kept["metadata"] = gone["metadata"] | kept["metadata"]
         kept["content_identity_key"] = identity_key(kept["content_hash"], kept["title"])
+        self._put(keeper, kept)
         self.merged.setdefault(keeper, []).extend([donor, *self.merged.pop(donor, [])])
-        self.titles = {k: keeper if v == donor else v for k, v in self.titles.items()}
+        for key in list(self.titled.pop(donor, ())):
+            self.titles[key] = keeper
+            self.titled.setdefault(keeper, set()).add(key)
 
     def add(self, arrival: int, new: dict) -> tuple[int, str]:
         at = self._find(new)
         if at is None:
             at, outcome = arrival, "created"
-            self.articles[at] = {c: new[c] for c in COLUMNS} | {"metadata": new["metadata"], "content_identity_key": identity_key(new["content_hash"], new["title"])}
+            self._put(at, {c: new[c] for c in COLUMNS} | {"metadata": new["metadata"], "content_identity_key": identity_key(new["content_hash"], new["title"])})
         else:
             old = self.articles[at]
             key = identity_key(new["content_hash"] or old["content_hash"], new["title"] or old["title"])
             if (other := self._having("content_identity_key", key, at)) is not None:
                 self._merge(other, at)
+                old = self.articles[at]
             state = {c: old[c] or new[c] for c in IDENTITY} | {c: new[c] or old[c] for c in BUSINESS} | {c: old[c] if new[c] is None else new[c] for c in EVIDENCE}
             state["content_identity_key"], state["metadata"] = identity_key(state["content_hash"], state["title"]), old["metadata"] | new["metadata"]
             for c in ("canonical_url", "normalized_url", "content_hash"):
                 if self._having(c, state[c], at) is not None:
                     state[c] = old[c]  # another article has it
             outcome = "updated" if any(state[c if c != "metadata_json" else "metadata"] != old[c if c != "metadata_json" else "metadata"] for c in STATE) else "unchanged"
-            self.articles[at] = state
+            self._put(at, state)
         key = texts.key(new["title"])
         if new["publisher_id"] and key:
             other = self.titles.get((new["publisher_id"], key))
             if other is not None and other != at:
                 self._merge(other, at)
-            self.titles = {k: v for k, v in self.titles.items() if not (v == at and k[0] == new["publisher_id"])} | {(new["publisher_id"], key): at}
+            for held in [k for k in self.titled.get(at, ()) if k[0] == new["publisher_id"]]:
+                self.titled[at].discard(held)
+                del self.titles[held]
+            self._name((new["publisher_id"], key), at)
         return at, outcome
 
 
@@ -130,19 +199,17 @@ def fold(rows: pd.DataFrame) -> pd.DataFrame:
     return frame.astype(object).where(frame.notna(), None) if len(frame) else frame
 
 
-def identity_edges(rows: DataFrame, max_shared: int = 1000) -> DataFrame:
+def identity_edges(rows: DataFrame) -> DataFrame:
     """(arrival_seq, key) for all keys by which the rule may link two rows."""
     link = urls.normalize_url
     title = texts.title_key("title")
     hashed = F.nullif("content_hash", F.lit(""))
     keyed = rows.select("arrival_seq", link("url").alias("u"), link("canonical_url").alias("c"), hashed.alias("h"), title.alias("t"), F.nullif("publisher_id", F.lit("")).alias("p"))
-    hot = keyed.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max_shared).select("h", F.lit(True).alias("hot"))
-    keyed = keyed.join(hot, "h", "left")
     keys = F.array_compact(
         F.array(
             F.concat(F.lit("u:"), "u"),
             F.concat(F.lit("u:"), "c"),
-            F.when(F.col("hot"), F.concat(F.lit("ht:"), "h", F.lit(":"), F.coalesce("t", F.lit("")))).otherwise(F.concat(F.lit("h:"), "h")),
+            F.concat(F.lit("h:"), "h"),
             F.when(F.coalesce("t", F.lit("")) != "", F.concat(F.lit("t:"), "p", F.lit(":"), "t")),
         )
     )
@@ -182,11 +249,12 @@ def resolve(arrivals: DataFrame, max_shared: int = 1000) -> tuple[DataFrame, Dat
     """(outcomes, articles) of arrivals, which have the columns of INPUT; missing ones count as null.
 
     outcomes: arrival_seq, article_id, outcome (created, updated, unchanged). articles: what is left, one row each.
+    ``max_shared`` is taken for the sake of callers and changes nothing: all rows of a hash are linked, however many.
     """
     have = {c.lower() for c in arrivals.columns}
     columns = [x.strip().split(" ") for x in INPUT.split(",")]
     rows = arrivals.select(*[(F.col(n) if n in have else F.lit(None)).cast("bigint" if t == "long" else t).alias(n) for n, t in columns])
-    placed = label(rows, identity_edges(rows, max_shared))
+    placed = label(rows, identity_edges(rows))
     folded = _kept(placed.groupBy("component").applyInPandas(lambda df: fold(df.drop(columns="component")), OUTPUT))
     outcomes = folded.where("kind = 'arrival'").select("arrival_seq", "article_id", "outcome")
     return outcomes, folded.where("kind = 'article'").drop("kind", "arrival_seq", "outcome")

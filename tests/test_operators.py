@@ -116,6 +116,17 @@ def test_identity_order_and_idempotence(spark):
     assert identity.resolve(arrivals.limit(0))[0].count() == 0
 
 
+def test_identity_of_a_hash_that_very_many_rows_share(spark):
+    arrivals = [(1, "p", "https://e.org/t", "T", "own"), (2, None, "https://e.org/g", "G", "own")]
+    arrivals += [(10 + i, None, f"https://e.org/{i}", f"Page {i}", "hot") for i in range(1200)]
+    arrivals += [(5000, "p", None, "T", "hot"), (5001, None, "https://e.org/g", "G", "hot")]
+    outcomes, articles = identity.resolve(spark.createDataFrame(arrivals, "arrival_seq long, publisher_id string, url string, title string, content_hash string"))
+    found = {r.arrival_seq: (r.article_id, r.outcome) for r in outcomes.collect()}
+    assert found[5000] == (5000, "created") and found[1][0] == 5000  # without URL, under a hash of other titles: created, then it takes the title
+    assert found[5001] == (2, "updated") and articles.where("article_id = 2").first().content_hash == "own"  # other articles have the hash
+    assert all(found[10 + i] == (10 + i, "created") for i in range(1200))
+
+
 def test_identity_rechecks_and_titles(spark):
     new = identity.Resolver()
     row = lambda **k: identity._clean({"url": None, "publisher_id": None, "metadata_json": None, **k})
