@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests, a laptop) is a local folder made and recorded in the session.
+    Only where the session names none and runs on one machine (tests, a laptop) is a local folder made and recorded in the
+    session. On a cluster a local folder would scatter tables over executors' own disks, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.broadsheet.scratch", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="broadsheet-")
         spark.conf.set("spark.broadsheet.scratch", base)
     return base
@@ -41,12 +45,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Removes all tables that this process has staged. Call it once the results made from them are written."""
-    jvm, removed = spark.sparkContext._jvm, 0
+def release(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Removes all tables that this process has staged, but for ``keep``. Call it once the results made from them are written."""
+    jvm, removed, kept = spark.sparkContext._jvm, 0, []
+    spared = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
     while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        name = _STAGED.pop()
+        if name.rpartition("/")[2] in spared:
+            kept.append(name)
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(name)
         removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    _STAGED.extend(kept)
     return removed
 
 
@@ -58,6 +68,30 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bits of one page of a filter, and most pages: 32 MB in all.
+PAGE_BITS, MOST_PAGES = 32_768, 8192
+
+
+def may_hold(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows, parted by a filter of one bit a hash: (those whose key may be in wanted's column, those whose key isn't there).
+
+    key and the column ``name`` of wanted are 64-bit hashes. The filter has at least 16 bits for each wanted row, so one
+    row in 16 is let through in vain; beyond 16 million rows its size stays and more are. What may be there is to be joined.
+    """
+    pages = 1
+    count = wanted.count()
+    while pages < MOST_PAGES and pages * PAGE_BITS < 16 * count:
+        pages *= 2
+    bit = lambda h: F.pmod(h, F.lit(pages * PAGE_BITS))
+    page = lambda h: F.floor(bit(h) / PAGE_BITS).cast("int")
+    at = lambda h: F.pmod(h, F.lit(PAGE_BITS)).cast("int")
+    told = wanted.select(page(F.col(name)).alias("_page"), at(F.col(name)).alias("_at")).groupBy("_page").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    marks = F.broadcast(told)  # at most 8192 rows of 4 KB
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at(key) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (page(key) == F.col("_page")) & (F.getbit(byte, F.pmod(key, F.lit(8)).cast("int")) == 1)
+    return rows.join(marks, hit, "left_semi"), rows.join(marks, hit, "left_anti")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small enough for long texts, unless the session already asks for smaller ones."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:

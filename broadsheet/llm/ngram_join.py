@@ -3,13 +3,15 @@
 1. Texts with the same words are copies and go on as one text that stands for all. Each text gets HASHES MinHash values.
 2. Texts that share a band of values form a bucket. Within a bucket all pairs are compared value by value, CHUNK at a time;
    a pair is dropped once the posterior probability of reaching the threshold, given the matches so far and an even prior,
-   falls below TOLERANCE. A task passes on no pairs, but which texts hang together: at most one edge a text.
-3. In each component of these edges, the pairs are tested so again and what is left is decided on the sets of shingles.
-   Out come links counted for each text, and edges that keep its class together.
-
-Buckets and components of more than BLOCK texts are split into blocks, and pairs of blocks are separate tasks, so a large
-group spreads over the cluster; its pairs are compared in memory, never written. With BANDS of ROWS values, a pair at the
-threshold is proposed with a probability of 1 - 3e-5.
+   falls below TOLERANCE. A task passes on no pairs, but which texts have a partner left in which bucket: a pair counts in
+   the first bucket that it shares, so most texts stay in one or two.
+3. Only those texts are read again. In each bucket the pairs among them are tested so again and what is left is decided on
+   the sets of shingles. Out come links counted for each text, and at most one edge a text that keeps its class together.
+
+Buckets of more than BLOCK texts, or of more than BLOCK_SHINGLES shingles, are split into blocks, and pairs of blocks are
+separate tasks, so a large group spreads over the cluster; its pairs are compared in memory, never written. Only pairs that
+share a bucket are ever compared, so a long chain of copies costs what its links cost. With BANDS of ROWS values, a pair at
+the threshold is proposed with a probability of 1 - 4e-7.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, let, shingle_hashes, staged, table, words
+from .common import bounded_batches, fresh, let, may_hold, shingle_hashes, staged, table, words
 from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 28, 4
 HASHES = BANDS * ROWS
 CHUNK, TOLERANCE = 16, 1e-6
-BLOCK = 512
+#: Texts and shingles of one block, as far as its texts can be parted.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Large buckets up to this many are broadcast (some 100 bytes each), more are joined by shuffle.
+BROADCAST_BUCKETS = 200_000
 #: Pairs compared at once.
 PAIRS = 1 << 18
 _DRAW = np.random.default_rng(20240229)
@@ -55,9 +60,11 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """MinHash values of the sets values[offsets[i] : offsets[i + 1]], none of them empty: HASHES columns of uint32."""
     out = np.empty((len(offsets) - 1, HASHES), np.uint32)
     x = values.view(np.uint64)
+    h = np.empty_like(x)
     for k in range(HASHES):
-        h = ((x * _MULTIPLY[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32)
-        out[:, k] = np.minimum.reduceat(h, offsets[:-1])
+        np.multiply(x, _MULTIPLY[k], out=h)
+        np.add(h, _ADD[k], out=h)
+        out[:, k] = np.minimum.reduceat(h, offsets[:-1]) >> np.uint64(32)  # the least value has the least upper half
     return out
 
 
@@ -164,27 +171,34 @@ def _signature_matrix(frame: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(-1, HASHES)
 
 
+def _surviving(frame: pd.DataFrame, sig: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of each group that pass the Bayesian test and share no earlier band, some PAIRS at a time."""
+    starts, sizes = _bounds(frame, BY)
+    band = frame["band"].to_numpy()
+    for a, b in _pairs(starts, sizes, frame["i"].to_numpy()[starts], frame["j"].to_numpy()[starts], frame["mine"].to_numpy()):
+        for at in range(0, len(a), PAIRS):
+            x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+            likely = _likely(sig, x, y, least)
+            x, y = x[likely], y[likely]
+            first = (sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]
+            if first.any():
+                yield x[first], y[first]
+
+
+#: Bucket and pair of blocks.
+BY = ["key", "i", "j"]
+
+
 def _propose(threshold: float):
-    least, by = least_matches(threshold), ["key", "i", "j"]
+    least = least_matches(threshold)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _groups(frames, by):
-            sig, (starts, sizes) = _signature_matrix(frame), _bounds(frame, by)
-            node, band = frame["node"].to_numpy(), frame["band"].to_numpy()
-            kept: list = [[], []]
-            for a, b in _pairs(starts, sizes, frame["i"].to_numpy()[starts], frame["j"].to_numpy()[starts], frame["mine"].to_numpy()):
-                for at in range(0, len(a), PAIRS):
-                    x, y = a[at : at + PAIRS], b[at : at + PAIRS]
-                    likely = _likely(sig, x, y, least)
-                    x, y = x[likely], y[likely]
-                    # An earlier band that the two share has proposed them already.
-                    same = (sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(2).argmax(1) >= band[x]
-                    kept[0].append(x[same])
-                    kept[1].append(y[same])
-            if kept[0]:
-                root = _roots(len(node), np.concatenate(kept[0]), np.concatenate(kept[1]))
-                to = np.flatnonzero(root != np.arange(len(node)))
-                yield pd.DataFrame({"u": node[to], "v": node[root[to]]})
+        for frame in _groups(frames, BY):
+            partnered = np.zeros(len(frame), bool)
+            for a, b in _surviving(frame, _signature_matrix(frame), least):
+                partnered[a] = partnered[b] = True
+            if partnered.any():
+                yield frame.loc[partnered, ["key", "band", "node", "n"]]
 
     return run
 
@@ -205,18 +219,16 @@ def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    least, by = least_matches(threshold), ["comp", "i", "j"]
+    least = least_matches(threshold)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _groups(frames, by):
-            sig, (starts, sizes) = _signature_matrix(frame), _bounds(frame, by)
+        for frame in _groups(frames, BY):
+            starts, sizes = _bounds(frame, BY)
             node, copies = frame["node"].to_numpy(), frame["copies"].to_numpy()
             sets = [np.unique(s) for s in frame["shingles"]]
             size = np.array([len(s) for s in sets])
             links, kept = np.zeros(len(node), np.int64), [[], []]
-            for a, b in _pairs(starts, sizes, frame["i"].to_numpy()[starts], frame["j"].to_numpy()[starts], frame["mine"].to_numpy()):
-                likely = _likely(sig, a, b, least)
-                a, b = a[likely], b[likely]
+            for a, b in _surviving(frame, _signature_matrix(frame), least):
                 group = np.searchsorted(starts, a, "right")
                 common = np.zeros(len(a), np.int64)
                 cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
@@ -230,21 +242,29 @@ def _verify(threshold: float):
                 np.add.at(links, b, copies[a])
                 kept[0].append(a)
                 kept[1].append(b)
-            root = _roots(len(node), np.concatenate(kept[0]), np.concatenate(kept[1])) if kept[0] else np.arange(len(node))
-            yield pd.DataFrame({"node": node, "links": links, "root": node[root], "whole": (frame["blocks"] == 1).to_numpy()})
+            if links.any():
+                root = _roots(len(node), np.concatenate(kept[0]), np.concatenate(kept[1]))
+                linked = links > 0
+                yield pd.DataFrame({"node": node[linked], "links": links[linked], "root": node[root[linked]]})
 
     return run
 
 
-def _blocked(rows: DataFrame, size: str, on: str) -> DataFrame:
-    """Adds blocks, mine, i and j: a row goes to each pair of blocks that its own block is part of."""
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Adds mine, i and j to rows (key, node, n): a row goes to each pair of blocks that its own block is part of."""
+    large = rows.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    large = large.where((F.col("texts") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).select("key", F.greatest(F.ceil(F.col("texts") / BLOCK), F.least("texts", F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    # Written out, so that the join's sides are plain shuffles, whose hot keys Spark splits, or a broadcast of known size.
+    large = staged(large, "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_BUCKETS else large
     return (
-        rows.withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("node", on), F.col("blocks")).cast("int"))
+        rows.join(large, "key", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("mine", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("mine", "other"))
         .withColumn("j", F.greatest("mine", "other"))
-        .drop("other")
+        .drop("other", "blocks")
     )
 
 
@@ -261,37 +281,38 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     bounded_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), F.crc32(text).alias("text_crc"), words(text).alias("w"))
-    read = read.select("doc_id", "text_hash", "text_crc", let(F.array_join("w", " "), lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b"))).alias("fp"), shingle_hashes(F.col("w"), width).alias("shingles"))
-    signed = read.mapInArrow(_sign, "doc_id long, text_hash long, text_crc long, fp struct<a:bigint,b:bigint>, sig binary")
+    shingles = shingle_hashes(F.col("w"), width)
+    read = read.select("doc_id", "text_hash", "text_crc", let(F.array_join("w", " "), lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b"))).alias("fp"), F.greatest(F.size("w") - (width - 1), F.lit(1)).cast("long").alias("n"), shingles.alias("shingles"))
+    signed = read.mapInArrow(_sign, "doc_id long, text_hash long, text_crc long, fp struct<a:bigint,b:bigint>, n long, sig binary")
     signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
     full = signed.where("sig is not null")
     texts = staged(
-        full.groupBy("fp").agg(F.count("*").alias("copies"), F.min("row").alias("node"), F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("least_id")).join(full.select(F.col("row").alias("node"), "sig", "text_hash", "text_crc"), "node"),
+        full.groupBy("fp").agg(F.count("*").alias("copies"), F.min("row").alias("node"), F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("least_id")).join(full.select(F.col("row").alias("node"), "n", "sig", "text_hash", "text_crc"), "node"),
         "texts",
     )
     ints = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("key")))
-    bands = texts.select("node", F.inline(ints))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = _blocked(bands.join(shared, "key"), "n", "key").join(texts.select("node", "sig"), "node")
-    buckets = buckets.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "mine", "band", "node", "sig")
-    comps = components(buckets.mapInPandas(_propose(threshold), "u long, v long"), "proposed").withColumnRenamed("root", "comp")
-
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
-    near = staged(comps.join(sizes, "comp").join(texts.select("node", "copies", "text_hash", "text_crc"), "node"), "near")
-    said = docs.select(F.xxhash64(text).alias("text_hash"), F.crc32(text).alias("text_crc"), text.alias("text")).groupBy("text_hash", "text_crc").agg(F.first("text").alias("text"))
-    near = near.join(said, ["text_hash", "text_crc"]).select("comp", "n", "node", "copies", shingle_hashes(words(F.col("text")), width).alias("shingles"))
-    near = _blocked(near.join(texts.select("node", "sig"), "node"), "n", "comp")
-    near = near.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").select("comp", "i", "j", "mine", "blocks", "node", "copies", "sig", "shingles")
-    found = staged(near.mapInPandas(_verify(threshold), "node long, links long, root long, whole boolean"), "verified")
-
-    links = found.groupBy("node").agg(F.sum("links").alias("links"), F.max("whole").alias("whole"), F.min("root").alias("root"))
-    split = found.where("not whole and root <> node")
-    if not split.isEmpty():
-        links = links.join(components(split.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes").withColumnRenamed("root", "far"), "node", "left")
-        links = links.withColumn("root", F.when(F.col("whole"), F.col("root")).otherwise(F.coalesce("far", "node")))
-    placed = texts.select("fp", "node", "copies", "least_id").join(links.select("node", "links", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = placed.groupBy("root").agg(F.min("least_id").alias("class_id"))
+    bands = texts.select("node", "n", F.inline(ints))
+    shared = staged(bands.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key"), "buckets")
+    buckets = _blocked(staged(bands.join(shared.hint("merge"), "key"), "members")).join(texts.select("node", "sig"), "node")
+    buckets = buckets.repartition(*BY).sortWithinPartitions(*BY).select(*BY, "mine", "band", "node", "n", "sig")
+    near = staged(buckets.mapInPandas(_propose(threshold), "key long, band int, node long, n long").distinct(), "near")
+
+    wanted = staged(near.select("node").distinct().join(texts.select("node", "copies", "sig", "text_hash", "text_crc"), "node"), "wanted")
+    said = docs.select(F.xxhash64(text).alias("text_hash"), F.crc32(text).alias("text_crc"), text.alias("text"))
+    said, _ = may_hold(said, F.col("text_hash"), wanted, "text_hash")
+    said = said.groupBy("text_hash", "text_crc").agg(F.first("text").alias("text"))
+    wanted = staged(wanted.join(said, ["text_hash", "text_crc"]).select("node", "copies", "sig", shingle_hashes(words(F.col("text")), width).alias("shingles")), "shingles")
+    near = _blocked(near).join(wanted, "node")
+    near = near.repartition(*BY).sortWithinPartitions(*BY).select(*BY, "mine", "band", "node", "copies", "sig", "shingles")
+    found = staged(near.mapInPandas(_verify(threshold), "node long, links long, root long"), "verified")
+
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    edges = found.where("root <> node").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    links = links.join(components(edges, "links"), "node", "left")
+    placed = texts.select("fp", "node", "copies", "least_id").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = staged(placed, "placed")
+    heads = staged(placed.groupBy("root").agg(F.min("least_id").alias("class_id")), "heads").hint("merge")
     placed = placed.join(heads, "root").select("fp", "class_id", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     placed = staged(placed, "classes")
     last = F.lit(2**63 - 1)
@@ -309,12 +330,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without all but the first document of each class. Rows that are equal in id and text stay once."""
-    keep = near_duplicates(docs.select("doc_id", "text"), threshold).where("first").select("doc_id", "text_hash").distinct().alias("k")
+    """The rows of docs without all but the first document of each class. Rows that are equal in id and text stay once.
+
+    Only rows whose text may be one that goes, or that repeats, are shuffled; the others pass.
+    """
+    found = staged(near_duplicates(docs.select("doc_id", "text"), threshold), "found")
     name = fresh(docs, "text_hash")
-    d = docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", name]).alias("d")
+    d = docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    touched = staged(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.min("first").alias("first")).where("n > 1 or not first").select("text_hash").distinct(), "touched")
+    keep, _ = may_hold(found.where("first"), F.col("text_hash"), touched, "text_hash")
+    keep = keep.select("doc_id", "text_hash").distinct().alias("k")
+    unsure, sure = may_hold(d, F.col(name), touched, "text_hash")
+    unsure = unsure.dropDuplicates(["doc_id", name]).alias("d")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{name}") == F.col("k.text_hash"))
-    return d.join(keep, same, "left_semi").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    return sure.drop(name).unionByName(unsure.join(keep, same, "left_semi").select(*[F.col(f"d.`{c}`") for c in docs.columns]))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
