@@ -1,14 +1,15 @@
 """A training corpus from raw documents: toxicity, line dedup, near duplicates, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns of
-documents. Stages are written to the shared folder and read again, so that a lost executor never repeats an earlier stage.
+documents. Stages are written to the shared folder and read again, so that a lost executor never repeats an earlier stage;
+what a stage has staged for itself goes once its result is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm.common import bounded_batches, staged, table
+from broadsheet.llm.common import bounded_batches, release, staged, table
 from broadsheet.llm.line_templates import drop_recurring_lines
 from broadsheet.llm.mixing import mix_documents
 from broadsheet.llm.ngram_join import drop_near_duplicates
@@ -58,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        release(spark, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
