@@ -76,6 +76,28 @@ def policy_reason(url: Column, hosts: list[str], allow: list[str] | None = None,
     )
 
 
+def policy_by(url: Column, hosts: Column, source_url: Column, allow: Column, allow_text: Column, exclude: Column, navigation: Column, restricted: Column) -> Column:
+    """policy_reason() where hosts and patterns are columns of arrays, one set a source. Patterns compile; null counts as none.
+
+    allow_text holds allowances that count as plain text, restricted says whether there is any allowance.
+    """
+    some = lambda array: F.coalesce(array, F.array().cast("array<string>"))
+    any_in = lambda array, text: F.exists(some(array), lambda p: F.regexp_like(text, F.concat(F.lit("(?i)"), p)))
+    path = urls.path(url)
+    allowed = any_in(allow, url)
+    told = allowed | F.exists(some(allow_text), lambda t: F.contains(F.lower(url), t))
+    clean = url.rlike(r"^https?://[^/?#@]+(?:[/?#]|$)")
+    return ladder(
+        (url.isNull() | ~clean | ~F.array_contains(some(hosts), F.rtrim(F.lower(urls.host(url)), F.lit("."))), "not_official"),
+        (any_in(exclude, url), "excluded"),
+        (F.coalesce(url == source_url, F.lit(False)), "source_page"),
+        (F.regexp_replace(path, "/+$", "") == "", "root_page"),
+        (F.coalesce(restricted, F.lit(False)) & ~told, "not_allowed"),
+        (any_in(navigation, path), "navigation"),
+        (~told & matches(path, list(urls.NAVIGATION)), "default_navigation"),
+    )
+
+
 def accepted(df: DataFrame, url: str, **policy) -> DataFrame:
     return df.where(policy_reason(F.col(url), **policy).isNull())
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import classify, coerce, texts, urls
+from broadsheet.sources.scratch import staged
 
 from . import joins, latest, rollups
 from .candidates import canonical_kind
@@ -115,16 +116,17 @@ def classified_runs(runs: DataFrame, leases: DataFrame, stats: DataFrame, result
 def append_events(events: DataFrame, rows: DataFrame) -> DataFrame:
     """New events with ids after the greatest one, in order of arrival (run_id, arrival); metadata is made safe.
 
-    Ids are dealt with one narrow prefix count a partition, so no task sees all new rows.
+    The rows are range-partitioned and written once, with their place in their partition, so counting and numbering see the
+    same cuts. One count a partition reaches the driver; no task sees all new rows.
     """
     top = events.agg(F.max("id")).first()[0] or 0
     placed = rows.repartitionByRange("run_id", "arrival").sortWithinPartitions("run_id", "arrival").withColumn("_m", F.monotonically_increasing_id())
+    placed = staged(placed, "events")
     part = F.shiftright("_m", 33)
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
     before, total = {}, top
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    if not sizes:
+    for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():  # a row a partition
+        before[r["p"]], total = total, total + r["n"]
+    if not before:
         return rows.withColumn("id", F.lit(None).cast("long")).limit(0)
     start = F.element_at(F.create_map(*[F.lit(v).cast("long") for kv in before.items() for v in kv]), part)
     return placed.withColumn("id", start + F.col("_m") % (1 << 33) + 1).withColumn("metadata", texts.sanitize_metadata("metadata")).drop("_m")

@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import texts, urls
+from broadsheet.sources.scratch import staged
+
+from .components import components
 
 IDENTITY = ("canonical_url", "normalized_url", "source_url", "source_url_raw")
 BUSINESS = ("title", "published_at", "published_raw", "updated_at_source", "author", "summary", "content", "content_html", "image_url", "parse_status", "content_hash", "language", "crawl_status")
@@ -217,32 +220,13 @@ def identity_edges(rows: DataFrame) -> DataFrame:
 
 
 def label(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with ``component``, the least arrival that each hangs together with by edges (arrival_seq, key).
-
-    Least labels travel from rows to keys and back, and jump to the label of the row they name, until a turn changes
-    nothing: turns grow with the logarithm of the longest chain. Labels are checkpointed each turn.
-    """
-    edges = _kept(edges.distinct())
-    labels = _kept(rows.select("arrival_seq", F.col("arrival_seq").alias("component")))
-    while True:
-        by_key = edges.join(labels, "arrival_seq").groupBy("key").agg(F.min("component").alias("m"))
-        by_row = edges.join(by_key, "key").groupBy("arrival_seq").agg(F.min("m").alias("m"))
-        near = labels.join(by_row, "arrival_seq", "left").select("arrival_seq", F.least("component", F.coalesce("m", "component")).alias("near"), F.col("component").alias("was"))
-        far = near.select(F.col("arrival_seq").alias("near"), F.col("near").alias("far"))
-        new = _kept(near.join(far, "near", "left").select("arrival_seq", F.least("near", F.coalesce("far", "near")).alias("component"), "was"))
-        labels = new.drop("was")
-        if new.where("component <> was").isEmpty():
-            return rows.join(labels, "arrival_seq")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session shares; a local one is set only where none is (tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="broadsheet-"))
-    return df.checkpoint()
+    """rows with ``component``, the least arrival that each hangs together with by edges (arrival_seq, key)."""
+    edges = staged(edges.distinct(), "keys")
+    # Written out, so that both sides of the join are plain shuffles, whose hot keys Spark splits.
+    least = staged(edges.groupBy("key").agg(F.min("arrival_seq").alias("v")), "least")
+    linked = edges.join(least, "key").select(F.col("arrival_seq").alias("u"), "v").where("u <> v")
+    roots = components(linked, "identity").withColumnRenamed("node", "arrival_seq").withColumnRenamed("root", "component")
+    return rows.join(roots, "arrival_seq", "left").withColumn("component", F.coalesce("component", "arrival_seq"))
 
 
 def resolve(arrivals: DataFrame, max_shared: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +239,7 @@ def resolve(arrivals: DataFrame, max_shared: int = 1000) -> tuple[DataFrame, Dat
     columns = [x.strip().split(" ") for x in INPUT.split(",")]
     rows = arrivals.select(*[(F.col(n) if n in have else F.lit(None)).cast("bigint" if t == "long" else t).alias(n) for n, t in columns])
     placed = label(rows, identity_edges(rows))
-    folded = _kept(placed.groupBy("component").applyInPandas(lambda df: fold(df.drop(columns="component")), OUTPUT))
+    folded = staged(placed.groupBy("component").applyInPandas(lambda df: fold(df.drop(columns="component")), OUTPUT), "folded")
     outcomes = folded.where("kind = 'arrival'").select("arrival_seq", "article_id", "outcome")
     return outcomes, folded.where("kind = 'article'").drop("kind", "arrival_seq", "outcome")
 

@@ -7,10 +7,11 @@ can't be read yields no candidates and an error class.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ Adapter = Callable[[DataFrame, DataFrame], DataFrame]
 class AdapterRegistry:
     """Named adapters for sources of kind custom_adapter. Configuration names them; only code registers them.
 
-    An adapter gets (its sources, the documents of official hosts) and returns source_id, url and any other candidate column.
+    An adapter gets (its sources, the fetched documents of their official hosts) and returns source_id, url and any other candidate column.
     """
 
     def __init__(self):
@@ -54,22 +55,54 @@ def _shaped(found: DataFrame) -> DataFrame:
     return found.select(*[(F.col(n) if n in found.columns else F.lit(None)).cast(types.get(n, "string")).alias(n) for n in COLUMNS])
 
 
-def discover(sources: DataFrame, documents: DataFrame, adapters: AdapterRegistry | None = None, json_config: dict | None = None, archive_config: dict | None = None) -> DataFrame:
+def _config(sources: DataFrame, default: dict | None) -> Column:
+    """Each source's configuration over the default one, as a JSON object."""
+    if "config" not in sources.columns:
+        return F.lit(json.dumps(default or {}))
+    kind = dict(sources.dtypes)["config"]
+    base = F.create_map(*[F.lit(x) for k, v in (default or {}).items() for x in (k, v if isinstance(v, str) else json.dumps(v))]) if default else F.create_map().cast("map<string,string>")
+    own = F.col("config") if kind.startswith("map") else F.from_json("config", "map<string,string>")
+    own = F.coalesce(own, F.create_map().cast("map<string,string>"))
+    return F.to_json(F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k)), own))
+
+
+def discover(sources: DataFrame, documents: DataFrame, adapters: AdapterRegistry | None = None, json_config: dict | None = None, archive_config: dict | None = None, policies: DataFrame | None = None) -> DataFrame:
     """Candidates of enabled sources (id, publisher_id, url, kind, enabled, adapter) from documents (url, status, content).
 
-    registry_only sources yield none: they only have a status. Custom sources go to the adapter that they name.
+    sources may have ``config`` (a map, or JSON): paths of an API, selectors, next_selector and max_pages of an archive,
+    max_sitemaps of a sitemap. It goes before json_config and archive_config. Indexes of sitemaps and next links of archives
+    are followed through the documents. registry_only sources yield none: they only have a status. Custom sources go to the
+    adapter that they name, which gets documents of official hosts alone: those of policies (source_id or publisher_id,
+    hosts), else the hosts of its sources' own URLs.
     """
     live = sources.where("enabled").withColumn("kind", c.canonical_kind(F.col("kind")))
-    read = live.join(documents.where(F.coalesce("status", F.lit(200)).between(200, 299)).select("url", "content"), "url")
-    scans = {("rss", "atom"): feeds.parse_feed("content", "url"), ("json_api",): jsonapi.parse_json_api(F.col("content"), F.col("url"), json_config), ("archive",): archives.parse_archive(F.col("content"), F.col("url"), archive_config)}
+    documents = documents.where(F.coalesce("status", F.lit(200)).between(200, 299)).select("url", "status", "content")
+    named = ["source_id", "publisher_id", "kind", "source_url"]
     tagged = [F.col("id").alias("source_id"), "publisher_id", "kind", F.col("url").alias("source_url")]
-    found = [_shaped(read.where(F.col("kind").isin(*kinds)).select(*tagged, F.explode(scan).alias("i")).select("source_id", "publisher_id", "kind", "source_url", "i.*")) for kinds, scan in scans.items()]
-    maps = live.where("kind = 'sitemap'").select(*tagged)
-    entries = feeds.sitemap_scan(documents.join(maps.select(F.col("source_url").alias("url")), "url", "left_semi")).where("not is_index")
-    found.append(_shaped(maps.join(entries.withColumnRenamed("sitemap_url", "source_url"), "source_url").withColumn("published_at", F.col("last_modified")).withColumn("published_raw", F.col("last_modified_raw"))))
+    feed = live.where(F.col("kind").isin("rss", "atom")).select(*tagged, "url").join(documents.select("url", "content"), "url")
+    found = [_shaped(feed.select(*named, F.explode(feeds.parse_feed("content", "url")).alias("i")).select(*named, "i.*"))]
+    api = live.where("kind = 'json_api'").select(*tagged, "url", _config(live, json_config).alias("said")).join(documents.select("url", "content"), "url")
+    found.append(_shaped(api.select(*named, F.explode(jsonapi.parse_json_api(F.col("content"), F.col("url"), F.col("said"))).alias("i")).select(*named, "i.*")))
+
+    # Sources of one URL share a walk, by the largest budget or the last configuration.
+    maps = live.where("kind = 'sitemap'").select(*tagged, F.get_json_object(_config(live, None), "$.max_sitemaps").cast("int").alias("max_sitemaps"))
+    if not maps.isEmpty():
+        walked = feeds.sitemap_walk(documents, maps.groupBy(F.col("source_url").alias("url")).agg(F.max("max_sitemaps").alias("max_sitemaps")))
+        entries = maps.join(walked.withColumnRenamed("root_url", "source_url"), "source_url")
+        found.append(_shaped(entries.withColumn("published_at", F.col("last_modified")).withColumn("published_raw", F.col("last_modified_raw"))))
+    pages = live.where("kind = 'archive'").select(*tagged, _config(live, archive_config).alias("config"))
+    if not pages.isEmpty():
+        roots = pages.groupBy(F.col("source_url").alias("url")).agg(F.max("config").alias("config"))
+        cards = archives.archive_walk(documents, roots)
+        found.append(_shaped(pages.drop("config").join(cards.withColumnRenamed("root_url", "source_url"), "source_url")))
     for name in adapters.names() if adapters else ():
         mine = live.where((F.col("kind") == "custom_adapter") & (F.col("adapter") == name))
-        out = adapters.get(name)(mine, documents)
+        hosts = mine.select(urls.host(F.col("url")).alias("host"))
+        if policies is not None:
+            key = "source_id" if "source_id" in policies.columns else "publisher_id"
+            hosts = mine.select(F.col("id").alias("source_id"), "publisher_id").join(policies, key).select(F.explode("hosts").alias("host"))
+        official = documents.withColumn("host", urls.host(F.col("url"))).join(hosts.distinct(), "host", "left_semi").drop("host")
+        out = adapters.get(name)(mine, official)
         found.append(_shaped(out.drop("publisher_id", "kind", "source_url").join(mine.select(*tagged), "source_id")))
     return reduce(DataFrame.unionByName, found)
 
@@ -83,18 +116,22 @@ def source_health(sources: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def select_candidates(found: DataFrame, policies: DataFrame, known: DataFrame, limit: int = 10, cutoff=None) -> tuple[DataFrame, DataFrame]:
-    """(to fetch, all with their fate). policies: publisher_id, hosts, phrases. known: url.
+    """(to fetch, all with their fate). policies: source_id or publisher_id, hosts, phrases, and patterns. known: url.
 
-    Fates, in this order: off_policy, off_topic, too_old, duplicate (within the source or of an earlier source), known,
-    over_limit, new. Sources take turns by priority of kind, then id.
+    Patterns are the columns allow, allow_text, exclude, navigation and restricted of registry.policies(); a policy without
+    them has none. Fates, in this order: off_policy, off_topic, too_old, duplicate (within the source or of an earlier
+    source), known, over_limit, new. Sources take turns by priority of kind, then id.
     """
-    x = found.withColumn("key", urls.normalize_url("url")).join(policies, "publisher_id", "left")
-    official = F.coalesce(F.array_contains("hosts", urls.host(F.col("key"))), F.lit(False)) & F.coalesce(F.col("key").rlike(r"^https?://[^/?#@]+(?:[/?#]|$)"), F.lit(False))
+    for name, kind in (("allow", "array<string>"), ("allow_text", "array<string>"), ("exclude", "array<string>"), ("navigation", "array<string>"), ("restricted", "boolean")):
+        if name not in policies.columns:
+            policies = policies.withColumn(name, F.lit(None).cast(kind))
+    names = ["hosts", "allow", "allow_text", "exclude", "navigation", "restricted", "phrases"]
+    of = "source_id" if "source_id" in policies.columns else "publisher_id"
+    x = found.withColumn("key", urls.normalize_url("url")).join(policies.select(of, *names), of, "left")
     text = texts.title_key(F.concat_ws(" ", "title", "summary", "author"))
     on_topic = F.coalesce(F.size("phrases"), F.lit(0)) <= 0
     x = x.withColumn("_text", text).withColumn("_topic", on_topic | F.exists(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: F.contains(F.col("_text"), p)))
-    path = urls.path(F.col("key"))
-    bad = ~official | (F.regexp_replace(path, "/+$", "") == "") | (F.col("key") == F.col("source_url")) | c.matches(path, list(urls.NAVIGATION))
+    bad = c.policy_by(F.col("key"), F.col("hosts"), F.col("source_url"), *[F.col(n) for n in names[1:6]]).isNotNull()
     old = F.coalesce(F.col("published_at") < cutoff, F.lit(False)) if cutoff is not None else F.lit(False)
     x = x.withColumn("fate", F.when(F.coalesce(bad, F.lit(True)), "off_policy").when(~F.col("_topic"), "off_topic").when(old, "too_old"))
     order = [c.source_order(F.col("kind")), F.col("source_id"), F.col("position")]
@@ -102,7 +139,7 @@ def select_candidates(found: DataFrame, policies: DataFrame, known: DataFrame, l
     x = x.join(known.select(F.col("url").alias("key"), F.lit(True).alias("_known")).distinct(), "key", "left")
     x = x.withColumn("fate", F.coalesce("fate", F.when(F.col("_n") > 1, "duplicate").when(F.col("_known"), "known")))
     x = x.withColumn("_n", F.row_number().over(W.partitionBy("source_id", F.col("fate").isNull()).orderBy(*order)))
-    x = x.withColumn("fate", F.coalesce("fate", F.when(F.col("_n") > limit, "over_limit").otherwise(F.lit("new")))).drop("_n", "_known", "_text", "_topic", "hosts", "phrases")
+    x = x.withColumn("fate", F.coalesce("fate", F.when(F.col("_n") > limit, "over_limit").otherwise(F.lit("new")))).drop("_n", "_known", "_text", "_topic", *names)
     return x.where("fate = 'new'"), x
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from broadsheet.functions import dates, texts, urls
 
 from . import markup
 from .feeds import ITEM, _frame
+from .jsonapi import _config
+from .scratch import staged
 
 MAX_PAGES = 100
 #: Selectors that hold where a registry names none.
@@ -42,34 +46,55 @@ def next_page(page: str | None, base: str | None, selector: str) -> str | None:
     return urls.resolve(base, link.attrs.get("href"), identity=False) if link is not None else None
 
 
-def parse_archive(page: Column, base: Column, config: dict | None = None, deduplicate: bool = True) -> Column:
+def parse_archive(page: Column, base: Column, config: dict | Column | None = None, deduplicate: bool = True) -> Column:
+    """Candidates of a page; config is one for all pages, or a column of JSON objects."""
+
     @F.pandas_udf(T.ArrayType(ITEM))
-    def parse(page: pd.Series, base: pd.Series) -> pd.Series:
-        return _frame([archive_items(p, b, config, deduplicate) for p, b in zip(page, base, strict=True)])
+    def parse(page: pd.Series, base: pd.Series, said: pd.Series) -> pd.Series:
+        return _frame([archive_items(p, b, _config(c), deduplicate) for p, b, c in zip(page, base, said, strict=True)])
 
-    return parse(page, base)
+    return parse(page, base, config if isinstance(config, Column) else F.lit(json.dumps(config or {})))
 
 
 def archive_scan(documents: DataFrame, config: dict | None = None, deduplicate: bool = True) -> DataFrame:
     return documents.select("url", F.explode(parse_archive(F.col("content"), F.col("url"), config, deduplicate)).alias("i")).select(F.col("url").alias("page_url"), "i.*")
 
 
-def archive_walk(documents: DataFrame, roots: DataFrame, selector: str, config: dict | None = None, max_pages: int = 10, preserve_duplicates: bool = False) -> DataFrame:
-    """Candidates of the pages that next links lead to from roots (url); across pages the first of a URL stays."""
+@F.pandas_udf(T.StringType())
+def _follow(page: pd.Series, base: pd.Series, said: pd.Series) -> pd.Series:
+    found = [(p, b, _config(c).get("next_selector")) for p, b, c in zip(page, base, said, strict=True)]
+    return pd.Series([next_page(p, b, s) if s else None for p, b, s in found], dtype=object)
 
-    @F.pandas_udf(T.StringType())
-    def follow(page: pd.Series, base: pd.Series) -> pd.Series:
-        return pd.Series([next_page(p, b, selector) for p, b in zip(page, base, strict=True)], dtype=object)
 
-    frontier, visited, found = roots.select("url").distinct(), roots.select("url").distinct(), None
-    for number in range(min(max_pages, MAX_PAGES)):
-        pages = documents.join(frontier, "url", "left_semi")
-        items = archive_scan(pages, config, not preserve_duplicates).withColumn("page", F.lit(number))
+def archive_walk(documents: DataFrame, roots: DataFrame, selector: str | None = None, config: dict | None = None, max_pages: int = 10, preserve_duplicates: bool = False) -> DataFrame:
+    """Candidates of the pages that next links lead to from roots (url), with ``root_url``; of a root's candidates the first of a URL stays.
+
+    roots may have a column ``config`` of JSON objects, whose selectors, next_selector and max_pages go before those given.
+    Each turn parses the pages of its frontier alone, cards and next link at once, and writes them out.
+    """
+    base = {**(config or {}), "next_selector": selector, "max_pages": max_pages}
+    own = F.coalesce(F.col("config"), F.lit("{}")) if "config" in roots.columns else F.lit("{}")
+
+    @F.pandas_udf(T.StringType())
+    def merged(said: pd.Series) -> pd.Series:
+        return said.map(lambda text: json.dumps({**base, **_config(text)}))
+
+    frontier = staged(roots.select(F.col("url").alias("root_url"), "url", merged(own).alias("config")).dropDuplicates(["root_url"]), "frontier")
+    most = F.least(F.coalesce(F.get_json_object("config", "$.max_pages").cast("int"), F.lit(max_pages)), F.lit(MAX_PAGES))
+    visited, found, number = frontier.select("root_url", "url"), None, 0
+    while True:
+        pages = documents.select("url", "content").join(frontier, "url")
+        pages = pages.select("root_url", "config", F.col("url").alias("page_url"), parse_archive(F.col("content"), F.col("url"), F.col("config"), not preserve_duplicates).alias("items"), _follow("content", "url", "config").alias("next"))
+        pages = staged(pages, "pages")
+        items = pages.select("root_url", "page_url", F.lit(number).alias("page"), F.explode("items").alias("i")).select("root_url", "page_url", "page", "i.*")
         found = items if found is None else found.unionByName(items)
-        frontier = pages.select(follow("content", "url").alias("url")).where("url is not null").distinct().join(visited, "url", "left_anti")
+        number += 1
+        following = pages.where("next is not null").where(F.lit(number) < most).select("root_url", F.col("next").alias("url"), "config")
+        frontier = staged(following.join(visited, ["root_url", "url"], "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier)
+        visited = visited.unionByName(frontier.select("root_url", "url"))
     if preserve_duplicates:
         return found
-    return found.groupBy("url").agg(F.min_by(F.struct(*[c for c in found.columns if c != "url"]), F.struct("page", "page_url", "position")).alias("i")).select("url", "i.*")
+    first = found.groupBy("root_url", "url").agg(F.min_by(F.struct(*[c for c in found.columns if c not in ("root_url", "url")]), F.struct("page", "page_url", "position")).alias("i"))
+    return first.select("root_url", "url", "i.*")

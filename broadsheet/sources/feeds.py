@@ -6,12 +6,15 @@ import xml.etree.ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.functions import dates, texts, urls
 from broadsheet.operators.joins import missing
 
+from .scratch import staged
+
 _S, _TS = T.StringType(), T.TimestampType()
 ITEM = T.StructType(
     [T.StructField("position", T.IntegerType())]
@@ -132,24 +135,27 @@ def sitemap_scan(documents: DataFrame) -> DataFrame:
 
 
 def sitemap_walk(documents: DataFrame, roots: DataFrame, max_sitemaps: int = 20) -> DataFrame:
-    """Entries of all sitemaps that indexes lead to from roots (url), ``max_sitemaps`` documents in all, breadth first.
+    """Entries of all sitemaps that indexes lead to from roots (url; max_sitemaps, if it has that column), with ``root_url``.
 
-    Each turn joins the indexes' targets with the documents and leaves out what was visited, so an index that names itself
-    ends. The turns are few: they are the depth of nested indexes.
+    Each root has a budget of its own: so many documents, itself among them, in order of their discovery: breadth first, in
+    the order of the indexes' entries. What a root has visited isn't visited again for it, so an index that names itself
+    ends. Each turn parses the documents of its frontier alone and writes them out. Turns are as many as indexes are nested.
     """
-    every = sitemap_scan(documents)
-    visited, frontier, found = roots.select("url").distinct(), roots.select("url").distinct(), None
-    left = max_sitemaps
-    while left > 0:
-        frontier = frontier.orderBy("url").limit(left)
-        left -= frontier.count()
-        entries = every.join(frontier.select(F.col("url").alias("sitemap_url")), "sitemap_url", "left_semi")
-        found = entries.where("not is_index") if found is None else found.unionByName(entries.where("not is_index"))
-        frontier = missing(entries.where("is_index").select("url").distinct(), visited, ["url"])
+    budget = F.greatest(F.coalesce(F.col("max_sitemaps").cast("int") if "max_sitemaps" in roots.columns else F.lit(None), F.lit(max_sitemaps)), F.lit(1))
+    frontier = staged(roots.select(F.col("url").alias("root_url"), "url", budget.alias("budget"), F.lit(0).cast("long").alias("place")).distinct(), "frontier")
+    visited, found = frontier.select("root_url", "url"), None
+    while True:
+        entries = sitemap_scan(documents.join(frontier.select("url").distinct(), "url", "left_semi")).withColumnRenamed("url", "target")
+        entries = staged(entries.join(frontier.withColumnRenamed("url", "sitemap_url"), "sitemap_url"), "sitemaps")
+        here = entries.where("not is_index")
+        found = here if found is None else found.unionByName(here)
+        next_ones = entries.where("is_index").groupBy("root_url", "budget", F.col("target").alias("url")).agg(F.min(F.struct("place", "position")).alias("at"))
+        next_ones = missing(next_ones, visited, ["root_url", "url"]).join(visited.groupBy("root_url").agg(F.count("*").alias("used")), "root_url")
+        next_ones = next_ones.withColumn("place", F.row_number().over(W.partitionBy("root_url").orderBy("at")).cast("long")).where(F.col("place") + F.col("used") <= F.col("budget"))
+        frontier = staged(next_ones.select("root_url", "url", "budget", "place"), "frontier")
         if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
-    return found if found is not None else every.limit(0)
+            return found.drop("budget", "place").withColumnRenamed("target", "url")
+        visited = visited.unionByName(frontier.select("root_url", "url"))
 
 
 def robots_allows(text: str | None, agent: str, path: str) -> bool:

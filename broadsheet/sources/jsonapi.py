@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,12 +104,31 @@ def json_items(payload, base: str | None, config: dict | None = None, deduplicat
     return out
 
 
-def parse_json_api(payload: Column, base: Column, config: dict | None = None, deduplicate: bool = True) -> Column:
+def parse_json_api(payload: Column, base: Column, config: dict | Column | None = None, deduplicate: bool = True) -> Column:
+    """Items of a document; config is one for all documents, or a column of JSON objects."""
+
     @F.pandas_udf(T.ArrayType(ITEM))
-    def parse(payload: pd.Series, base: pd.Series) -> pd.Series:
-        return _frame([json_items(p, b, config, deduplicate) for p, b in zip(payload, base, strict=True)])
+    def parse(payload: pd.Series, base: pd.Series, said: pd.Series) -> pd.Series:
+        return _frame([json_items(p, b, _config(c), deduplicate) for p, b, c in zip(payload, base, said, strict=True)])
+
+    return parse(payload, base, config if isinstance(config, Column) else F.lit(json.dumps(config or {})))
+
+
+@lru_cache(1024)
+def _config(text: str | None) -> dict:
+    """A configuration; lists and objects may be JSON texts themselves, as a map of texts holds them."""
+
+    def value(text):
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
 
-    return parse(payload, base)
+    found = value(text or "{}")
+    if not isinstance(found, dict):
+        return {}
+    nested = {k: value(v) for k, v in found.items() if isinstance(v, str) and v[:1] in ("[", "{")}
+    return {k: v if nested.get(k) is None else nested[k] for k, v in found.items() if v}
 
 
 def json_scan(documents: DataFrame, config: dict | None = None, deduplicate: bool = True) -> DataFrame:

@@ -6,8 +6,10 @@ A registry is small, so it is read and checked on the driver; its frames are the
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.functions import texts, urls
@@ -94,13 +96,39 @@ def frames(spark: SparkSession, publishers: list[dict], sources: list[dict]) ->
         names = [c.split(" ")[0] for c in re.split(r", (?![^<]*>)", schema)]
         data = []
         for r in rows:
-            more = {str(k): str(v) for k, v in {**(r.get(rest) or {}), **{k: v for k, v in r.items() if k not in names}}.items() if v is not None}
+            more = {str(k): json.dumps(v) if isinstance(v, list | tuple | dict) else str(v) for k, v in {**(r.get(rest) or {}), **{k: v for k, v in r.items() if k not in names}}.items() if v is not None}
             data.append(tuple(more if n == rest else [str(x) for x in _list(r.get(n))] if n == "groups" else r.get(n) if n == "enabled" or r.get(n) is None else str(r[n]) for n in names))
         return spark.createDataFrame(data, schema)
 
     return shaped(publishers, PUBLISHERS, "metadata"), shaped(sources, SOURCES, "config")
 
 
+POLICIES = "source_id string, hosts array<string>, allow array<string>, allow_text array<string>, exclude array<string>, navigation array<string>, phrases array<string>, restricted boolean"
+
+
+def policies(spark: SparkSession, publishers: list[dict], sources: list[dict]) -> DataFrame:
+    """What each source's candidates must satisfy, one row a source: see candidates.policy_by.
+
+    A pattern that doesn't compile never matches; as an allowance it counts as plain text.
+    """
+    compiles, by_id, rows = spark.sparkContext._jvm.java.util.regex.Pattern.compile, {p["id"]: p for p in publishers}, []
+
+    def usable(pattern: str) -> bool:
+        try:
+            return bool(compiles(pattern))
+        except Py4JJavaError:
+            return False
+
+    for s in sources:
+        said, config = policy(by_id.get(s.get("publisher_id"), {}), s), s.get("config") or {}
+        good = {n: [p for p in said[n] if usable(p)] for n in PATTERN_KEYS}
+        text = [p.lower() for p in said["allow"] if p not in good["allow"]]
+        identity = config.get("identity_filter")
+        phrases = [k for x in _list(identity.get("any") if isinstance(identity, dict) else identity) if (k := texts.key(str(x)))]
+        rows.append((s["id"], said["hosts"], good["allow"], text, good["exclude"], good["navigation"], phrases, bool(said["allow"])))
+    return spark.createDataFrame(rows, POLICIES)
+
+
 def issues(publishers: list[dict], sources: list[dict], countries: set[str] | None = None) -> list[tuple[str, str, str]]:
     """(path, code, message) for each broken rule."""
     found: list[tuple[str, str, str]] = []
