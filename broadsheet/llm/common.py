@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.sources.scratch import mark, release, scratch_dir, staged  # noqa: F401  for the operators
+
 #: One word of a text: a maximal run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one Arrow batch carries to Python. Texts may be long, so batches stay short.
@@ -19,47 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none and runs on one machine (tests, a laptop) is a local folder made and recorded in the
-    session. On a cluster a local folder would scatter tables over executors' own disks, so there it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.broadsheet.scratch", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="broadsheet-")
-        spark.conf.set("spark.broadsheet.scratch", base)
-    return base
-
-
-_STAGED: list[str] = []
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/broadsheet-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STAGED.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, keep: DataFrame | None = None) -> int:
-    """Removes all tables that this process has staged, but for ``keep``. Call it once the results made from them are written."""
-    jvm, removed, kept = spark.sparkContext._jvm, 0, []
-    spared = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
-    while _STAGED:
-        name = _STAGED.pop()
-        if name.rpartition("/")[2] in spared:
-            kept.append(name)
-            continue
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
-    _STAGED.extend(kept)
-    return removed
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet."""
     have = {c.lower() for c in df.columns}

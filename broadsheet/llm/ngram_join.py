@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.operators.components import components
+
 from .common import bounded_batches, fresh, let, may_hold, shingle_hashes, staged, table, words
-from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 4

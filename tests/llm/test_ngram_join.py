@@ -5,7 +5,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from broadsheet.llm import components, ngram_join
+from broadsheet.llm import ngram_join
+from broadsheet.operators import components
 
 
 def plain(docs):
