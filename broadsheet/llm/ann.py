@@ -5,8 +5,14 @@ on a bounded sample (SAMPLE vectors, by hash of the vector); every vector is ind
 centroid, its code quantises what the centroid leaves. A query visits the nearest lists, as many as hold TARGET of the true
 neighbours of TUNE sample vectors within the sample. Lists are cut into chunks and each chunk meets the queries that visit
 it, in blocks: a table of distances between query residual and codewords gives asymmetric distances to all codes, and the
-nearest of the chunk (RERANK of them, or a share that is tuned likewise) are measured on the original vectors in double
-precision. The answers of all chunks are merged. Neither a whole list nor all queries are ever gathered in one task.
+nearest of the chunk (RERANK of them, or a share that is tuned likewise, and all that are as near by code) are measured on
+the original vectors in double precision. The answers of all chunks are merged. Neither a whole list nor all queries are
+ever gathered in one task.
+
+Lists, codes and asymmetric distances are in single precision, of vectors divided by the power of two nearest the sample's
+median norm, components held within LIMIT. A query whose norm is more than FAR such units can't be told apart by them: it
+visits all lists and is measured against every vector. Distances whose squares leave double precision are taken by a
+scaled norm.
 """
 
 from __future__ import annotations
@@ -26,7 +32,9 @@ NEIGHBOURS, SAMPLE, RERANK = 10, 20_000, 200
 #: Share of true neighbours that the visited lists shall hold, and sample vectors that this is measured on.
 TARGET, TUNE = 0.985, 256
 #: Most lists; components that one codebook covers; codewords a codebook.
-LISTS, PART, WORDS = 4096, 4, 64
+LISTS, PART, WORDS = 4096, 4, 256
+#: Largest scaled component, and largest scaled norm of a query that the lists can place.
+LIMIT, FAR = 1e15, 2.0**20
 #: Entries of a chunk, queries that meet it in one task, and at once.
 CHUNK, BLOCK, QUERIES = 4096, 16_384, 1024
 TURNS, SEED = 12, 11
@@ -51,8 +59,7 @@ def kmeans(x: np.ndarray, k: int, turns: int = TURNS, seed: int = SEED) -> np.nd
     for _ in range(turns):
         d = np.concatenate([_squared(x[i : i + 4096], centroids).argmin(1) for i in range(0, len(x), 4096)])
         n = np.bincount(d, minlength=k)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, d, x)
+        sums = np.stack([np.bincount(d, column, k) for column in x.T], 1)
         full = n > 0
         centroids[full] = sums[full] / n[full, None]
         if not full.all():
@@ -63,24 +70,36 @@ def kmeans(x: np.ndarray, k: int, turns: int = TURNS, seed: int = SEED) -> np.nd
 class Index:
     """Coarse centroids and one codebook for each PART components. Its size depends on LISTS, WORDS and the dimension."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.dim = sample.shape[1]
+    def __init__(self, wide: np.ndarray, lists: int):
+        self.dim = wide.shape[1]
+        self.power = -int(np.frexp(np.median(norms(wide)))[1])
+        sample = self.narrow(wide)
         self.centroids = kmeans(sample, lists)
         left = sample - self.centroids[self.lists(sample, 1)[:, 0]]
         self.cuts = [(i, min(i + PART, self.dim)) for i in range(0, self.dim, PART)]
         self.books = [kmeans(left[:, a:b], WORDS) for a, b in self.cuts]
 
-    def tune(self, sample: np.ndarray, copies: np.ndarray, neighbours: int, target: float) -> tuple[int, float]:
+    def narrow(self, wide: np.ndarray) -> np.ndarray:
+        """Scaled vectors in single precision."""
+        with np.errstate(over="ignore"):
+            return np.clip(np.ldexp(wide, self.power), -LIMIT, LIMIT).astype(np.float32)
+
+    def far(self, wide: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return norms(np.clip(np.ldexp(wide, self.power), -LIMIT, LIMIT)) > FAR
+
+    def tune(self, wide: np.ndarray, copies: np.ndarray, neighbours: int, target: float) -> tuple[int, float]:
         """(lists to visit, share of a list to measure) that hold the target share of the sample's own nearest neighbours.
 
         The first is by the places of the neighbours' lists in order of nearness, the second by the neighbours' places in
         their lists in order of asymmetric distance. Copies count.
         """
-        if len(sample) < 2:
+        sample, asks = self.narrow(wide), np.flatnonzero(~self.far(wide))[:TUNE]
+        if len(sample) < 2 or not len(asks):
             return 1, 1.0
-        asked, own = sample[:TUNE], self.lists(sample, 1)[:, 0]
+        asked, own = sample[asks], self.lists(sample, 1)[:, 0]
         d = _squared(asked, sample)
-        d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+        d[np.arange(len(asked)), asks] = np.inf
         n = min(neighbours, len(sample) - 1)
         true = np.argpartition(d, n - 1, axis=1)[:, :n]
         true = np.take_along_axis(true, np.take_along_axis(d, true, 1).argsort(1), 1)
@@ -120,7 +139,29 @@ class Index:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float32) for v in column])
+    return np.stack([np.asarray(v, np.float64) for v in column])
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    """Euclidean norms of the rows; where squares over- or underflow, of the rows scaled by a power of two."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        out = np.sqrt((x**2).sum(1))
+        odd = np.flatnonzero(~((out > 1e-140) & (out < 1e150)))
+        if len(odd):
+            power = np.frexp(np.abs(x[odd]).max(1))[1]
+            out[odd] = np.ldexp(np.sqrt((np.ldexp(x[odd], -power[:, None]) ** 2).sum(1)), power)
+    return out
+
+
+def measure(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x to v; infinite only where the distance itself is beyond double precision."""
+    with np.errstate(over="ignore"):
+        apart = x - v
+        out = norms(apart)
+        odd = np.flatnonzero(~np.isfinite(apart).all(1))
+        if len(odd):
+            out[odd] = 4 * norms(x[odd] / 4 - v / 4)
+    return out
 
 
 def entries(vectors: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -149,7 +190,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS
     Both have vec_id and embedding. Vectors that are null, all zero, hold null or non-finite components, or whose length is
     not that of most vectors of the sample take no part. The query's own row is no candidate. Ties go to the smaller id. A
     repeated id is one candidate and one query for each of its different vectors; null ids take no part. An empty table
-    gives no rows. If the lists visited hold too few vectors, the query visits all lists.
+    gives no rows. Components of any finite size are measured, see above. If the lists visited hold too few vectors, the query visits all lists.
     """
     vectors, queries = (d.where(F.col("vec_id").isNotNull()) for d in (vectors, queries))
     rows = staged(entries(vectors, neighbours), "entries")
@@ -168,7 +209,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                x = _matrix(f["embedding"])
+                x = shared.value.narrow(_matrix(f["embedding"]))
                 at = shared.value.lists(x, 1)[:, 0]
                 yield pd.DataFrame({"list": at.astype(np.int32), "key": f["key"], "ids": f["ids"], "embedding": f["embedding"], "code": [c.tobytes() for c in shared.value.codes(x, at)]})
 
@@ -184,8 +225,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS
         for f in frames:
             if not len(f):
                 continue
-            lists = shared.value.lists(_matrix(f["embedding"]), probes)
-            few = held[lists].sum(1) <= neighbours
+            x = _matrix(f["embedding"])
+            lists = shared.value.lists(shared.value.narrow(x), probes)
+            few = (held[lists].sum(1) <= neighbours) | shared.value.far(x)
             out = [(q, e, at, c) for q, e, found, all_ in zip(f["q"], f["embedding"], lists, few, strict=True) for at in (chunks if all_ else found) for c in range(chunks.get(at, 0))]
             yield pd.DataFrame(out, columns=["q", "embedding", "list", "chunk"])
 
@@ -196,20 +238,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS
         none = pd.DataFrame({"q": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(left) or not len(right):
             return none
-        x, query = _matrix(right["embedding"]), _matrix(left["embedding"])
+        wide, asked = _matrix(right["embedding"]), _matrix(left["embedding"])
+        query, far = shared.value.narrow(asked), shared.value.far(asked)
         codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-        ids, wide = right["ids"].to_list(), np.stack(right["embedding"].to_numpy())
+        ids, every = right["ids"].to_list(), np.arange(len(right))
         out: list = []
         for i in range(0, len(query), QUERIES):
-            some = query[i : i + QUERIES]
-            near = shared.value.distances(some, int(right["list"].iloc[0]), codes)
+            near = shared.value.distances(query[i : i + QUERIES], int(right["list"].iloc[0]), codes)
             most = max(rerank, int(np.ceil(shared.value.share * near.shape[1])))
-            top = np.argpartition(near, most - 1, axis=1)[:, :most] if near.shape[1] > most else np.tile(np.arange(near.shape[1]), (len(some), 1))
-            for q, v, at in zip(left["q"].iloc[i : i + QUERIES], left["embedding"].iloc[i : i + QUERIES], top, strict=True):
-                d = np.sqrt(((wide[at] - v) ** 2).sum(1))
+            limits = np.partition(near, most - 1, axis=1)[:, most - 1] if near.shape[1] > most else np.full(len(near), np.inf)
+            for q, v, mine, limit, whole in zip(left["q"].iloc[i : i + QUERIES], asked[i : i + QUERIES], near, limits, far[i : i + QUERIES], strict=True):
+                at = every if whole else np.flatnonzero(mine <= limit)
+                d = measure(wide[at], v)
                 order = np.argsort(d, kind="stable")
-                limit = d[order[min(neighbours, len(order) - 1)]]  # each entry has an id, so more are never needed
-                found = sorted((d[k], vec_id) for k in order if d[k] <= limit for vec_id in ids[at[k]])[: neighbours + 1]
+                last = d[order[min(neighbours, len(order) - 1)]]  # each entry has an id, so more are never needed
+                found = sorted((d[k], vec_id) for k in order if d[k] <= last for vec_id in ids[at[k]])[: neighbours + 1]
                 out += [(q, vec_id, score) for score, vec_id in found]
         return pd.DataFrame(out, columns=["q", "vec_id", "score"])
 

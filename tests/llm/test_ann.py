@@ -37,3 +37,31 @@ def test_edges(spark):
     assert ann.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
     alone = vectors.where("vec_id = 0")
     assert ann.nearest(alone, alone).count() == 0
+
+
+@pytest.mark.parametrize("odd", [{7: 1e39, 1300: -3e38}, {7: 1e200, 500: 1.7e308, 501: -1.7e308}, {}])
+@pytest.mark.parametrize("unit", [1.0, 1e-200])
+def test_components_of_any_size(spark, odd, unit):
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(1500, 16)) * unit
+    for at, value in odd.items():
+        x[at, at % 16] = value
+    vectors = spark.createDataFrame([(i, x[i].tolist()) for i in range(1500)], "vec_id long, embedding array<double>")
+    asked = [*range(0, 1500, 50), *odd]
+    found = ann.nearest(vectors, vectors.where(vectors.vec_id.isin(asked))).toPandas()
+    hits = 0
+    for q, mine in found.groupby("query_id"):
+        d = ann.measure(x, x[q])
+        d[q] = np.nan
+        true = np.lexsort((np.arange(1500), d))[:10]
+        hits += len(set(true) & set(mine.vec_id))
+        assert (mine.score.to_numpy() == d[mine.vec_id]).all()
+        if q in odd:
+            assert mine.sort_values("rank").vec_id.tolist() == true.tolist()
+    assert hits >= 0.95 * 10 * len(asked)
+
+
+def test_distances_out_of_the_square_range():
+    x = np.array([[3e200, 4e200], [3e-200, 4e-200], [3.0, 4.0], [1e308, 0.0], [0.0, 0.0]])
+    assert np.allclose(ann.measure(x, np.zeros(2)), [5e200, 5e-200, 5.0, 1e308, 0.0], rtol=1e-15)
+    assert ann.measure(x, np.array([-1e308, 0.0]))[3] == np.inf and ann.measure(x, np.array([-5e307, 0.0]))[3] == 1.5e308
