@@ -4,8 +4,9 @@ A line's words that hold a digit are variable fields and read ``<*>``. Lines des
 their first DEPTH words, to a leaf. In a leaf, a template is the line as a whole, or with one of four equal parts of the
 remaining words left open: lines that differ in one part only share that template, so a field of other kind (a name, a
 title) is generalised too, and at least three quarters of the words stay constant. Templates that recur across documents
-are dropped from all but the first document (``keep_first``) or from all. A line that is fields for more than half is its
-own template, word for word, lest rows of numbers pass for boilerplate.
+are dropped from all but the first document (``keep_first``) or from all. A line that is fields for more than half, or has
+under MIN_WORDS words, is its own template as it stands, lest rows of numbers pass for boilerplate. Words end at ASCII white
+space; a line that is written without it is measured in characters. Lines without words stay.
 
 Documents with equal text count as one: a copied document doesn't make its lines boilerplate. A line is a hash at each
 level, counted with partial sums in each task; a leaf or a template that all documents share is never gathered. Only lines
@@ -21,27 +22,37 @@ from .common import let, staged, table
 
 #: Leading words of the tree; parts of the rest that a template may leave open; least words of a line with open parts.
 DEPTH, PARTS, MIN_PARTED = 2, 4, 8
-#: A template recurs from so many documents; from LONG_DOCS if it has LONG_WORDS words. Lines under MIN_WORDS stay.
-MIN_DOCS, LONG_WORDS, LONG_DOCS, MIN_WORDS = 3, 50, 2, 3
+#: A template recurs from so many documents; from LONG_DOCS if it is LONG_WORDS long.
+MIN_DOCS, LONG_WORDS, LONG_DOCS = 3, 50, 2
+#: Lines of fewer words are their own template, and so are lines that are fields for more than half.
+MIN_WORDS = 3
+#: A line with more characters a word than this isn't written with spaces; its length counts in characters.
+UNSPACED = 20
+#: White space within a line besides the space.
+OTHER_SPACE = r"[\x09\x0B-\x0D]"
 #: A word with a digit.
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def _lines(text: Column) -> Column:
-    """For each line: n (words), leaf, keys (its templates); null for lines under MIN_WORDS."""
+    """For each line: n (length in words), leaf, keys (its templates); null for lines without words."""
 
     def hashed(w: Column, line: Column) -> Column:
         n = F.size(w)
+        bare = F.char_length(F.replace(line, F.lit(" "), F.lit("")))
+        length = F.when((F.char_length(line) > UNSPACED * n) & (bare > UNSPACED * n), bare).otherwise(n)
         rest = n - DEPTH
         cut = lambda j: F.lit(DEPTH) + F.floor(rest * j / PARTS).cast("int")
         parted = [F.xxhash64(n, F.lit(j), F.slice(w, F.lit(1), cut(j)), F.slice(w, cut(j + 1) + 1, n - cut(j + 1))) for j in range(PARTS)]
         whole = F.xxhash64(n, F.lit(-1), w)
         fields = F.size(F.filter(w, lambda x: x == "<*>"))
-        keys = F.when(fields * 2 > n, F.array(F.xxhash64(n, F.lit(-2), line))).when(n >= MIN_PARTED, F.array(whole, *parted)).otherwise(F.array(whole))
-        return F.when(n >= MIN_WORDS, F.struct(n.alias("n"), F.xxhash64(n, F.slice(w, 1, DEPTH)).alias("leaf"), keys.alias("keys")))
+        own = F.array(F.xxhash64(n, F.lit(-2), F.trim(line)))
+        keys = F.when((fields * 2 > n) | (n < MIN_WORDS), own).when(n >= MIN_PARTED, F.array(whole, *parted)).otherwise(F.array(whole))
+        return F.when(n > 0, F.struct(length.alias("n"), F.xxhash64(n, F.slice(w, 1, DEPTH)).alias("leaf"), keys.alias("keys")))
 
-    masked = F.split(F.regexp_replace(text, FIELD, "<*>"), "\n")
-    return F.zip_with(masked, F.split(text, "\n"), lambda m, line: let(F.filter(F.split(m, " "), lambda x: x != ""), lambda w: hashed(w, line)))
+    spaced = F.when(text.rlike(OTHER_SPACE), F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
+    masked = F.split(F.regexp_replace(spaced, FIELD, "<*>"), "\n")
+    return F.zip_with(masked, F.split(spaced, "\n"), lambda m, line: let(F.filter(F.split(m, " "), lambda x: x != ""), lambda w: hashed(w, line)))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
@@ -76,7 +87,9 @@ def drop_recurring_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     d, g = docs.alias("d"), found.alias("g")
     joined = d.join(g, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.fp")), "left")
     text, lines = F.col("d.text"), F.split(F.col("d.text"), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("g.gone"), i)), "\n")
+    # The numbers of the lines that stay are found by hashing, so the work grows with the lines alone.
+    stay = lambda said: F.array_except(F.sequence(F.lit(0), F.size(said) - 1), F.col("g.gone"))
+    kept = let(lines, lambda said: F.array_join(F.transform(stay(said), lambda i: F.get(said, i)), "\n"))
     new = F.when(F.size("g.gone") > 0, kept).otherwise(text)
     own = [c for c in docs.columns if c not in ("lines", "recurring", "dropped")]
     columns = [new.alias("text") if c == "text" else F.char_length(new).cast("long").alias(c) if c == "n_chars" else F.col(f"d.`{c}`") for c in own]
@@ -99,15 +112,16 @@ def template_sql(documents: str = "documents") -> str:
     parts = ", ".join(f"'{j} ' || n || ' ' || array_to_string(list_concat(w[:{part(j)}], w[{part(j + 1)} + 1:]), ' ')" for j in range(PARTS))
     return rf"""
 tl_split AS (
-  SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS said
+  SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS said,
+         unnest(string_split(regexp_replace(text, '{OTHER_SPACE}', ' ', 'g'), chr(10))) AS spaced
   FROM (SELECT DISTINCT doc_id, text FROM {documents} WHERE text IS NOT NULL)),
 tl_words AS (
-  SELECT *, list_filter(string_split(regexp_replace(said, '{FIELD}', '<*>', 'g'), ' '), lambda x: x <> '') AS w FROM tl_split),
-tl_lines AS (SELECT *, len(w) AS n FROM tl_words WHERE len(w) >= {MIN_WORDS}),
+  SELECT *, list_filter(string_split(regexp_replace(spaced, '{FIELD}', '<*>', 'g'), ' '), lambda x: x <> '') AS w, length(replace(spaced, ' ', '')) AS bare FROM tl_split),
+tl_lines AS (SELECT *, len(w) AS n, CASE WHEN bare > {UNSPACED} * len(w) THEN bare ELSE len(w) END AS long FROM tl_words WHERE len(w) > 0),
 tl_keys AS (
-  SELECT doc_id, text, line, n, unnest(CASE WHEN 2 * len(list_filter(w, lambda x: x = '<*>')) > n THEN ['= ' || said] WHEN n >= {MIN_PARTED} THEN ['- ' || array_to_string(w, ' '), {parts}] ELSE ['- ' || array_to_string(w, ' ')] END) AS key
+  SELECT doc_id, text, line, long, unnest(CASE WHEN 2 * len(list_filter(w, lambda x: x = '<*>')) > n OR n < {MIN_WORDS} THEN ['= ' || trim(spaced, ' ')] WHEN n >= {MIN_PARTED} THEN ['- ' || array_to_string(w, ' '), {parts}] ELSE ['- ' || array_to_string(w, ' ')] END) AS key
   FROM tl_lines),
-tl_once AS (SELECT key, text, max(n) AS n, min(doc_id) AS doc_id FROM tl_keys GROUP BY key, text),
+tl_once AS (SELECT key, text, max(long) AS n, min(doc_id) AS doc_id FROM tl_keys GROUP BY key, text),
 tl_counted AS (SELECT key, max(n) AS n, count(*) AS docs, arg_min(text, coalesce(doc_id, 9223372036854775807)) AS keeper FROM tl_once GROUP BY key),
 tl_recurring AS (SELECT key, keeper FROM tl_counted WHERE docs >= CASE WHEN n >= {LONG_WORDS} THEN {LONG_DOCS} ELSE {MIN_DOCS} END),
 tl_found AS (

@@ -30,6 +30,7 @@ def test_variable_fields_and_first_document(spark):
 
 def test_edges_and_sql(spark, tmp_path):
     rows = [(1, None), (None, ""), (2, "a\n\nb"), (3, "\n"), (5, "one two three"), (5, "one two three"), (6, "a\none two three"), (None, "one two three\nx"), (7, LONG + "\n" + LONG), (8, "1 2 3 and"), (9, "4 5 6 and"), (10, "7 8 9 and"), (11, "1 2 3 and\nz"), (12, "1 2 3 and\ny")]
+    rows += [(20 + i, f"Les.\r\ntab\tparted\tline\nown {chr(97 + i)} line\n{'字' * 60}\n\t") for i in range(3)] + [(30, "字" * 60 + "\nLes."), (31, "字" * 19 + f"\n{'字' * 19}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     with duckdb.connect() as c:
@@ -38,3 +39,25 @@ def test_edges_and_sql(spark, tmp_path):
     said = lambda f: sorted(str([None if pd.isna(x) else x if isinstance(x, str) else float(x) for x in r]) for r in f[sorted(f.columns)].astype(object).values.tolist())
     assert said(line_templates.op9_drop_template_lines(spark, str(tmp_path)).toPandas()) == said(expected)
     assert line_templates.drop_recurring_lines(docs.limit(0)).count() == 0
+
+
+def test_short_and_unspaced_lines(spark):
+    rows = [(i, f"Les.\r\nwhat {chr(97 + i)} says\n\n{'字' * 60 if i < 2 else ''}\ntwo\twords") for i in range(3)]
+    found = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0].text == rows[0][1] and found[0].recurring == 3
+    assert found[1].text == "what b says\n" and found[2].text == "what c says\n\n"
+
+
+def test_many_lines_in_linear_time(spark):
+    import time
+
+    def lines(n, mark):
+        return "\n".join(f"{mark} line {'abcdefghij'[i % 10]} {i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(n))
+
+    docs = [(d, lines(n, "m")) for d, n in ((0, 100_000), (1, 100_000), (2, 50_000))]
+    docs = [(d, f"own {'xyz'[d]} head\n{t}") for d, t in docs]
+    began = time.time()
+    found = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert time.time() - began < 60
+    assert found[2].text == "own z head" and found[1].lines == 100_001 and found[1].dropped == 50_000
+    assert found[1].text.count("\n") == 50_000
