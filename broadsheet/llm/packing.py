@@ -6,11 +6,13 @@ that it fills best. When none can hold it, the fullest window is topped up with
 ``min_cut`` ids of padding. The windows still open when a task's rows end are merged the same way, ``fan_in`` tasks at a
 time, until one task is left; each round passes on at most ``open_windows`` windows a task.
 
-Tokenizing caches ids by word in each Python worker, as the vocabulary splits at white space before merging anything.
+Tokenizing caches ids by word in each Python worker, as the vocabulary splits at white space before merging anything. A
+vocabulary that does otherwise is asked for whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -28,30 +30,47 @@ from .common import bounded_batches, staged, table
 WINDOW, OPEN_WINDOWS, MIN_CUT, FAN_IN = 4096, 16, 32, 32
 #: Id that ends every document.
 END_ID = 2
-#: Words whose ids one worker keeps; then the cache starts anew.
-CACHE_WORDS = 2_000_000
+#: Characters of the words whose ids one worker keeps, some 100 bytes a word besides; then the cache starts anew. Longer words aren't kept.
+CACHE_CHARS, CACHED_WORD = 16_000_000, 40
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, left binary"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("part", pa.int32()), ("left", pa.binary())])
 #: A sentence mark that stands alone for the tokenizer: after a letter or digit, before a space.
 _MARK = re.compile(r"[.,](?<=[^\W_][.,])(?= )")
+# How the tokenizers normalise and part texts that WordTokenizer may cut into words.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PARTED = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+MARKED = {"<|startoftext|>", "<|endoftext|>"}
 
 
 class WordTokenizer:
     """ids of whole texts, as little-endian unsigned 32-bit bytes, equal to encoding the text at once.
 
-    Valid for tokenizers that drop white space before merging. Texts are cut at spaces and line feeds, and before a
-    sentence mark that is a word of its own to the tokenizer. Lower-casing beforehand only shortens the cache; it is left
-    out where normal forms or the final sigma could make a difference.
+    Texts are cut at spaces and line feeds, and before a sentence mark that is a word of its own to the tokenizer.
+    Lower-casing beforehand only shortens the cache; it is left out where normal forms or the final sigma could make a
+    difference. All this holds for tokenizers with NORMAL and PARTED, which drop white space before merging; others get
+    whole texts.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_chars: int = CACHE_CHARS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache_words, self.cache = Tokenizer.from_file(path), cache_words, {}
+        self.tokenizer, self.cache_chars, self.cache, self.held = Tokenizer.from_file(path), cache_chars, {}, 0
+        self.by_word = self._parts_words(json.loads(self.tokenizer.to_str()))
         gap = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.gap = gap[0] if len(gap) == 1 else None
 
+    @staticmethod
+    def _parts_words(said: dict) -> bool:
+        normal, parts = said.get("normalizer") or {}, (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        first = parts[0]
+        return (
+            normal.get("normalizers") == NORMAL
+            and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", PARTED, "Removed", True)
+            and all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") for p in parts[1:])
+            and {t["content"] for t in said.get("added_tokens") or []} <= MARKED
+        )
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -69,18 +88,27 @@ class WordTokenizer:
                 self.cache[w] = self._ids(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self._ids(text) for text in texts]
         cut = []
         for text in texts:
             low = text.lower()
             if "<|" not in text and (text.isascii() or "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
                 text = low
             cut.append(_MARK.sub(r" \g<0>", text.replace("\n", " ")).split(" "))
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        if new := set().union(*cut).difference(self.cache):
-            self._learn(list(new))
+        new = list(set().union(*cut).difference(self.cache))
+        self._learn(new)
+        self.held += sum(map(len, new))
         known = self.cache.__getitem__
-        return [b"".join(map(known, one)) for one in cut]
+        out = [b"".join(map(known, one)) for one in cut]
+        for w in new:
+            if len(w) > CACHED_WORD:
+                del self.cache[w]
+                self.held -= len(w)
+        if self.held > self.cache_chars:
+            self.cache.clear()
+            self.held = 0
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -59,3 +59,25 @@ def test_many_tasks_merge_in_rounds(spark, encode):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(9)
     found = check(packing.pack(df, packing.vocabulary(), fan_in=2), spark, {i: encode(t) for i, t in docs})
     assert found.sequence_id.nunique() == 1
+
+
+def test_cache_is_bounded(encode):
+    words = packing.WordTokenizer(packing.vocabulary(), cache_chars=1000)
+    texts = ["x" * 1_000_000, " ".join(f"w{i}" for i in range(5000)), "字" * 100_000 + " end", "a b"]
+    for text in texts * 2:
+        assert words.encode([text]) == [encode(text)[:-1].tobytes()]
+        assert words.held <= 1000 and all(len(w) <= packing.CACHED_WORD for w in words.cache)
+    assert words.by_word
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    said = json.loads(Tokenizer.from_file(packing.vocabulary()).to_str())
+    said["pre_tokenizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    other, whole = packing.WordTokenizer(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not other.by_word
+    assert other.encode(["two words\nhere"])[0] == np.array(whole.encode("two words\nhere", add_special_tokens=False).ids, "<u4").tobytes()
