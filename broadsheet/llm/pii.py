@@ -1,17 +1,21 @@
 """Personal data: base expressions as seeds, and contexts learned from them.
 
-The seeds of a kind induce lexical patterns: the two words before a mention. Looser shapes of each kind (a number without
-country code, a card that fails its check digit, an address spelled with [at]) are candidates. Patterns and the values
-they precede form a graph; Spark scores it in turns: a pattern by the mean score of its values, a value by the chance that
-any of its patterns is right, seeds at 1. Candidates behind patterns that end with high confidence are reported as well.
-The graph is made of mentions, so it grows with the corpus, but never with the number of words.
+The seeds of a kind induce lexical patterns: the two words before a mention, or the one that starts its line, and the two
+words after it. Looser shapes of each kind (a number without country code, a card that fails
+its check digit, an address spelled with [at]) are candidates. Patterns and the values that they stand at form a graph;
+Spark scores it in turns: a pattern by the mean score of its values, a value by the chance that any of its patterns is
+right, seeds at 1. Candidates at patterns that end with high confidence are discovered; their values are seeds of the next
+round, which may raise further patterns, until a round discovers nothing more. The graph is made of mentions, so it grows
+with the corpus, but never with the number of words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +36,11 @@ LOOSE = {
     "card": re.compile(r"(?<![\w.-])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![\w-])"),
     "phone": re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])"),
 }
-#: Two words before a mention; the last may end in a mark such as a colon.
-CONTEXT = re.compile(r"([^\W\d_]+)[^\w\n]{1,3}([^\W\d_]+)[^\w\n]{0,3}$")
+#: Words around a mention in its line, parted by few marks: two on either side, or the one before it that starts the line.
+BEFORE, FIRST = re.compile(r"([^\W\d_]+)[^\w\n]{1,3}([^\W\d_]+)[^\w\n]{0,3}$"), re.compile(r"[^\w\n]*([^\W\d_]+)[^\w\n]{0,3}$")
+AFTER = re.compile(r"[^\w\n]{0,3}([^\W\d_]+)[^\w\n]{1,3}([^\W\d_]+)")
+#: Characters on either side that are looked at.
+REACH = 80
 
 #: Turns of scoring; least distinct seeds behind a pattern, and its least score, for it to discover anything.
 TURNS, MIN_SEEDS, MIN_SCORE = 3, 3, 0.6
@@ -82,18 +89,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _DIGIT = re.compile("[0-9]")
 
 
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns of a mention, at most one on either side: ``a b _`` or ``^ b _``, and ``_ c d``."""
+    out, low = [], max(0, start - REACH)
+    line = text.rfind("\n", low, start) + 1
+    left, right = text[max(low, line) : start], text[end : end + REACH]
+    if m := BEFORE.search(left):
+        out.append(f"{m[1]} {m[2]} _".lower())
+    elif (line or not low) and (m := FIRST.fullmatch(left)):
+        out.append(f"^ {m[1]} _".lower())
+    if m := AFTER.match(right):
+        out.append(f"_ {m[1]} {m[2]}".lower())
+    return out
+
+
 def mentions(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
-    """The seeds and candidates of a text that have a context. Candidates don't overlap seeds."""
+    """The seeds and candidates of a text, once for each of their patterns. Candidates don't overlap seeds."""
     found = [(*s, True) for s in base]
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
     has_digit = _DIGIT.search(text) is not None
     for kind, shape in LOOSE.items():
         if has_digit if kind != "email" else "[at]" in text or "(at)" in text:
-            found += [(*m.span(), kind, False) for m in shape.finditer(text) if not any(m.start() < e and s < m.end() for s, e, _ in base)]
+            for m in shape.finditer(text):
+                before = bisect_left(starts, m.end())
+                if not before or ends[before - 1] <= m.start():
+                    found.append((*m.span(), kind, False))
     out = []
     for start, end, kind, seed in found:
-        m = CONTEXT.search(text[max(0, start - 80) : start])
-        if m:
-            out.append({"kind": kind, "start": start, "end": end, "pattern": f"{m[1]} {m[2]}".lower(), "value": re.sub(r"[\s().-]+", "", text[start:end].lower()), "seed": seed})
+        value = re.sub(r"[\s().-]+", "", text[start:end].lower())
+        out += [{"kind": kind, "start": start, "end": end, "pattern": p, "value": value, "seed": seed} for p in contexts(text, start, end)]
     return out
 
 
@@ -117,19 +141,35 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pattern_scores(edges: DataFrame, turns: int = TURNS) -> DataFrame:
     """kind, pattern, score, seeds from edges (kind, pattern, value, seed), by scoring patterns and values in turns.
 
-    A pattern's score is damped by one unknown value, so that few values give little confidence.
+    A pattern's score is damped by one unknown value, so that few values give little confidence. Scores are written out, so
+    that both sides of the joins are plain shuffles, whose hot patterns and values Spark splits.
     """
     edges = edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"))
     scored = edges.withColumn("s", F.col("seed").cast("double"))
     for turn in range(turns):
-        patterns = scored.groupBy("kind", "pattern").agg((F.sum("s") / (F.count("*") + 1)).alias("score"), F.count_if("seed").alias("seeds"))
+        patterns = staged(scored.groupBy("kind", "pattern").agg((F.sum("s") / (F.count("*") + 1)).alias("score"), F.count_if("seed").alias("seeds")), "patterns")
         if turn + 1 < turns:
             linked = edges.join(patterns, ["kind", "pattern"])
             values = linked.groupBy("kind", "value").agg(F.max("seed").alias("sure"), (1 - F.exp(F.sum(F.ln(1.0 - F.least("score", F.lit(0.999)))))).alias("p"))
-            scored = edges.join(values, ["kind", "value"]).withColumn("s", F.when(F.col("sure"), 1.0).otherwise(F.col("p")))
+            scored = edges.join(staged(values, "values"), ["kind", "value"]).withColumn("s", F.when(F.col("sure"), 1.0).otherwise(F.col("p")))
     return patterns
 
 
+def sure_patterns(edges: DataFrame, turns: int = TURNS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
+    """The (kind, pattern) that discover: behind at least ``min_seeds`` distinct seeds and with a score of ``min_score``.
+
+    What they discover are seeds in the next round. Scores only rise from round to round, so rounds end when no value is new.
+    """
+    while True:
+        scores = pattern_scores(edges, turns)
+        sure = staged(scores.where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score)).select("kind", "pattern"), "sure")
+        new = staged(edges.where(~F.col("seed")).join(sure, ["kind", "pattern"], "left_semi").select("kind", "value").distinct(), "discovered")
+        if new.isEmpty():
+            return sure
+        seed = F.col("seed") | F.coalesce("new", F.lit(False))
+        edges = staged(edges.join(new.withColumn("new", F.lit(True)), ["kind", "value"], "left").select("kind", "pattern", "value", seed.alias("seed")), "graph")
+
+
 def find_personal_data(docs: DataFrame, turns: int = TURNS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, one row for each row of docs (doc_id, text).
 
@@ -140,9 +180,10 @@ def find_personal_data(docs: DataFrame, turns: int = TURNS, min_seeds: int = MIN
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, SCHEMA)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "mentions")
     edges = rows.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    sure = pattern_scores(edges.select("kind", "pattern", "value", "seed"), turns).where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score))
-    new = edges.where(~F.col("seed")).join(sure.select("kind", "pattern"), ["kind", "pattern"], "left_semi")
-    new = new.groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("added"))  # mentions of one text
+    graph = staged(edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed")), "graph")
+    sure = sure_patterns(graph, turns, min_seeds, min_score)
+    new = edges.where(~F.col("seed")).join(sure, ["kind", "pattern"], "left_semi")
+    new = new.groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("added"))  # mentions of one text
     whole = rows.join(new, "row", "left")
     order = F.array(*[F.lit(k) for k in KINDS])
     parts = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))

@@ -63,3 +63,21 @@ def test_repeats_and_long_texts(spark):
     at = text.index("password")
     assert [r.spans for r in secrets.scan_secrets(docs).collect()] == [f"assign:{at}:{at + 19},hex:{at + 20}:{at + 50020}"] * 2
     assert [r.n_email for r in pii.find_personal_data(docs).collect()] == [1, 1]
+
+
+def test_discovery_goes_on_from_what_was_discovered(spark):
+    """Seeds raise one pattern; what it finds raises another, which no seed stands at."""
+    rows = [(i, f"my phone number +1 415 555 {2000 + i} ok") for i in range(8)]
+    rows += [(10 + i, f"my phone number 415 555 {1000 + i}.") for i in range(4)]
+    rows += [(20 + i, f"415 555 {1000 + i} reach Ann\n") for i in range(4)]
+    rows += [(30, "415 555 3000 reach Ann"), (31, "Tel: 415 555 3000"), (40, "order 415 555 9999 came late"), (41, "order 415 555 1000 came late")]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[10 + i] == "phone:16:28" and found[20 + i] == "phone:0:12" for i in range(4))
+    assert found[30] == "phone:0:12" and found[31] == found[40] == found[41] == ""
+
+
+def test_contexts_on_both_sides():
+    assert pii.contexts("a b 1 c d", 4, 5) == ["a b _", "_ c d"]
+    assert pii.contexts("x\nTel: 1\ny", 7, 8) == ["^ tel _"]
+    assert pii.contexts("1 is.\nnext", 0, 1) == []
+    assert pii.contexts("1", 0, 1) == []
