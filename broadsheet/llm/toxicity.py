@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models of characters.
 
 Two models share their lower orders. The highest order, five characters within a word, is counted for toxic and ordinary
-labelled documents apart; both back off to one Kneser-Ney model of three characters, whose continuation counts come from
-both classes. So a rare expression weighs only by what its class has really shown, and all else is the same in both.
+labelled documents apart; both back off to one Kneser-Ney model of four, three, two and one characters, whose continuation
+counts come from both classes. So a rare expression weighs only by what its class has really shown, and all else is the same in both.
 A document's words are compared by length-normalised log-likelihood ratio; a logistic curve over the ratio of the whole
 text and those of its most toxic words gives the score. It is fitted on labelled documents that the models have not seen.
 
@@ -34,6 +34,8 @@ FIT_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000
 #: Distinct n-grams that a task gathers before it passes them on.
 FLUSH = 1_000_000
+#: Characters scored at once, or one text.
+SLICE = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 FEATURES = 4
 
@@ -92,20 +94,29 @@ def ngram_counts(labelled: DataFrame) -> DataFrame:
     return counted.where("key <> 0").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
+def _last(order: int) -> int:
+    """Mask of an n-gram's last characters."""
+    return (1 << 12 * order) - 1
+
+
 def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, ratio) of all n-grams seen, and (context, ratio) for unseen characters after a context that was seen."""
     d = DISCOUNT
-    grams = counts.select("*", F.shiftright("key", 12).alias("context"), F.expr("key & 68719476735").alias("three"))
+    grams = counts.select("*", F.shiftright("key", 12).alias("context"), F.expr(f"key & {_last(4)}").alias("four"))
     contexts = grams.groupBy("context").agg(
         F.sum("toxic").alias("all_toxic"), F.sum("plain").alias("all_plain"), F.count_if(F.col("toxic") > 0).alias("kinds_toxic"), F.count_if(F.col("plain") > 0).alias("kinds_plain")
     )
-    three = grams.groupBy("three").agg(F.count("*").alias("n"))
-    three = three.select("*", F.shiftright("three", 12).alias("two"), F.expr("three & 4095").alias("one"))
-    two = three.groupBy("two").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    one = three.groupBy("one").agg(F.count("*").alias("m"))  # at most 4096 rows
-    total = one.agg(F.sum("m")).first()[0] or 1
-    base = one.select("one", (F.col("m") / F.lit(float(total))).alias("p1"))
-    shared = three.join(two, "two").join(F.broadcast(base), "one").select("three", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("all") + d * F.col("kinds") / F.col("all") * F.col("p1")).alias("shared"))
+    kinds, above = {}, counts.select("key")
+    for order in (4, 3, 2, 1):  # how many different characters precede each n-gram
+        above = kinds[order] = above.groupBy(F.expr(f"key & {_last(order)}").alias("key")).agg(F.count("*").alias("n"))
+    total = kinds[1].agg(F.sum("n")).first()[0] or 1
+    lower = kinds[1].select(F.col("key").alias("lower"), (F.col("n") / F.lit(float(total))).alias("p"))  # at most 4096 rows
+    for order in (2, 3, 4):
+        here = kinds[order].select("key", "n", F.shiftright("key", 12).alias("before"), F.expr(f"key & {_last(order - 1)}").alias("lower"))
+        of = here.groupBy("before").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+        p = F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("all") + d * F.col("kinds") / F.col("all") * F.col("p")
+        lower = here.join(of, "before").join(lower, "lower").select(F.col("key").alias("lower"), p.alias("p"))
+    shared = lower.select(F.col("lower").alias("four"), F.col("p").alias("shared"))
 
     def backoff(c: str):
         return F.when(F.col(f"all_{c}") > 0, d * F.col(f"kinds_{c}") / F.col(f"all_{c}")).otherwise(1.0)
@@ -113,7 +124,7 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def p(c: str):
         return F.when(F.col(f"all_{c}") > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"all_{c}")).otherwise(0.0) + backoff(c) * F.col("shared")
 
-    seen = grams.join(contexts, "context").join(shared, "three").select("key", F.ln(p("toxic") / p("plain")).cast("float").alias("ratio"))
+    seen = grams.join(contexts, "context").join(shared, "four").select("key", F.ln(p("toxic") / p("plain")).cast("float").alias("ratio"))
     unseen = contexts.select("context", F.ln(backoff("toxic") / backoff("plain")).cast("float").alias("ratio"))
     return seen, unseen
 
@@ -159,24 +170,43 @@ class Ratios:
         found[key == 0] = 0
         return found.astype(np.float64)
 
-    def features(self, text: str) -> np.ndarray:
-        """Mean ratio a character, of the whole text; of its most toxic word, three and ten most toxic words."""
-        out = np.zeros(FEATURES)
-        key = keys(text)
+    def features(self, texts: list[str]) -> np.ndarray:
+        """For each text: mean ratio a character, of the whole text; of its most toxic word, three and ten most toxic words."""
+        out, at = np.zeros((len(texts), FEATURES)), 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) < SLICE:
+                size += len(texts[end])
+                end += 1
+            out[at:end] = self._features(texts[at:end])
+            at = end
+        return out
+
+    def _features(self, texts: list[str]) -> np.ndarray:
+        lows = [t.lower() for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in lows])
+        key = keys("\n".join(lows))
         inside = (key & 4095) != 0
-        if not inside.any():
+        out = np.zeros((len(texts), FEATURES))
+        starts = np.flatnonzero(inside & (key < 4096))
+        if not len(starts):
             return out
         ratio = self.ratios(key)
-        starts = np.flatnonzero(inside & (key < 4096))
-        sums = np.add.reduceat(ratio, starts)
-        lengths = np.add.reduceat(inside, starts)
-        means = -np.sort(-sums / np.maximum(lengths, 4))
-        out[0] = ratio.sum() / inside.sum()
-        out[1], out[2], out[3] = means[0], means[:3].mean(), means[:10].mean()
+        heads = np.append(0, ends[:-1])
+        out[:, 0] = np.add.reduceat(ratio, heads) / np.maximum(np.add.reduceat(inside, heads, dtype=np.int64), 1)
+        means = np.add.reduceat(ratio, starts) / np.maximum(np.add.reduceat(inside, starts, dtype=np.int64), 4)
+        owner = np.searchsorted(ends, starts, "right")
+        order = np.lexsort((-means, owner))
+        means, owner = means[order], owner[order]
+        words = np.bincount(owner, minlength=len(texts))
+        rank = np.arange(len(owner)) - (np.cumsum(words) - words)[owner]
+        for column, most in ((1, 1), (2, 3), (3, 10)):
+            top = rank < most
+            out[:, column] = np.bincount(owner[top], means[top], len(texts)) / np.clip(words, 1, most)
         return out
 
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.fit[:-1] @ self.features(text) + self.fit[-1], -30, 30))))
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.fit[:-1] + self.fit[-1], -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -209,7 +239,7 @@ def remainder(of: int = 5) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ratios:
     """Models from docs (doc_id, text) and labels (doc_id, toxic), leaving out ids whose crc32 is divisible by five.
 
-    Labels that are null are left out; of repeated labels the larger holds. Remainders 1 to 3 are counted, remainder 4
+    Labels that are null are left out; of repeated labels the larger holds; each row of a repeated doc_id counts. Remainders 1 to 3 are counted, remainder 4
     fits the logistic curve, on at most ``fit_rows`` documents of each class.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -225,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ratio
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = np.array([shared.value.features(t or "") for t in frame["text"]]).reshape(-1, FEATURES)
+            x = shared.value.features([t or "" for t in frame["text"]])
             yield pd.DataFrame({"toxic": frame["toxic"], **{f"x{i}": x[:, i] for i in range(FEATURES)}})
 
     # Ids order the sample; the rows are those of least hash, so about fit_rows of each class by a threshold on the hash.
@@ -239,14 +269,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ratio
 
 
 def score_toxicity(docs: DataFrame, model: Ratios) -> DataFrame:
-    """docs, which has a column text, with ``score`` (0 to 1). Null text is empty; an empty text is scored as well."""
+    """docs, which has a column text, with ``score`` (0 to 1). Null text is empty; an empty text is scored as well.
+
+    A text's score depends on nothing but the text, so repeated rows and ties score alike.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.score
         for batch in batches:
-            scores = pa.array([score(t or "") for t in batch.column(at).to_pylist()], pa.float64())
+            scores = pa.array(shared.value.scores([t or "" for t in batch.column(at).to_pylist()]), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -69,13 +69,15 @@ def by_definition(keys_toxic, keys_plain, key):
     from math import log
 
     counts, seen = (Counter(keys_toxic), Counter(keys_plain)), {*keys_toxic, *keys_plain}
-    three = Counter(k & (1 << 36) - 1 for k in seen)
-    d, t = toxicity.DISCOUNT, key & (1 << 36) - 1
-    ends = Counter(x & 4095 for x in three)
-    p1 = ends[t & 4095] / sum(ends.values())
-    of_two = {x: n for x, n in three.items() if x >> 12 == t >> 12}
-    total = sum(of_two.values())
-    shared = max(three[t] - d, 0) / total + d * len(of_two) / total * p1
+    d, kinds, above = toxicity.DISCOUNT, {}, seen
+    for order in (4, 3, 2, 1):
+        above = kinds[order] = Counter(k & (1 << 12 * order) - 1 for k in above)
+    shared = kinds[1][key & 4095] / sum(kinds[1].values())
+    for order in (2, 3, 4):
+        g = key & (1 << 12 * order) - 1
+        alike = {x: n for x, n in kinds[order].items() if x >> 12 == g >> 12}
+        total = sum(alike.values())
+        shared = max(kinds[order][g] - d, 0) / total + d * len(alike) / total * shared
 
     def p(c):
         mine = {k: n for k, n in counts[c].items() if k >> 12 == key >> 12}
@@ -123,3 +125,60 @@ def test_keys_that_share_a_slot():
         table = toxicity.Table(key[::2], np.arange(len(key[::2]), dtype=np.float32), bits)
         assert (table.find(key[::2]) == np.arange(len(key[::2]))).all() and np.isnan(table.find(key[1::2])).all()
     assert np.isnan(toxicity.Table(key[:0], np.zeros(0, np.float32), 3).find(key)).all()
+
+
+def test_features_of_many_texts_at_once():
+    draw, model = np.random.default_rng(1), toxicity.Ratios(None, None)
+    model.ratios = lambda key: np.where(key == 0, 0.0, np.sin(key.astype(float)))
+    texts = ["", "?!", "One word", "ΑΣ ΑΣ. İx", " lead and trail ", *(text(draw, SYLLABLES["aa"], n) for n in (1, 3, 200)), "x" * 5000]
+    for one, many in zip(texts, model.features(texts * 3), strict=False):
+        key = toxicity.keys(one)
+        inside = (key & 4095) != 0
+        if not inside.any():
+            assert not many.any()
+            continue
+        starts = np.flatnonzero(inside & (key < 4096))
+        parts = np.split(np.arange(len(key)), starts)[1:]
+        means = sorted((-model.ratios(key)[p].sum() / max(inside[p].sum(), 4) for p in parts))
+        expected = [model.ratios(key).sum() / inside.sum(), *(-np.mean(means[:k]) for k in (1, 3, 10))]
+        assert np.allclose(many, expected)
+    assert (model.features(texts * 3)[: len(texts)] == model.features(texts)).all()
+
+
+def test_repeated_rows_and_long_texts(spark):
+    rows = [(i % 40, ("zogg " if i % 2 else "calm ") + text(np.random.default_rng(i % 40), SYLLABLES["aa"], 20)) for i in range(80)] + [(500, "calm words " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, toxic int"))
+    found = {}
+    for r in toxicity.score_toxicity(docs, model).collect():
+        found.setdefault((r.doc_id, r.text), set()).add(r.score)
+    assert len(found) == 41 and all(len(s) == 1 for s in found.values()) and found[500, rows[-1][1]].pop() < 0.5
+    lang = docs.selectExpr("doc_id", "text", "'aa' lang", "1 score", "2 held_out")
+    said = language.identify(lang, language.Decoder(language.ngram_counts(lang))).collect()
+    assert len(said) == 81 and {r.lang_pred for r in said} == {"aa"}
+
+
+def test_decoding_equals_a_plain_version():
+    """Margins, losses and shares by the definition, bit by bit."""
+    draw = np.random.default_rng(5)
+    counts = {x: np.bincount(np.concatenate([language.ngrams(text(draw, s, 50)) for _ in range(5)]), minlength=language.FEATURES) for x, s in SYLLABLES.items()}
+    decoder = language.Decoder(counts)
+    names = sorted(counts)
+    p = {x: [(c + 0.5) / (counts[x].sum() + 0.5 * language.FEATURES) for c in counts[x]] for x in names}
+    code = language.codewords(len(names))
+    weights = []
+    for bit in range(code.shape[1]):
+        ones, zeros = ([x for x, row in zip(names, code) if (row[bit] > 0) == side] for side in (True, False))
+        weights.append([np.log(np.mean([p[x][f] for x in ones])) - np.log(np.mean([p[x][f] for x in zeros])) for f in range(language.FEATURES)])
+    usual = [min(sum(a * b for a, b in zip(p[x], w)) * code[i][bit] for i, x in enumerate(names)) for bit, w in enumerate(weights)]
+    scale = [max(u, 1e-3) for u in usual]
+    for lang, syllables in SYLLABLES.items():
+        features = language.ngrams(text(draw, syllables, 12))
+        losses = []
+        for row in code:
+            z = [language.SHARPNESS * row[bit] * np.mean([w[f] for f in features]) / scale[bit] for bit, w in enumerate(weights)]
+            losses.append(sum(np.log1p(np.exp(-x)) * s / sum(scale) for x, s in zip(z, scale)) * len(scale))
+        share = np.exp(min(losses) - np.array(losses))
+        share /= share.sum()
+        said = decoder.decode(features)
+        assert said[0] == names[int(share.argmax())] == lang and abs(said[1] - share.max()) < 1e-3
