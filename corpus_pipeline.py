@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm.common import bounded_batches, release, staged, table
+from broadsheet.llm.common import bounded_batches, mark, release, staged, table
 from broadsheet.llm.line_templates import drop_recurring_lines
 from broadsheet.llm.mixing import mix_documents
 from broadsheet.llm.ngram_join import drop_near_duplicates
@@ -56,8 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, began = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
-        release(spark, keep=docs)
+        release(spark, keep=docs, since=began)
     return STAGES[-1][1](spark, docs, sf_dir)
