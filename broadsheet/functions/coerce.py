@@ -50,3 +50,17 @@ def error_count(explicit: Column, errors: Column, error: Column) -> Column:
     listed = F.size(json_list(errors))
     shown = F.when(listed > 0, listed).when(F.coalesce(error, F.lit("")) != "", 1).otherwise(0)
     return F.greatest(count(explicit), shown.cast("long"))
+
+
+def add_error(classes: Column, details: Column, name: Column, detail: Column) -> tuple[Column, Column, Column]:
+    """(classes, details, first class) of a record with one more error; what it already has isn't repeated."""
+    none = F.array().cast("array<string>")
+    word = F.replace(F.lower(F.trim(name)), F.lit("-"), F.lit("_"))
+    more = F.array_union(F.coalesce(classes, none), F.array(word))
+    return more, F.array_union(F.coalesce(details, none), F.array(detail)), F.element_at(more, 1)
+
+
+def stop_reason(column: Column, metadata: Column) -> Column:
+    """Why a run stopped: its column, else what its metadata says under any of the usual names."""
+    said = [F.nullif(F.trim(json_field(metadata, f"$.{k}")), F.lit("")) for k in ("stop_reason", "stopReason", "reason", "termination_reason", "terminationReason")]
+    return F.coalesce(F.nullif(F.trim(column), F.lit("")), *said)

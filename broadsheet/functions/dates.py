@@ -153,6 +153,29 @@ def lenient_timestamp(value: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd", "dd.MM.yyyy")])
 
 
+def strict_timestamp(value: Column) -> Column:
+    """Timestamp of ISO text that states its offset; null for all else."""
+    text = F.trim(value)
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d(:\d\d([.]\d+)?)?\s*([Zz]|[+-]\d\d:?\d\d)$"), F.coalesce(text.try_cast("timestamp"), lenient_timestamp(F.upper(text))))
+
+
+def score(value: Column) -> Column:
+    """Seconds since 1970 of ISO-like text, less than any time for what can't be read."""
+    return F.coalesce(F.unix_micros(lenient_timestamp(value.cast("string"))) / 1e6, F.lit(float("-inf")))
+
+
+def first_valid(*values: Column) -> Column:
+    """(value, score) of the first value that is a time; a null value if none is."""
+    found = [F.when(lenient_timestamp(v.cast("string")).isNotNull(), F.struct(v.cast("string").alias("value"), score(v).alias("score"))) for v in values]
+    return F.coalesce(*found, F.struct(F.lit(None).cast("string").alias("value"), F.lit(float("-inf")).alias("score")))
+
+
+def stamp(value: Column) -> Column:
+    """A time as ISO text in UTC; other text stays as it is, empty text is null."""
+    text = F.nullif(F.trim(value), F.lit(""))
+    return F.coalesce(F.date_format(lenient_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), text)
+
+
 def bounds(first: Column, last: Column) -> tuple[Column, Column]:
     """Aggregates (first, last) over raw times: in time if all can be read, else in the order of the texts."""
     values = [F.nullif(F.trim(c), F.lit("")) for c in (first, last)]

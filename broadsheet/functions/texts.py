@@ -103,6 +103,11 @@ def overlay_json(old: str | None, new: str | None) -> str:
     return json.dumps(merged, sort_keys=True, ensure_ascii=False)
 
 
+def fill_json(old: str | None, new: str | None) -> str:
+    """One object filled up from the other: keys that the old one has stay."""
+    return overlay_json(new, old)
+
+
 def decoded(content: bytes | None, content_type: str | None = None) -> str | None:
     """Text of a response: by the charset that it states, else UTF-8; what doesn't fit is replaced."""
     if content is None:

@@ -28,6 +28,37 @@ def select_publishers(publishers: DataFrame, selection: list[str] | None = None,
     return out
 
 
+def listed(df: DataFrame, enabled_only: bool = False, **wanted) -> DataFrame:
+    """Rows of a stored table: enabled ones only if asked, and those whose columns have the wanted values; None is no wish."""
+    out = df.where("enabled") if enabled_only and "enabled" in df.columns else df
+    for column, value in wanted.items():
+        if value is not None:
+            out = out.where(F.col(column) == F.lit(value))
+    return out
+
+
+def event_key(row_id: Column) -> Column:
+    """Order of event ids that may be texts: numbers by value, then texts."""
+    number = coerce.safe_int(row_id)
+    return F.struct(number.isNull().alias("is_text"), number.alias("number"), F.when(number.isNull(), row_id.cast("string")).alias("text"))
+
+
+def legacy_event_page(events: DataFrame, after: str | None = None, limit: int = 50, offset: int = 0, **wanted) -> DataFrame:
+    """A page of events whose ids may be texts and whose columns may be fewer, with ``total``, the number of all that match.
+
+    wanted: column -> value, compared whatever the case; a column that the events lack matches nothing.
+    """
+    x = events.withColumn("_key", event_key(F.col("id")))
+    for name, value in wanted.items():
+        if value is not None:
+            x = x.where(F.lower(F.col(name).cast("string")) == str(value).lower()) if name in events.columns else x.limit(0)
+    if after not in (None, ""):
+        x = x.where(F.col("_key") > event_key(F.lit(str(after))))
+    total = x.agg(F.count("*").alias("total"))
+    page = x.orderBy("_key").offset(offset).limit(limit)
+    return page.join(F.broadcast(total), F.lit(True)).orderBy("_key").drop("_key")  # one row
+
+
 def select_runs(runs: DataFrame, state: str, status: str | None = None) -> DataFrame:
     """Runs by shown state, by ``finished`` or ``terminal`` for all that ended, or by stored status."""
     if status is None:

@@ -172,3 +172,32 @@ def run_events(stats: DataFrame, at) -> DataFrame:
     level = F.when(F.col("error_count") > 0, "WARNING").otherwise("INFO")
     message = F.concat_ws(" ", F.col("discovered").cast("string"), F.lit("discovered,"), F.col("stored").cast("string"), F.lit("stored"))
     return stats.select("run_id", "publisher_id", "source_id", F.lit(at).cast("timestamp").alias("created_at"), level.alias("level"), F.lit("crawler").alias("component"), event.alias("event_type"), message.alias("message"))
+
+
+def progress(stats: DataFrame, phase: str, publisher_id: str | None = None, source_id: str | None = None) -> DataFrame:
+    """One row: where a run stands, six counters over its stats so far, its phase and what it is at."""
+    names = ("discovered", "fetched", "stored", "updated", "already_known", "error_count")
+    sums = [F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names]
+    return stats.agg(*sums).select(F.lit(phase).alias("phase"), F.lit(publisher_id).cast("string").alias("publisher_id"), F.lit(source_id).cast("string").alias("source_id"), *names)
+
+
+def emit(events: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str | None]:
+    """Hands events to each sink; what one raises keeps none of the others from them, and is returned by the sink's name."""
+    told = {}
+    for name, sink in sinks.items():
+        try:
+            sink(events)
+            told[name] = None
+        except Exception as e:  # a sink's failure never stops a run
+            told[name] = f"{type(e).__name__}: {e}"
+    return told
+
+
+def recorded(stats: DataFrame, write: Callable[[DataFrame], None]) -> tuple[DataFrame, str | None]:
+    """(stats as they count, what went wrong): if they can't be stored, the run goes on with all of them marked as failed."""
+    try:
+        write(stats)
+        return stats, None
+    except Exception as e:  # the error is part of the result
+        failed = stats.withColumn("status", F.lit("failed")).withColumn("error_count", F.greatest(F.col("error_count"), F.lit(1))).withColumn("stop_reason", F.lit("storage_error"))
+        return failed, f"{type(e).__name__}: {e}"

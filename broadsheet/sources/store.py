@@ -120,13 +120,16 @@ class Store:
         placed.repartition(F.col("_bucket"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8))).write.partitionBy("_bucket").parquet(f"{self.path}/{table}/{version}")
         return version, [n.removeprefix("_bucket=") for n in self._names(f"{table}/{version}") if n.startswith("_bucket=")]
 
-    def _name(self, change: dict[str, dict[str, str | None]], base: int) -> dict[str, dict[str, str]]:
-        """Makes a change count: table -> bucket -> version, None for a bucket that is gone. base: the manifest it is based on."""
+    def _name(self, change: dict[str, dict[str, str | None]], base: int, whole: bool) -> dict[str, dict[str, str]]:
+        """Makes a change count: table -> bucket -> version, None for a bucket that is gone. base: the manifest it is based on.
+
+        whole: whether it replaces all of its tables, so that any other change of them is a conflict.
+        """
         was = self.manifest(base)
         while True:
             number = self._number()
             now = self.manifest(number)
-            if number != base and any(now.get(t, {}).get(b) != was.get(t, {}).get(b) for t, parts in change.items() for b in parts):
+            if number != base and any(now.get(t, {}).get(b) != was.get(t, {}).get(b) for t, parts in change.items() for b in ({*now.get(t, {}), *parts} if whole else parts)):
                 raise Conflict(f"tables {sorted(change)} have changed since manifest {base}")
             new = {t: dict(parts) for t, parts in now.items()}
             for table, parts in change.items():
@@ -150,7 +153,7 @@ class Store:
         for table, df in tables.items():
             version, buckets = self._write(table, logical(df, table))
             change[table] = dict.fromkeys(self.manifest(base).get(table, {})) | dict.fromkeys(buckets, version)
-        return self._name(change, base)
+        return self._name(change, base, True)
 
     def upsert(self, table: str, rows: DataFrame) -> dict[str, dict[str, str]]:
         """Rows replace those of the same key; others stay. Of several new rows with a key, one stays.
@@ -167,7 +170,7 @@ class Store:
         before = {b: v for b, v in self.manifest(base).get(table, {}).items() if b in touched}
         old = keyed(self._parts(table, before)).join(new.select(*names), names, "left_anti")
         version, buckets = self._write(table, old.unionByName(new).drop(*names))
-        return self._name({table: dict.fromkeys(touched) | dict.fromkeys(buckets, version)}, base)
+        return self._name({table: dict.fromkeys(touched) | dict.fromkeys(buckets, version)}, base, False)
 
     def vacuum(self) -> int:
         """Removes versions and manifests that don't count any more; for a time when nobody writes or reads."""

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators import consolidate, identity, ingest
 from broadsheet.plans import documents as d
+from broadsheet.sources import feeds, registry
 
 SOURCES = "id string, publisher_id string, url string, kind string, enabled boolean, adapter string"
 
@@ -77,3 +78,89 @@ def test_consolidation(spark):
     assert pytest.rows(consolidate.empty_publishers(p, spark.createDataFrame([("c", True)], "publisher_id string, enabled boolean"))) == [("a", "success_no_items"), ("b", "configuration_error")]
     flags = spark.createDataFrame([(["parse_error"], "failed", 404), (["failed"], "error", 503), (["timeout"], "failed", None), (["odd thing"], "failed", 404)], "c array<string>, s string, h int")
     assert [(x.external, x.blocking) for x in consolidate.evidence_flags(flags, "c", "s", "h").collect()] == [(False, True), (True, False), (True, False), (False, True)]
+
+
+def test_sources_have_settings_and_policies_of_their_own(spark):
+    """Indexes and next links are followed by each source's settings; its patterns decide what is fetched."""
+    text = """
+publishers:
+  alpha:
+    name: Alpha
+    website_url: https://a.example.org/
+    metadata: {exclude_patterns: ["/private/", "["]}
+    sources:
+      - {id: m, url: "https://a.example.org/index.xml", kind: sitemap, config: {max_sitemaps: 3, allow_patterns: ["/n/", "["]}}
+      - {id: h, url: "https://a.example.org/list", kind: html, config: {item_selector: "div.c", next_selector: "a.more", max_pages: 2, identity_filter: ["Lion"]}}
+      - {id: j, url: "https://a.example.org/api", kind: json, config: {items_path: [deep, list], url: where}}
+"""
+    publishers, sources = registry.read(text)
+    urlset = lambda *u: "<urlset>" + "".join(f"<url><loc>https://a.example.org{x}</loc></url>" for x in u) + "</urlset>"
+    index = lambda *u: "<sitemapindex>" + "".join(f"<sitemap><loc>https://a.example.org/{x}.xml</loc></sitemap>" for x in u) + "</sitemapindex>"
+    card = lambda u, t: f'<div class="c"><a href="{u}">{t}</a></div>'
+    pages = {
+        "index.xml": index("index", "zz", "sub", "over"), "zz.xml": urlset("/n/1", "/private/n/2", "/other/3"), "sub.xml": index("zz", "leaf"), "over.xml": urlset("/n/9"), "leaf.xml": urlset("/n/8"),
+        "list": card("/n/1", "Lion cub") + card("/x", "Tiger") + '<a class="more" href="/list?p=2">more</a>', "list?p=2": card("/n/5", "Old lion") + '<a class="more" href="/list?p=3">more</a>', "list?p=3": card("/n/6", "Lion"),
+        "api": '{"deep": {"list": [{"where": "/n/7", "title": "Seven"}]}}',
+    }
+    docs = spark.createDataFrame([(f"https://a.example.org/{u}", 200, c) for u, c in pages.items()], "url string, status int, content string")
+    frame = registry.frames(spark, publishers, sources)[1].withColumn("adapter", F.lit(None).cast("string"))
+    found = ingest.discover(frame, docs)
+    assert pytest.rows(found.select("source_id", "url")) == [("h", f"https://a.example.org/{x}") for x in ("n/1", "n/5", "x")] + [("j", "https://a.example.org/n/7")] + [("m", f"https://a.example.org/{x}") for x in ("n/1", "other/3", "private/n/2")]
+    _, fates = ingest.select_candidates(found, registry.policies(spark, publishers, sources), spark.createDataFrame([], "url string"))
+    by = {(r.source_id, r.key.rpartition("org/")[2]): r.fate for r in fates.collect()}
+    assert by == {("m", "n/1"): "new", ("m", "other/3"): "off_policy", ("m", "private/n/2"): "off_policy", ("h", "n/1"): "duplicate", ("h", "n/5"): "new", ("h", "x"): "off_topic", ("j", "n/7"): "new"}
+
+
+def test_each_root_has_its_own_budget(spark):
+    urlset = lambda r, i: f"<urlset><url><loc>https://r{r}.example.org/a{i}</loc></url></urlset>"
+    pages = [(f"https://r{r}.example.org/i.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>https://r{r}.example.org/s{99 - i}.xml</loc></sitemap>" for i in range(30)) + "</sitemapindex>") for r in range(2)]
+    pages += [(f"https://r{r}.example.org/s{99 - i}.xml", urlset(r, i)) for r in range(2) for i in range(30)]
+    docs = spark.createDataFrame(pages, "url string, content string")
+    found = feeds.sitemap_walk(docs, docs.where("url like '%/i.xml'"))
+    assert pytest.rows(found.groupBy("root_url").count()) == [("https://r0.example.org/i.xml", 19), ("https://r1.example.org/i.xml", 19)]
+    assert {r.url.rpartition("/a")[2] for r in found.collect()} == {str(i) for i in range(19)}  # in the index's order, not that of URLs
+
+
+def test_adapters_get_official_documents_only(spark):
+    seen, found = [], ingest.AdapterRegistry()
+    found.register("mine", lambda sources, docs: seen.extend(r.url for r in docs.collect()) or sources.select(F.col("id").alias("source_id"), "url"))
+    sources = spark.createDataFrame([("s", "p", "https://x.example.net/c", "plugin", True, "mine")], SOURCES)
+    docs = spark.createDataFrame([("https://x.example.net/a", 200, ""), ("https://y.example.net/a", 200, ""), ("https://z.example.net/a", 200, "")], "url string, status int, content string")
+    ingest.discover(sources, docs, found).count()
+    ingest.discover(sources, docs, found, policies=spark.createDataFrame([("s", ["y.example.net"])], "source_id string, hosts array<string>")).count()
+    assert seen == ["https://x.example.net/a", "https://y.example.net/a"]
+
+
+def test_sinks_and_storage_may_fail(spark):
+    stats = spark.createDataFrame([("s", "success", 3, 2, 1, 0, 0, 0, "exhausted")], "source_id string, status string, discovered long, fetched long, stored long, updated long, already_known long, error_count long, stop_reason string")
+    got = []
+
+    def broken(df):
+        raise OSError("full")
+
+    assert ingest.emit(stats, {"a": broken, "b": got.append}) == {"a": "OSError: full", "b": None} and got == [stats]
+    told, error = ingest.recorded(stats, broken)
+    assert error == "OSError: full" and told.first().status == "failed" and ingest.recorded(stats, got.append) == (stats, None)
+    assert ingest.progress(stats, "fetch", "p").first().asDict() == {"phase": "fetch", "publisher_id": "p", "source_id": None, "discovered": 3, "fetched": 2, "stored": 1, "updated": 0, "already_known": 0, "error_count": 0}
+
+
+@pytest.mark.parametrize("n", [999, 1001])
+def test_identity_has_one_rule_at_every_size(spark, n):
+    """The same arrivals end alike, however many rows share their hash."""
+    rows = [(1, "https://e.org/a", "A", "h"), (2, "https://e.org/b", "B", "g"), (3, "https://e.org/b", "B", "h"), (4, "https://e.org/c", "C", "h")]
+    rows += [(10 + i, f"https://e.org/x{i}", f"X{i}", "h") for i in range(n)]
+    _, articles = identity.resolve(spark.createDataFrame(rows, "arrival_seq long, url string, title string, content_hash string"))
+    by = {r.article_id: r.content_hash for r in articles.where("article_id < 10").collect()}
+    assert by == {1: "h", 2: "g", 4: "h"} and articles.count() == n + 3
+
+
+def test_groups_provenance_and_vocabularies(spark):
+    roster = {"source": "list.md", "version": "v1", "sha256": "0" * 64, "expanded_count": 2}
+    base = {"id": "a", "slug": "a", "name": "A", "website_url": "https://a.example.org/", "country_code": "DE", "language": "de", "enabled": True}
+    told = lambda p, **k: [(path.partition("].")[2], code) for path, code, _ in registry.issues([{**base, **p}], [], **k)]
+    assert told({}) == [] and told({"country_code": "QQ"}) == [("country_code", "vocabulary")] and told({"language": "qq"}) == [("language", "vocabulary")]
+    assert told({"groups": "x"}) == [("groups", "groups")] and told({"groups": ["x", " ", "x"]}) == [("groups[1]", "groups"), ("groups[2]", "groups")]
+    assert told({"groups": ["x", "y"]}, pairs={frozenset("xz")}) == [("groups", "groups")] and told({"groups": ["x", "z"]}, pairs={frozenset("xz")}) == []
+    gap = {"country_code": None}
+    assert told(gap, roster=roster) == [("list_provenance", "provenance")] and told({**gap, "list_provenance": [{**roster, "source_line": 4}]}, roster=roster) == []
+    assert told({**gap, "list_provenance": [{**roster, "version": "v2", "source_line": 0}]}, roster=roster) == [("list_provenance[0].version", "provenance"), ("list_provenance[0].source_line", "provenance")]

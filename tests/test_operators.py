@@ -4,10 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.operators import candidates, identity, joins, latest, merges, paging, rollups
+from broadsheet.operators import candidates, identity, joins, latest, merges, paging, reporting, rollups
 from broadsheet.plans import report
 from broadsheet.plans.documents import ARRIVALS
-from broadsheet.sources.store import SCHEMAS, Store, logical, safe, write_report
+from broadsheet.sources.store import SCHEMAS, Conflict, Store, logical, safe, write_report
 
 rows = lambda *a: pytest.rows(*a)
 
@@ -152,6 +152,26 @@ def test_store(spark, tmp_path):
     assert manifest == json.loads((tmp_path / "report/manifest.json").read_text()) and manifest["a.txt"]["bytes"] == 1
 
 
+def test_store_commits_are_atomic_and_partial(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    runs = lambda *r: spark.createDataFrame(list(r), "id string, status string")
+    store.upsert("runs", runs(*[(f"r{i}", "old") for i in range(300)]))
+    before = store.manifest()["runs"]
+    after = store.upsert("runs", runs(("r7", "new")))["runs"]
+    assert sum(before[b] != after[b] for b in before) == 1 and before.keys() == after.keys()  # one bucket is written again
+    assert rows(store.read("runs").groupBy("status").count()) == [("new", 1), ("old", 299)]
+    base = store._number()
+    other = Store(spark, str(tmp_path / "s"))
+    other.commit({"leases": spark.createDataFrame([("run:r1", "o")], "name string, owner string")})
+    store.commit({"publishers": spark.createDataFrame([("p",)], "id string")}, base)  # another table's change is no conflict
+    with pytest.raises(Conflict):
+        store.commit({"leases": spark.createDataFrame([("run:r2", "o")], "name string, owner string")}, base)
+    assert store.read("leases").count() == 1 and store.read("publishers").count() == 1 and store.read("runs").count() == 300
+    assert len([n for n in store._names("manifests") if n.endswith(".json")]) == 4
+    store.vacuum()
+    assert len(store._names("manifests")) == 1 and store.read("runs").count() == 300 and store.upsert("runs", runs()) == store.manifest()
+
+
 def test_report(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     make = lambda t, data, cols: store.upsert(t, spark.createDataFrame(data, cols))
@@ -170,6 +190,11 @@ def test_report(spark, tmp_path):
     assert {c["metric"]: c["change"] for c in found["change"]}["discovered"] == 3
     files = report.render(found)
     assert b"<script>&" not in files["report.html"] and b"Alpha \\| " in files["report.md"] and files["publishers.csv"].count(b"\n") == 4 and json.loads(files["report.json"])["run_id"] == "r2"
+    assert len(files["publishers.csv"].split(b"\n")[0].split(b",")) >= 60 and len(found["checks"]) == 13 and b"## End criteria" in files["report.md"] and json.loads(files["articles.json"])["articles"][0]["article_id"] == "a1"
+    assert by["p1"]["discovered"] == 7 and by["p1"]["source_article_associations"] == 3 and found["quality"]["empty_content"] == 2 and found["scope"]["status"] == "not_provided"
+    report.write_articles(reporting.safe_articles(t["articles"], t["discoveries"], t["sources"], spark.createDataFrame([("a1", "stale")], "article_id string, code string")), str(tmp_path / "articles"))
+    written = {r.id: r for r in spark.read.json(str(tmp_path / "articles")).collect()}
+    assert written["a1"].warnings == ["stale"] and written["a1"].publishers == ["p1"] and "raw_html" not in written["a1"].asDict()
     nested = report.batches(t["runs"], t["run_stats"]).first()
     assert nested.batch_id == "b" and [r.run_id for r in nested.runs] == ["r2", "r1"] and nested.runs[0].publishers[0].discovered == 7
     events = spark.createDataFrame([(i, "r1", "p1", "s1", "ERROR" if i == 3 else "INFO", "Café failed" if i == 2 else "m") for i in range(1, 6)], "id long, run_id string, publisher_id string, source_id string, level string, message string")
