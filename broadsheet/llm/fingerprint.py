@@ -8,6 +8,7 @@ Fewer than k hashes mean that the sketch holds the whole set, and then all estim
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -70,38 +71,49 @@ def _place(value: Column, marks: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Adds ``_next``, the text of the row after it in descending doc_id (then text); after the last row comes the first.
+    """Adds ``_next``, the text of the row after it in descending doc_id (then hash of the text); after the last row comes the first.
 
-    Ids are dealt to ranges between quantiles; a range is put in order by itself, and the first row of each range is
-    lent to the range before it. So no task sees more than a range, and texts are shuffled once. Null ids come last.
+    Ids are dealt to ranges between quantiles; an id that fills more than a range, or many null ids, are parted by the hash of
+    the text, so only rows that are equal in both stay together. A range is put in order by itself, and the first row of each
+    range is lent to the range before it. So no task sees more than a range, and texts are shuffled once. Null ids come last.
     """
     n = RANGES * shuffle_partitions(docs.sparkSession)
-    marks = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    marks = sorted(set(marks))  # at most n
-    of = F.when(F.col("doc_id").isNull(), -1).otherwise(_place(F.col("doc_id"), marks))
-    heads = docs.groupBy(of.alias("range")).agg(F.max("doc_id").alias("doc_id")).orderBy(F.desc("range")).collect()  # at most n + 1
+    one = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("m"), F.count("*").alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    counted = Counter(one["m"] or [])  # at most n
+    marks, large = sorted(counted), {i: m for i, m in counted.items() if m > 1}
+    docs = docs.withColumn("_hash", F.xxhash64("text"))
+    share = (F.col("_hash").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    parts = F.when(F.col("doc_id").isNull(), -(-n * one["nulls"] // max(one["rows"], 1)))
+    if large:
+        parts = parts.otherwise(F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in large.items() for x in pair]), F.col("doc_id")))
+    # Rows of a large id come after the others of its range, parted by hash.
+    part = F.coalesce(1 + F.floor(share * parts), F.lit(0))
+    of = F.when(F.col("doc_id").isNull(), -1).otherwise(_place(F.col("doc_id"), marks)) * (n + 2) + (n + 1 - part)
+    heads = docs.groupBy(of.alias("range")).agg(F.min(F.struct(F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("id"), "_hash", F.col("doc_id").alias("doc_id"))).alias("h")).orderBy(F.desc("range")).collect()  # at most 3 n
     if not heads:
         return docs.withColumn("_next", F.lit(None).cast("string"))
-    lent = docs.sparkSession.createDataFrame([(h["doc_id"], before["range"], True) for before, h in zip(heads, [*heads[1:], heads[0]], strict=True)], "_id long, _to int, _lent boolean")
-    # The rows that start a range, again: rank 1 only, as rows may repeat.
-    first = docs.join(F.broadcast(lent), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_range", F.col("_to"))
-    rows = docs.withColumn("_lent", F.lit(False)).withColumn("_range", of)
+    lent = docs.sparkSession.createDataFrame([(h["h"]["doc_id"], h["h"]["_hash"], before["range"], True) for before, h in zip(heads, [*heads[1:], heads[0]], strict=True)], "_id long, _of long, _to long, _lent boolean")
+    # The rows that start a range, again, one of those that are equal.
+    first = docs.join(F.broadcast(lent), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))).dropDuplicates(["_to"]).withColumn("_range", F.col("_to"))
+    rows = docs.withColumn("_lent", F.lit(False)).withColumn("_range", of.cast("long"))
     # What wraps around to the first row comes after all rows of its range.
     both = rows.unionByName(first.select(*docs.columns, "_lent", "_range"))
-    order = W.partitionBy("_range").orderBy("_lent", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
-    return both.withColumn("_next", F.lead("text").over(order))
+    return both.withColumn("_next", F.lead("text").over(_ordered()))
+
+
+def _ordered():
+    return W.partitionBy("_range").orderBy("_lent", F.col("doc_id").desc_nulls_last(), "_hash", "text")
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and estimates, one row a document.
 
-    docs: doc_id, text. Null text is empty. Repeated rows stay; among equal ids the order is by text. A single document is
+    docs: doc_id, text. Null text is empty. Repeated rows stay; among equal ids the order is by hash of the text. A single document is
     its own next one. The edited text swaps the last floor(n / 2) characters for the next text's first as many.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(docs)
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    order = W.partitionBy("_range").orderBy("_lent", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     if "_range" not in rows.columns:
         rows = rows.withColumn("_range", F.lit(0)).withColumn("_lent", F.lit(False))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), half))
@@ -109,7 +121,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
         rows.withColumn("n_chars", F.char_length("text").cast("long"))
         .withColumn("edited", edited)
         .withColumn("sk", sketch(F.col("text"), k))
-        .withColumn("next_sk", F.lead("sk").over(order))
+        .withColumn("next_sk", F.lead("sk").over(_ordered()))
         .where(~F.col("_lent"))
         .withColumn("edited_sk", sketch(F.col("edited"), k))
     )

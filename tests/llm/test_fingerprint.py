@@ -48,3 +48,19 @@ def test_sketches_merge_and_estimate(spark):
     folded = a.join(b).select(fingerprint.merged(F.col("s0"), F.col("s1")).alias("m"), fingerprint.containment(F.col("s0"), fingerprint.merged(F.col("s0"), F.col("s1"))).alias("c")).first()
     assert folded.m == sorted(folded.m) and folded.c > 0.75
     assert fingerprint.merge_sketches(sketched.limit(0), ["g"], "sk").count() == 0
+
+
+def test_many_rows_of_one_id_or_none(spark):
+    """A hot id and null ids are parted by hash; the chain of next texts still runs through all rows once."""
+    rows = [(7, f"hot {i} " * 3) for i in range(300)] + [(None, f"none {i} " * 3) for i in range(200)] + [(i, f"plain {i} " * 3) for i in range(20)] + [(7, "hot 1 " * 3)] * 30
+    found = fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).where("not _lent").collect()
+    assert len(found) == len(rows) and len({r._range for r in found if r.doc_id == 7}) > 3 and len({r._range for r in found if r.doc_id is None}) > 3
+    assert sorted(r._next for r in found) == sorted(t for _, t in rows)
+    order = sorted(found, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r._hash))
+    assert [r.text for r in order[1:]] + [order[0].text] == [r._next for r in order]
+
+
+def test_long_text(spark):
+    text = " ".join(f"w{i % 997}" for i in range(300_000))
+    r = fingerprint.fingerprints(spark.createDataFrame([(1, text), (2, "short one")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert r.n_chars == len(text) and len(r.fingerprint) == 16 * fingerprint.K and abs(r.shingles / 997 - 1) < 0.3
