@@ -30,8 +30,10 @@ from .common import bounded_batches, staged, table
 WINDOW, OPEN_WINDOWS, MIN_CUT, FAN_IN = 4096, 16, 32, 32
 #: Id that ends every document.
 END_ID = 2
-#: Characters of the words whose ids one worker keeps, some 100 bytes a word besides; then the cache starts anew. Longer words aren't kept.
-CACHE_CHARS, CACHED_WORD = 16_000_000, 40
+#: Characters of the words whose ids one worker keeps, some 300 bytes a word in all, and the longest word that it keeps.
+CACHE_CHARS, CACHED_WORD = 4_000_000, 40
+#: Characters of texts encoded at once, or one text.
+SLICE = 1 << 19
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, left binary"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("part", pa.int32()), ("left", pa.binary())])
@@ -55,7 +57,8 @@ class WordTokenizer:
     def __init__(self, path: str, cache_chars: int = CACHE_CHARS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache_chars, self.cache, self.held = Tokenizer.from_file(path), cache_chars, {}, 0
+        self.tokenizer, self.cache_chars, self.cache = Tokenizer.from_file(path), cache_chars, {}
+        self.held = self.missed = 0  # characters of cached words, and of others encoded since the cache began
         self.by_word = self._parts_words(json.loads(self.tokenizer.to_str()))
         gap = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.gap = gap[0] if len(gap) == 1 else None
@@ -90,6 +93,17 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [self._ids(text) for text in texts]
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) < SLICE:
+                size += len(texts[end])
+                end += 1
+            out += self._encode(texts[at:end])
+            at = end
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = []
         for text in texts:
             low = text.lower()
@@ -98,16 +112,19 @@ class WordTokenizer:
             cut.append(_MARK.sub(r" \g<0>", text.replace("\n", " ")).split(" "))
         new = list(set().union(*cut).difference(self.cache))
         self._learn(new)
-        self.held += sum(map(len, new))
         known = self.cache.__getitem__
         out = [b"".join(map(known, one)) for one in cut]
+        # The words that come first are mostly the frequent ones. Once they fill the cache others are encoded each time,
+        # until that has been so for long, as when the language changes; then the cache starts anew.
         for w in new:
-            if len(w) > CACHED_WORD:
+            if len(w) > CACHED_WORD or self.held + len(w) > self.cache_chars:
                 del self.cache[w]
-                self.held -= len(w)
-        if self.held > self.cache_chars:
+                self.missed += len(w)
+            else:
+                self.held += len(w)
+        if self.missed > 20 * self.cache_chars:
             self.cache.clear()
-            self.held = 0
+            self.held = self.missed = 0
         return out
 
 
