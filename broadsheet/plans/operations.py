@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from broadsheet.functions import classify, coerce, dates, texts
-from broadsheet.operators import audit, console, consolidate, reporting, rollups
+from broadsheet.functions import classify, coerce, dates, texts, urls
+from broadsheet.operators import audit, candidates, console, consolidate, identity, ingest, merges, reporting, rollups
 
 from .registry import Tables, query
 
@@ -300,3 +300,87 @@ def stored_texts(spark, d):
 def clamped_totals(spark, d):
     """Sums of counts, negative ones as none."""
     return Tables(spark, d).supplier.groupBy("s_nationkey").agg(rollups.total(F.floor("s_acctbal")).alias("total"))
+
+
+@query("""SELECT page_id, CASE WHEN url LIKE '%#%' THEN split_part(url, '#', 1) ELSE url END AS transport, regexp_extract(url, '^([^?#]*)', 1) AS target, url AS safe, 'see ' || url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'token=REDACTED now' AS told, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'source_id=s+' || page_id AS control, '/i' || page_id || '.png' AS picture, CASE WHEN page_id % 3 > 0 THEN url END AS usable FROM (SELECT page_id, regexp_replace(url, '#.*', '') AS url FROM pages)""")
+def url_forms(spark, d):
+    """URLs as they are fetched, shown in diagnostics, linked, controlled and redacted within a text; pictures of a set of sources."""
+    p = Tables(spark, d).pages.select("page_id", F.regexp_replace("url", "#.*", "").alias("url"))
+    u, mark = F.col("url"), F.when(F.contains("url", F.lit("?")), "&").otherwise("?")
+    text = F.concat(F.lit("see "), F.regexp_replace(u, "://", "://me:pw@"), mark, F.lit("token=abc now"))
+    bad = F.when(F.col("page_id") % 3 > 0, u).otherwise("http://[broken")
+    return p.select(
+        "page_id", urls.resolve_transport_url(F.lit("https://base.example.org/"), F.concat(u, F.lit("#top"))).alias("transport"), urls.url_target(u).alias("target"), urls.safe_link(u).alias("safe"), urls.redact_in_text(text).alias("told"),
+        urls.control_link(u, F.concat(F.lit("s "), "page_id")).alias("control"), urls.first_srcset(F.concat(F.lit("/i"), "page_id", F.lit(".png 2x, /j.png 1x"))).alias("picture"), F.when(urls.normalize_url(bad).isNotNull(), u).alias("usable"),
+    )
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS flag, CASE WHEN event_id % 4 = 0 THEN 2 WHEN event_id % 4 = 1 THEN 1 WHEN event_id % 4 = 2 THEN 0 ELSE 1 END AS listed, CASE WHEN event_id % 3 = 0 THEN event_id WHEN event_id % 3 = 1 THEN 7 END AS first FROM events""")
+def coercions(spark, d):
+    """Flags from words, lists from JSON or a text, and the first of several columns that has a value."""
+    i = F.col("event_id")
+    word = F.element_at(F.array(*[F.lit(w) for w in (" Yes ", "off", "1", "disabled", "maybe")]), (i % 5 + 1).cast("int"))
+    text = F.element_at(F.array(*[F.lit(w) for w in ('["a", "b"]', "plain", " ", "[broken")]), (i % 4 + 1).cast("int"))
+    e = Tables(spark, d).events.select("event_id", word.alias("w"), text.alias("t"), F.when(i % 3 == 0, i).alias("count"), F.when(i % 3 == 1, F.lit(7).cast("long")).alias("counted"))
+    return e.select("event_id", coerce.flag(F.col("w")).alias("flag"), F.size(coerce.json_list(F.col("t"))).alias("listed"), coerce.first_of(e, "missing", "COUNT", "counted").alias("first"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lang WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 4 = 2 THEN lang || '-new' ELSE 'added' END AS lang, CASE WHEN doc_id % 4 <> 3 THEN source END AS kept FROM documents""")
+def registry_upsert(spark, d):
+    """Unspecified values keep the old ones, empty ones clear, some columns are never touched."""
+    x = Tables(spark, d).documents
+    old = x.where("doc_id % 4 <> 3").select("doc_id", "lang", F.col("source").alias("kept"))
+    value = F.when(F.col("doc_id") % 4 == 1, "").when(F.col("doc_id") % 4 == 2, F.concat("lang", F.lit("-new"))).when(F.col("doc_id") % 4 == 3, "added")
+    return merges.partial_update(old, x.select("doc_id", value.alias("lang")), "doc_id", ["lang"], ["kept"])
+
+
+@query("""WITH c AS (SELECT s_suppkey AS id, max((o_orderdate, o_orderkey, o_orderstatus))[3] AS status, max(o_orderdate) AS at, max(CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END) AS good FROM supplier JOIN orders ON o_custkey = s_suppkey GROUP BY 1)
+SELECT s_suppkey AS id, coalesce(c.status, 'new') AS status, strftime(c.at, '%Y-%m-%d') AS last_checked, strftime(greatest(TIMESTAMP '1994-01-01', good), '%Y-%m-%d') AS last_success FROM supplier LEFT JOIN c ON c.id = s_suppkey""")
+def source_checks(spark, d):
+    """The latest check of each source; its last success moves with a success only."""
+    t = Tables(spark, d)
+    old = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("new").alias("status"), F.lit(None).cast("boolean").alias("success"), F.lit(None).cast("struct<at:timestamp,o:bigint>").alias("last_checked"), F.struct(F.lit("1994-01-01").cast("timestamp").alias("at"), F.lit(0).cast("long").alias("o")).alias("last_success"))
+    checks = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), (F.col("o_orderstatus") != "F").alias("success"), F.struct(F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("o")).alias("checked_at"))
+    day = lambda c: F.date_format(F.col(f"{c}.at"), "yyyy-MM-dd").alias(c)
+    return merges.source_status(old, checks, "id").select("id", "status", day("last_checked"), day("last_success"))
+
+
+@query("""WITH k AS (SELECT doc_id AS id, 'u' || (doc_id % 7) AS u, 'n' || (doc_id % 11) AS n, sha256(text) AS h FROM documents WHERE doc_id % 3 = 0), c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'u' || (doc_id % 14) END AS u, 'n' || (doc_id % 22) AS n, sha256(text) AS h FROM documents)
+SELECT doc_id, coalesce((SELECT min(id) FROM k WHERE k.u = c.u), (SELECT min(id) FROM k WHERE k.n = c.n), (SELECT min(id) FROM k WHERE k.h = c.h)) AS article_id FROM c""")
+def identity_lookups(spark, d):
+    """Known articles of candidates: by canonical URL, else by normalised URL, else by content and title."""
+    x = Tables(spark, d).documents.select("doc_id", texts.content_hash(F.col("text")).alias("content_identity_key"))
+    i = F.col("doc_id")
+    known = x.where("doc_id % 3 = 0").select(i.alias("article_id"), F.concat(F.lit("u"), i % 7).alias("canonical_url"), F.concat(F.lit("n"), i % 11).alias("normalized_url"), "content_identity_key")
+    asked = x.select("doc_id", F.when(i % 2 == 0, F.concat(F.lit("u"), i % 14)).alias("canonical_url"), F.concat(F.lit("n"), i % 22).alias("normalized_url"), "content_identity_key")
+    return identity.identity_lookup(asked, known).select("doc_id", "article_id")
+
+
+@query(f"""WITH {ROLES} SELECT source_id AS id, CASE WHEN kind = 'mystery' THEN 'unsupported' WHEN n = 0 THEN 'source_not_found' WHEN n % 5 = 1 THEN 'blocked' WHEN n % 5 = 2 THEN 'http_error' ELSE 'success' END AS status FROM (SELECT id AS source_id, kind, CAST(id AS INTEGER) % 13 AS n FROM sources WHERE enabled)""")
+def source_health(spark, d):
+    """Status of each enabled source by its own document."""
+    sources = roles(spark, d)["sources"]
+    n = F.col("id").cast("int") % 13
+    documents = sources.where(n > 0).select("url", F.when(n % 5 == 1, 403).when(n % 5 == 2, 503).otherwise(200).alias("status"))
+    return ingest.source_health(sources, documents).select(F.col("source_id").alias("id"), "status")
+
+
+@query("""SELECT page_id, CASE WHEN p LIKE '%.html' THEN 'excluded' WHEN page_id % 2 = 0 AND NOT contains(p, '/en/') THEN 'not_allowed' WHEN regexp_matches(p, '/9') THEN 'navigation' END AS reason FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)""")
+def url_policy_by_source(spark, d):
+    """The same ladder where each source has patterns of its own."""
+    p = Tables(spark, d).pages.select("page_id", urls.normalize_url("url").alias("url"))
+    some = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    even = F.col("page_id") % 2 == 0
+    reason = candidates.policy_by(F.col("url"), F.array(urls.host(F.col("url"))), F.lit(None).cast("string"), some(), F.when(even, some("/en/")), some(r"\.html$"), some("/9"), even)
+    return p.select("page_id", reason.alias("reason"))
+
+
+@query("""SELECT run_id, discovered, stored, errors, CASE WHEN errors > 0 THEN 'source_failed' ELSE 'source_finished' END AS event FROM (SELECT o_orderpriority AS run_id, count(*) AS discovered, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS stored, count(*) FILTER (WHERE o_orderkey % 3 = 1 AND o_orderpriority = '1-URGENT') AS errors FROM orders GROUP BY 1)""")
+def run_statistics(spark, d):
+    """Statistics and events of sources from the fates of candidates and the outcomes of articles."""
+    o = Tables(spark, d).orders.select(F.col("o_orderpriority").alias("source_id"), F.lit("p").alias("publisher_id"), F.lit("new").alias("fate"), "o_orderkey")
+    key = F.col("o_orderkey") % 3
+    outcomes = o.select("source_id", F.when(key == 0, "created").otherwise("unchanged").alias("outcome"), ((key == 1) & (F.col("source_id") == "1-URGENT")).alias("failed"))
+    stats = ingest.run_stats(o, outcomes, "r")
+    events = ingest.run_events(stats, "2025-01-01").select("source_id", F.col("event_type").alias("event"))
+    return stats.join(events, "source_id").select(F.col("source_id").alias("run_id"), "discovered", "stored", F.col("error_count").alias("errors"), "event")
