@@ -32,7 +32,9 @@ NEIGHBOURS, SAMPLE, RERANK = 10, 20_000, 200
 #: Share of true neighbours that the visited lists shall hold, and sample vectors that this is measured on.
 TARGET, TUNE = 0.985, 256
 #: Most lists; components that one codebook covers; codewords a codebook.
-LISTS, PART, WORDS = 4096, 4, 256
+LISTS, PART, WORDS = 4096, 2, 256
+#: Sample vectors that the codebooks are fitted on.
+BOOK_SAMPLE = 8192
 #: Largest scaled component, and largest scaled norm of a query that the lists can place.
 LIMIT, FAR = 1e15, 2.0**20
 #: Entries of a chunk, queries that meet it in one task, and at once.
@@ -77,7 +79,7 @@ class Index:
         self.centroids = kmeans(sample, lists)
         left = sample - self.centroids[self.lists(sample, 1)[:, 0]]
         self.cuts = [(i, min(i + PART, self.dim)) for i in range(0, self.dim, PART)]
-        self.books = [kmeans(left[:, a:b], WORDS) for a, b in self.cuts]
+        self.books = [kmeans(left[:BOOK_SAMPLE, a:b], WORDS) for a, b in self.cuts]
 
     def narrow(self, wide: np.ndarray) -> np.ndarray:
         """Scaled vectors in single precision."""
