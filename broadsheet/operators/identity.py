@@ -229,11 +229,11 @@ def label(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(roots, "arrival_seq", "left").withColumn("component", F.coalesce("component", "arrival_seq"))
 
 
-def resolve(arrivals: DataFrame, max_shared: int = 1000) -> tuple[DataFrame, DataFrame]:
+def resolve(arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcomes, articles) of arrivals, which have the columns of INPUT; missing ones count as null.
 
-    outcomes: arrival_seq, article_id, outcome (created, updated, unchanged). articles: what is left, one row each.
-    ``max_shared`` is taken for the sake of callers and changes nothing: all rows of a hash are linked, however many.
+    outcomes: arrival_seq, article_id, outcome (created, updated, unchanged). articles: what is left, one row each. All rows
+    of a hash are linked, however many.
     """
     have = {c.lower() for c in arrivals.columns}
     columns = [x.strip().split(" ") for x in INPUT.split(",")]

@@ -106,7 +106,7 @@ def test_identity_order_and_idempotence(spark):
     arrivals = spark.createDataFrame(ARRIVALS, "arrival_seq long, publisher_id string, url string, title string, content_hash string")
     outcomes, articles = identity.resolve(arrivals)
     shuffled = spark.createDataFrame(random.Random(1).sample(ARRIVALS, len(ARRIVALS)), arrivals.schema)
-    assert rows(outcomes) == rows(identity.resolve(shuffled)[0]) == rows(identity.resolve(arrivals, max_shared=1)[0])
+    assert rows(outcomes) == rows(identity.resolve(shuffled)[0])
     merged = {r.article_id: r for r in articles.collect()}
     assert merged[601].merged_ids == [602] and merged[201].canonical_url is None and merged[201].normalized_url == "https://e.org/h1"
     assert merged[501].title == "After" and merged[501].source_url_raw == "https://e.org/k?utm_source=x"
