@@ -18,6 +18,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -190,17 +191,17 @@ def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000], strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
-def _packed(pieces: Iterable, size: int, most: int, min_cut: int, level: int, keep: bool) -> Iterator[pa.RecordBatch]:
-    """keep: what is left stays open, to be merged with other tasks' rest."""
-    part = TaskContext.get().partitionId()
-    base, windows = (level << 56) | (part << 28), Windows(size, most, min_cut)
-    for group in pieces:
-        for piece in group:
-            windows.add(*piece)
-        if windows.done:
-            yield from _batches(windows.rows(windows.done, base, part, False))
-            windows.done = []
-    yield from _batches(windows.rows(sorted(windows.held.items()), base, part, keep))
+def _packed(groups: Iterable, size: int, most: int, min_cut: int, level: int, keep: bool) -> Iterator[pa.RecordBatch]:
+    """groups: (number of the group, batches of its pieces). keep: what is left of each stays open, to be merged with the rest of others."""
+    for part, batches in groups:
+        base, windows = (level << 56) | (part << 28), Windows(size, most, min_cut)
+        for batch in batches:
+            for piece in batch:
+                windows.add(*piece)
+            if windows.done:
+                yield from _batches(windows.rows(windows.done, base, part, False))
+                windows.done = []
+        yield from _batches(windows.rows(sorted(windows.held.items()), base, part, keep))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, min_cut: int = MIN_CUT, fan_in: int = FAN_IN) -> DataFrame:
@@ -222,12 +223,13 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
                     group += [(doc_id, i // 4, ids[i : i + 4 * window], len(ids) // 4) for i in range(0, len(ids), 4 * window)]
                 yield group
 
-        return _packed(pieces(), window, open_windows, min_cut, 0, True)
+        return _packed([(TaskContext.get().partitionId(), pieces())], window, open_windows, min_cut, 0, True)
 
     def merge(level: int, keep: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces = (list(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "left", "doc_tokens")], strict=True)) for batch in batches)
-            return _packed(pieces, window, open_windows, min_cut, level, keep)
+            pieces = (p for batch in batches for p in zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "start", "left", "doc_tokens")], strict=True))
+            groups = ((part, ([p[1:]] for p in some)) for part, some in groupby(pieces, lambda p: p[0]))
+            return _packed(groups, window, open_windows, min_cut, level, keep)
 
         return run
 
@@ -236,13 +238,13 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
     while True:
         level, groups = level + 1, -(-parts // fan_in)
         rest = out.where("left is not null").withColumn("part", F.expr(f"cast(part div {fan_in} as int)"))
-        # Range partitions keep a group together; the order within makes a repeated task pack alike.
+        # A task may hold several groups, one after the other; the order within makes a repeated task pack alike.
         rest = (rest.repartition(groups, "part") if groups > 1 else rest.coalesce(1)).sortWithinPartitions("part", "sequence_id", "offset")
         out = staged(rest.mapInArrow(merge(level, groups > 1), SCHEMA), f"merged{level}")
         done.append(out.where("left is null"))
         if groups == 1:
             break
-        parts = (out.agg(F.max("part")).first()[0] or 0) + 1
+        parts = groups
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)

@@ -81,3 +81,14 @@ def test_other_tokenizers_get_whole_texts(tmp_path):
     other, whole = packing.WordTokenizer(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
     assert not other.by_word
     assert other.encode(["two words\nhere"])[0] == np.array(whole.encode("two words\nhere", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_merging_ends_whatever_the_number_of_partitions(spark, encode, monkeypatch):
+    """Groups of a round are known by their number, not by the task that happens to hold them."""
+    frame = type(spark.range(0))
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *c: plain(self, max(n, 37) if c else n, *c))
+    docs = [(i, "word " * (i % 7)) for i in range(150)]
+    df = plain(spark.createDataFrame(docs, "doc_id long, text string"), 12)
+    found = check(packing.pack(df, packing.vocabulary(), fan_in=2), spark, {i: encode(t) for i, t in docs})
+    assert found.sequence_id.nunique() == 1
