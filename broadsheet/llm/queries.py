@@ -10,8 +10,10 @@ from .mixing import OP7_SQL, op7_mix_sources
 from .ngram_join import OP1_SQL, op1_ngram_jaccard
 from .packing import op2_pack
 from .pii import op5_find_personal_data
+from .resampling import OP12_SQL, op12_resample
 from .secrets import op10_find_secrets
 from .toxicity import op4_score_toxicity
+from .url_filter import OP11_SQL, op11_filter_urls
 
 
 
@@ -56,6 +58,8 @@ QUERIES = {
     "op3_fingerprint": op3_fingerprint,
     "op6_identify_language": op6_identify_language,
     "op7_mix_sources": op7_mix_sources,
+    "op11_filter_urls": op11_filter_urls,
+    "op12_resample": op12_resample,
     "fingerprint_edited_texts": _derived(op3_fingerprint, "doc_id", "n_chars", "edited_sha256"),
     "personal_data_counts": _derived(op5_find_personal_data, "doc_id", "n_email", "n_ip", "n_card", "n_phone"),
     "secret_counts": _derived(op10_find_secrets, "doc_id", "n_assign", "n_access", "n_hex"),
@@ -64,6 +68,8 @@ SQL = {
     "op1_ngram_jaccard": OP1_SQL,
     "op9_drop_template_lines": OP9_SQL,
     "op7_mix_sources": OP7_SQL,
+    "op11_filter_urls": OP11_SQL,
+    "op12_resample": OP12_SQL,
     "fingerprint_edited_texts": EDITED_SQL,
     "personal_data_counts": PERSONAL_SQL,
     "secret_counts": SECRETS_SQL,
