@@ -67,7 +67,7 @@ def test_empty_and_clashing(spark):
     assert [r.verdict for r in url_filter.judge(one, outcomes, rules.limit(0)).collect()] == ["allow"]
 
 
-def test_no_python_and_no_html_in_the_plan(spark, tmp_path):
+def test_plan_is_native(spark, tmp_path):
     spark.createDataFrame([(1, "https://a.org/", "<p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     plan = url_filter.op11_filter_urls(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
