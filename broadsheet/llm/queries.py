@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op8_nearest_vectors
+from .conversations import FAULTS_SQL, op13_repair_conversations
 from .fingerprint import op3_fingerprint
 from .language import op6_identify_language
 from .line_templates import OP9_SQL, op9_drop_template_lines
@@ -60,6 +61,8 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
     "op11_filter_urls": op11_filter_urls,
     "op12_resample": op12_resample,
+    "op13_repair_conversations": op13_repair_conversations,
+    "conversation_faults": _derived(op13_repair_conversations, "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal"),
     "fingerprint_edited_texts": _derived(op3_fingerprint, "doc_id", "n_chars", "edited_sha256"),
     "personal_data_counts": _derived(op5_find_personal_data, "doc_id", "n_email", "n_ip", "n_card", "n_phone"),
     "secret_counts": _derived(op10_find_secrets, "doc_id", "n_assign", "n_access", "n_hex"),
@@ -70,6 +73,7 @@ SQL = {
     "op7_mix_sources": OP7_SQL,
     "op11_filter_urls": OP11_SQL,
     "op12_resample": OP12_SQL,
+    "conversation_faults": FAULTS_SQL,
     "fingerprint_edited_texts": EDITED_SQL,
     "personal_data_counts": PERSONAL_SQL,
     "secret_counts": SECRETS_SQL,
