@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, staged, table
+from .common import fresh, let, staged, table
 
 #: Leading words of the tree; parts of the rest that a template may leave open; least words of a line with open parts.
 DEPTH, PARTS, MIN_PARTED = 2, 4, 8
@@ -73,13 +73,13 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     return keyed.join(recurring, "key").groupBy("doc_id", "fp", "line").agg(F.bool_and(F.col("keeper") == F.col("fp")).alias("first"))
 
 
-def drop_recurring_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
-    """docs, whose columns have doc_id and text, with its recurring lines dropped and three more columns.
+def drop_recurring_lines(docs: DataFrame, keep_first: bool = True, counts: bool = True) -> DataFrame:
+    """docs, whose columns have doc_id and text, with its recurring lines dropped.
 
     Lines end at line feeds. Null text stays null; a text whose lines all go is empty; other lines stay as they are, in
-    order. The added columns are ``lines``, ``recurring`` and ``dropped`` (numbers of lines); columns of docs that have one
-    of these names give way. n_chars, if docs has it, is set anew. Repeated rows are treated alike; with equal texts the
-    first by doc_id, null last, is the first document.
+    order. n_chars, if docs has it, is set anew; its other columns stay as they are. ``counts`` adds numbers of lines as
+    ``lines``, ``recurring`` and ``dropped``, with underscores after a name that docs has. Repeated rows are treated alike;
+    with equal texts the first by doc_id, null last, is the first document.
     """
     found = recurring_lines(docs)
     goes = ~F.col("first") if keep_first else F.lit(True)
@@ -91,14 +91,14 @@ def drop_recurring_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     stay = lambda said: F.array_except(F.sequence(F.lit(0), F.size(said) - 1), F.col("g.gone"))
     kept = let(lines, lambda said: F.array_join(F.transform(stay(said), lambda i: F.get(said, i)), "\n"))
     new = F.when(F.size("g.gone") > 0, kept).otherwise(text)
-    own = [c for c in docs.columns if c not in ("lines", "recurring", "dropped")]
-    columns = [new.alias("text") if c == "text" else F.char_length(new).cast("long").alias(c) if c == "n_chars" else F.col(f"d.`{c}`") for c in own]
-    return joined.select(
-        *columns,
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines"),
-        F.coalesce("g.recurring", F.lit(0)).cast("long").alias("recurring"),
-        F.when(F.col("g.gone").isNull(), 0).otherwise(F.size("g.gone")).cast("long").alias("dropped"),
-    )
+    columns = [new.alias("text") if c == "text" else F.char_length(new).cast("long").alias(c) if c == "n_chars" else F.col(f"d.`{c}`") for c in docs.columns]
+    numbers = {
+        "lines": F.coalesce(F.size(lines), F.lit(0)),
+        "recurring": F.coalesce("g.recurring", F.lit(0)),
+        "dropped": F.when(F.col("g.gone").isNull(), 0).otherwise(F.size("g.gone")),
+    }
+    added = [number.cast("long").alias(fresh(docs, name)) for name, number in numbers.items()] if counts else []
+    return joined.select(*columns, *added)
 
 
 def op9_drop_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

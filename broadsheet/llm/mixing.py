@@ -9,8 +9,8 @@ its documents.
 Nothing is sorted in one task. Prefix sums in a source have two levels: a slice of the hash range, then the documents of
 that slice, so a source with a third of all rows is spread over 4096 groups. Documents that tie (same source, hash, id
 and size, as repeated rows do) are one entry there and are numbered apart, over PARTS shares of the tie. For the cut, the
-range partitions are summed (one number each reaches the driver), and only the partition that the cut falls in is summed
-document by document.
+range partitions are summed (one number each reaches the driver), the partition that the cut falls in is parted again until
+it has FEW packets, and only those are summed document by document.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Slices of the hash range in each source (bits), and shares of a tie.
 SLICE_BITS, PARTS = 12, 256
+#: Packets that one task may sum one by one.
+FEW = 100_000
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -120,20 +122,29 @@ def _before(left: list, right: tuple):
     return said
 
 
-def _cut(timed: DataFrame, max_repeats: int) -> tuple | None:
-    """The first packet, in ORDER, that the budget no longer holds: from all packets, range-sorted."""
+def _cut(timed: DataFrame, max_repeats: int, few: int = FEW) -> tuple | None:
+    """The first packet, in ORDER, that the budget no longer holds: from all packets, range-sorted.
+
+    The range that the cut falls in is sorted into ranges again until it has few packets, and only these are summed in one task.
+    """
     budget = timed.agg(F.sum("size")).first()[0] or 0
     packets = timed.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))).withColumn("finish", _finish(F.col("pass")))
-    ranges = packets.select(*ORDER, "size").repartitionByRange(shuffle_partitions(timed.sparkSession), *ORDER).sortWithinPartitions(*ORDER)
-    ranges = staged(ranges.withColumn("range", F.spark_partition_id()), "queue")
-    used = 0
-    for r in ranges.groupBy("range").agg(F.sum("size").alias("words")).orderBy("range").collect():  # one row a partition
-        if used + r["words"] > budget:
+    packets, used = packets.select(*ORDER, "size"), 0
+    while True:
+        ranges = packets.repartitionByRange(shuffle_partitions(timed.sparkSession), *ORDER)
+        ranges = staged(ranges.withColumn("range", F.spark_partition_id()), "queue")
+        cut = None
+        for r in ranges.groupBy("range").agg(F.sum("size").alias("words"), F.count("*").alias("n")).orderBy("range").collect():  # one row a partition
+            if used + r["words"] > budget:
+                cut = r
+                break
+            used += r["words"]
+        if cut is None:
+            return None
+        packets = ranges.where(F.col("range") == cut["range"]).select(*ORDER, "size")
+        if cut["n"] <= few:
             run = F.lit(used) + F.sum("size").over(W.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, W.currentRow))
-            within = ranges.where(F.col("range") == r["range"]).select(*ORDER, run.alias("run"))
-            return tuple(within.where(F.col("run") > budget).orderBy(*ORDER).select(*ORDER).first())
-        used += r["words"]
-    return None
+            return tuple(packets.select(*ORDER, run.alias("run")).where(F.col("run") > budget).orderBy(*ORDER).select(*ORDER).first())
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:

@@ -12,6 +12,7 @@ bytes each besides the slots: they grow with the labelled text, and none is drop
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,9 @@ BROADCAST_LABELS = 2_000_000
 FLUSH = 1_000_000
 #: Characters scored at once, or one text.
 SLICE = 1 << 18
+#: Characters counted at once, up to the next white space.
+JOINED = 1 << 20
+_SPACE = re.compile(r"\s")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 FEATURES = 4
 
@@ -61,6 +65,23 @@ def _slots(key: np.ndarray, bits: int) -> np.ndarray:
     return (key.astype(np.uint64) * _MIX >> np.uint64(64 - bits)).astype(np.intp)
 
 
+def _joined(texts) -> Iterator[str]:
+    """Texts one after the other, some JOINED characters at a time. A longer text is cut at white space, which changes no n-gram."""
+    held, size = [], 0
+    for text in texts:
+        at = 0
+        while at < len(text):
+            space = _SPACE.search(text, at + JOINED) if len(text) - at > JOINED else None
+            end = space.start() if space else len(text)
+            held.append(text[at:end])
+            size += end - at
+            at = end + 1
+            if size >= JOINED:
+                yield "\n".join(held)
+                held, size = [], 0
+    yield "\n".join(held)
+
+
 def ngram_counts(labelled: DataFrame) -> DataFrame:
     """key, toxic, plain: counts over all rows of labelled (text, toxic)."""
 
@@ -77,14 +98,15 @@ def ngram_counts(labelled: DataFrame) -> DataFrame:
                 texts = frame["text"][frame["toxic"] == c].dropna()
                 if not len(texts):
                     continue
-                k, n = np.unique(keys("\n".join(texts)), return_counts=True)
-                held[c].append((k, n))
-                size += len(k)
-                if len(held[c]) >= 16 or size > FLUSH:
-                    k, n = np.concatenate([x for x, _ in held[c]]), np.concatenate([x for _, x in held[c]])
-                    k, at = np.unique(k, return_inverse=True)
-                    held[c] = [(k, np.bincount(at, n).astype(np.int64))]
-                    size = sum(len(x) for part in held for x, _ in part)
+                for some in _joined(texts):
+                    k, n = np.unique(keys(some), return_counts=True)
+                    held[c].append((k, n))
+                    size += len(k)
+                    if len(held[c]) >= 16 or size > FLUSH:
+                        k, n = np.concatenate([x for x, _ in held[c]]), np.concatenate([x for _, x in held[c]])
+                        k, at = np.unique(k, return_inverse=True)
+                        held[c] = [(k, np.bincount(at, n).astype(np.int64))]
+                        size = sum(len(x) for part in held for x, _ in part)
             if size > FLUSH:
                 yield passed()
                 held, size = [[], []], 0

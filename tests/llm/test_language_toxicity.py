@@ -182,3 +182,12 @@ def test_decoding_equals_a_plain_version():
         share /= share.sum()
         said = decoder.decode(features)
         assert said[0] == names[int(share.argmax())] == lang and abs(said[1] - share.max()) < 1e-3
+
+
+def test_counting_in_parts_changes_nothing(spark, monkeypatch):
+    text = "Ein Satz\u00a0mit  Wörtern,\tund\nnoch einer. " * 40
+    whole = np.unique(toxicity.keys("\n".join([text, "zwei", text])), return_counts=True)
+    monkeypatch.setattr(toxicity, "JOINED", 50)
+    parts = list(toxicity._joined([text, "zwei", text]))
+    found = np.unique(np.concatenate([toxicity.keys(p) for p in parts]), return_counts=True)
+    assert len(parts) > 30 and all((a[whole[0] != 0] == b[found[0] != 0]).all() for a, b in zip(whole, found, strict=True))

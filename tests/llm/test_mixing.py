@@ -69,3 +69,11 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "w " * 500_000, "a"), (2, "v " * 5, "b"), (3, None, None)], "doc_id long, text string, source string")
     found, _ = mixed(docs)
     assert found.set_index("doc_id")["size"].to_dict() == {1: 500_000, 2: 5, 3: 0}
+
+
+def test_the_cut_is_found_in_levels(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(4000)], "doc_id long, text string, source string")
+    timed = mixing.mixed_sizes(docs, times=True)
+    timed = mixing.staged(timed.withColumn("rank", timed["rank"].cast("long")), "timed").drop("queue")
+    once = mixing._cut(timed, 3)
+    assert once is not None and mixing._cut(timed, 3, few=5) == once

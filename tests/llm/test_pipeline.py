@@ -3,6 +3,7 @@ import zlib
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from broadsheet.llm import line_templates, mixing, ngram_join, packing
@@ -84,3 +85,20 @@ def test_stages(spark, tmp_path):
             assert docs.columns == names
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert again.groupBy("doc_id").sum("length").exceptAll(docs.groupBy("doc_id").sum("length")).count() == 0
+
+
+def test_columns_of_the_input_stay_as_they_are(spark, tmp_path):
+    """Columns named as those that stages work with pass through all stages but the last."""
+    own = ["lines", "recurring", "dropped", "score", "fp", "place", "text_hash", "size", "rank", "cum", "row", "first", "line", "gone", "finish"]
+    spark.createDataFrame([(r[0], 0, int("zogg" in (r[1] or ""))) for r in corpus()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(corpus(), COLUMNS)
+    docs = docs.select("*", *[(F.coalesce("doc_id", F.lit(0)) * 100 + i).alias(c) for i, c in enumerate(own)])
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.staged(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == names
+        odd = F.lit(False)
+        for i, c in enumerate(own):
+            odd = odd | (F.col(c) != F.coalesce("doc_id", F.lit(0)) * 100 + i)
+        assert docs.count() and not docs.where(odd).count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()
