@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from broadsheet.functions import urls
 from broadsheet.functions.classify import any_of, ladder
+from broadsheet.functions.patterns import usable
 
 # Order in which kinds of sources are visited.
 SOURCE_PRIORITY = {"rss": 0, "atom": 0, "sitemap": 1, "archive": 2}
@@ -37,26 +36,20 @@ def source_order(kind: Column) -> Column:
 
 
 def usable_patterns(patterns: list[str] | None) -> list[str]:
-    """The patterns that compile; a malformed one never matches."""
-    found = []
-    for p in patterns or []:
-        try:
-            re.compile(p)
-            found.append(p)
-        except re.error:
-            pass
-    return found
+    """The patterns that compile, as the JVM reads them; a malformed one never matches."""
+    return list(usable(patterns).values())
 
 
 def matches(text: Column, patterns: list[str] | None) -> Column:
-    return any_of(*[text.rlike(f"(?i){p}") for p in usable_patterns(patterns)]) if usable_patterns(patterns) else F.lit(False)
+    good = usable_patterns(patterns)
+    return any_of(*[text.rlike(f"(?i){p}") for p in good]) if good else F.lit(False)
 
 
 def explicitly_allowed(text: Column, patterns: list[str] | None) -> Column:
     """Like matches(), but a malformed pattern counts as plain text."""
-    good = usable_patterns(patterns)
+    good = usable(patterns)
     plain = [F.contains(F.lower(text), F.lit(p.lower())) for p in patterns or [] if p not in good]
-    return any_of(matches(text, good), *plain)
+    return any_of(matches(text, list(good)), *plain)
 
 
 def policy_reason(url: Column, hosts: list[str], allow: list[str] | None = None, exclude: list[str] | None = None, navigation: list[str] | None = None, source_url: Column | None = None) -> Column:

@@ -84,17 +84,17 @@ def discover(sources: DataFrame, documents: DataFrame, adapters: AdapterRegistry
     api = live.where("kind = 'json_api'").select(*tagged, "url", _config(live, json_config).alias("said")).join(documents.select("url", "content"), "url")
     found.append(_shaped(api.select(*named, F.explode(jsonapi.parse_json_api(F.col("content"), F.col("url"), F.col("said"))).alias("i")).select(*named, "i.*")))
 
-    # Sources of one URL share a walk, by the largest budget or the last configuration.
+    # Every source walks by its own settings, those that share a URL as well.
+    walk = [F.col("source_id").alias("root"), F.col("source_url").alias("url")]
     maps = live.where("kind = 'sitemap'").select(*tagged, F.get_json_object(_config(live, None), "$.max_sitemaps").cast("int").alias("max_sitemaps"))
     if not maps.isEmpty():
-        walked = feeds.sitemap_walk(documents, maps.groupBy(F.col("source_url").alias("url")).agg(F.max("max_sitemaps").alias("max_sitemaps")))
-        entries = maps.join(walked.withColumnRenamed("root_url", "source_url"), "source_url")
+        walked = feeds.sitemap_walk(documents, maps.select(*walk, "max_sitemaps")).withColumnRenamed("root", "source_id")
+        entries = maps.drop("max_sitemaps").join(walked, "source_id")
         found.append(_shaped(entries.withColumn("published_at", F.col("last_modified")).withColumn("published_raw", F.col("last_modified_raw"))))
     pages = live.where("kind = 'archive'").select(*tagged, _config(live, archive_config).alias("config"))
     if not pages.isEmpty():
-        roots = pages.groupBy(F.col("source_url").alias("url")).agg(F.max("config").alias("config"))
-        cards = archives.archive_walk(documents, roots)
-        found.append(_shaped(pages.drop("config").join(cards.withColumnRenamed("root_url", "source_url"), "source_url")))
+        cards = archives.archive_walk(documents, pages.select(*walk, "config")).withColumnRenamed("root", "source_id")
+        found.append(_shaped(pages.drop("config").join(cards, "source_id")))
     for name in adapters.names() if adapters else ():
         mine = live.where((F.col("kind") == "custom_adapter") & (F.col("adapter") == name))
         hosts = mine.select(urls.host(F.col("url")).alias("host"))

@@ -188,6 +188,7 @@ def criteria(scope: DataFrame, publishers: DataFrame, sources: DataFrame, run_id
     facts = reduce(lambda a, b: a.join(b, "_one"), [part.withColumn("_one", F.lit(1)) for part in parts])
     blocked = classify.token(F.lit(run_status or "")).isin("error", "failed", "failure", "partial", "completed_with_errors") & (F.col("external") == 0)
     n = lambda c: F.col(c).cast("string")
+    bad_urls = F.arrays_overlap("codes", F.array(F.lit("bad_url"), F.lit("non_official_host")))
     rows = [
         ("configuration_loaded", F.lit(config_error is None), F.lit(config_error or "the registry can be read")),
         ("publishers_projected", F.lit(projected) == F.col("configured"), F.concat(F.lit(f"{projected} of "), n("configured"))),
@@ -195,11 +196,11 @@ def criteria(scope: DataFrame, publishers: DataFrame, sources: DataFrame, run_id
         ("run_evidence", F.lit(run_id is not None), F.lit(run_id or "no run")),
         ("source_coverage", F.col("unregistered") == 0, F.concat((F.col("live") - F.col("unregistered")).cast("string"), F.lit(" of "), n("live"))),
         ("one_result_each", F.lit(run_id is not None) & (F.col("not_one") == 0), F.concat(n("one"), F.lit(" with exactly one result, "), n("not_one"), F.lit(" without"))),
-        ("registry_scope", F.col("configured") >= 0, F.col("status")),
+        ("registry_scope", F.coalesce(F.col("status"), F.lit("")) != "invalid", F.col("status")),
         ("no_run_failures", (F.col("blocking") == 0) & ~blocked, F.concat(n("blocking"), F.lit(" blocking, "), n("external"), F.lit(" external"))),
         ("article_quality", F.size("codes") == 0, F.array_join("codes", ", ")),
         ("deduplication", (F.col("urls") == 0) & (F.col("identities") == 0), F.concat(n("urls"), F.lit(" repeated URLs, "), n("identities"), F.lit(" repeated identities"))),
-        ("url_safety", ~F.arrays_overlap("codes", F.array(F.lit("bad_url"), F.lit("non_official_host"))), F.lit("all URLs are valid and official")),
+        ("url_safety", ~bad_urls, F.when(bad_urls, "some URLs are invalid or not official").otherwise("all URLs are valid and official")),
         ("safe_projection", F.lit(forbidden == 0), F.lit(f"{forbidden} forbidden fields")),
         ("one_contract", F.lit(True), F.lit("all renderings come from one projection")),
     ]

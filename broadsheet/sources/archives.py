@@ -69,8 +69,8 @@ def _follow(page: pd.Series, base: pd.Series, said: pd.Series) -> pd.Series:
 def archive_walk(documents: DataFrame, roots: DataFrame, selector: str | None = None, config: dict | None = None, max_pages: int = 10, preserve_duplicates: bool = False) -> DataFrame:
     """Candidates of the pages that next links lead to from roots (url), with ``root_url``; of a root's candidates the first of a URL stays.
 
-    roots may have a column ``config`` of JSON objects, whose selectors, next_selector and max_pages go before those given.
-    Each turn parses the pages of its frontier alone, cards and next link at once, and writes them out.
+    roots may have a column ``config`` of JSON objects, whose selectors, next_selector and max_pages go before those given,
+    and a column ``root`` that names them: roots of one url then keep settings and candidates of their own. Each turn parses the pages of its frontier alone, cards and next link at once, and writes them out.
     """
     base = {**(config or {}), "next_selector": selector, "max_pages": max_pages}
     own = F.coalesce(F.col("config"), F.lit("{}")) if "config" in roots.columns else F.lit("{}")
@@ -79,22 +79,25 @@ def archive_walk(documents: DataFrame, roots: DataFrame, selector: str | None =
     def merged(said: pd.Series) -> pd.Series:
         return said.map(lambda text: json.dumps({**base, **_config(text)}))
 
-    frontier = staged(roots.select(F.col("url").alias("root_url"), "url", merged(own).alias("config")).dropDuplicates(["root_url"]), "frontier")
+    named = "root" in roots.columns
+    root = F.col("root" if named else "url").alias("root")
+    frontier = staged(roots.select(root, F.col("url").alias("root_url"), "url", merged(own).alias("config")).dropDuplicates(["root"]), "frontier")
     most = F.least(F.coalesce(F.get_json_object("config", "$.max_pages").cast("int"), F.lit(max_pages)), F.lit(MAX_PAGES))
-    visited, found, number = frontier.select("root_url", "url"), None, 0
+    visited, found, number = frontier.select("root", "url"), None, 0
     while True:
         pages = documents.select("url", "content").join(frontier, "url")
-        pages = pages.select("root_url", "config", F.col("url").alias("page_url"), parse_archive(F.col("content"), F.col("url"), F.col("config"), not preserve_duplicates).alias("items"), _follow("content", "url", "config").alias("next"))
+        pages = pages.select("root", "root_url", "config", F.col("url").alias("page_url"), parse_archive(F.col("content"), F.col("url"), F.col("config"), not preserve_duplicates).alias("items"), _follow("content", "url", "config").alias("next"))
         pages = staged(pages, "pages")
-        items = pages.select("root_url", "page_url", F.lit(number).alias("page"), F.explode("items").alias("i")).select("root_url", "page_url", "page", "i.*")
+        items = pages.select("root", "root_url", "page_url", F.lit(number).alias("page"), F.explode("items").alias("i")).select("root", "root_url", "page_url", "page", "i.*")
         found = items if found is None else found.unionByName(items)
         number += 1
-        following = pages.where("next is not null").where(F.lit(number) < most).select("root_url", F.col("next").alias("url"), "config")
-        frontier = staged(following.join(visited, ["root_url", "url"], "left_anti"), "frontier")
+        following = pages.where("next is not null").where(F.lit(number) < most).select("root", "root_url", F.col("next").alias("url"), "config")
+        frontier = staged(following.join(visited, ["root", "url"], "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier.select("root_url", "url"))
+        visited = visited.unionByName(frontier.select("root", "url"))
+    out = [] if named else ["root"]
     if preserve_duplicates:
-        return found
-    first = found.groupBy("root_url", "url").agg(F.min_by(F.struct(*[c for c in found.columns if c not in ("root_url", "url")]), F.struct("page", "page_url", "position")).alias("i"))
-    return first.select("root_url", "url", "i.*")
+        return found.drop(*out)
+    first = found.groupBy("root", "root_url", "url").agg(F.min_by(F.struct(*[c for c in found.columns if c not in ("root", "root_url", "url")]), F.struct("page", "page_url", "position")).alias("i"))
+    return first.select("root", "root_url", "url", "i.*").drop(*out)

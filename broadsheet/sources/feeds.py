@@ -135,27 +135,30 @@ def sitemap_scan(documents: DataFrame) -> DataFrame:
 
 
 def sitemap_walk(documents: DataFrame, roots: DataFrame, max_sitemaps: int = 20) -> DataFrame:
-    """Entries of all sitemaps that indexes lead to from roots (url; max_sitemaps, if it has that column), with ``root_url``.
+    """Entries of all sitemaps that indexes lead to from roots (url; root, max_sitemaps, if it has those columns), with ``root_url``.
 
-    Each root has a budget of its own: so many documents, itself among them, in order of their discovery: breadth first, in
-    the order of the indexes' entries. What a root has visited isn't visited again for it, so an index that names itself
-    ends. Each turn parses the documents of its frontier alone and writes them out. Turns are as many as indexes are nested.
+    Each root, named by ``root`` or else by its url, has a budget of its own: so many documents, itself among them, in order
+    of their discovery: breadth first, in the order of the indexes' entries. What a root has visited isn't visited again for
+    it, so an index that names itself ends. Roots of one url may differ in budget. Each turn parses the documents of its
+    frontier alone, once for all roots, and writes them out. Turns are as many as indexes are nested.
     """
+    named = "root" in roots.columns
     budget = F.greatest(F.coalesce(F.col("max_sitemaps").cast("int") if "max_sitemaps" in roots.columns else F.lit(None), F.lit(max_sitemaps)), F.lit(1))
-    frontier = staged(roots.select(F.col("url").alias("root_url"), "url", budget.alias("budget"), F.lit(0).cast("long").alias("place")).distinct(), "frontier")
-    visited, found = frontier.select("root_url", "url"), None
+    root = F.col("root" if named else "url").alias("root")
+    frontier = staged(roots.select(root, F.col("url").alias("root_url"), "url", budget.alias("budget"), F.lit(0).cast("long").alias("place")).dropDuplicates(["root"]), "frontier")
+    visited, found = frontier.select("root", "url"), None
     while True:
         entries = sitemap_scan(documents.join(frontier.select("url").distinct(), "url", "left_semi")).withColumnRenamed("url", "target")
         entries = staged(entries.join(frontier.withColumnRenamed("url", "sitemap_url"), "sitemap_url"), "sitemaps")
         here = entries.where("not is_index")
         found = here if found is None else found.unionByName(here)
-        next_ones = entries.where("is_index").groupBy("root_url", "budget", F.col("target").alias("url")).agg(F.min(F.struct("place", "position")).alias("at"))
-        next_ones = missing(next_ones, visited, ["root_url", "url"]).join(visited.groupBy("root_url").agg(F.count("*").alias("used")), "root_url")
-        next_ones = next_ones.withColumn("place", F.row_number().over(W.partitionBy("root_url").orderBy("at")).cast("long")).where(F.col("place") + F.col("used") <= F.col("budget"))
-        frontier = staged(next_ones.select("root_url", "url", "budget", "place"), "frontier")
+        next_ones = entries.where("is_index").groupBy("root", "root_url", "budget", F.col("target").alias("url")).agg(F.min(F.struct("place", "position")).alias("at"))
+        next_ones = missing(next_ones, visited, ["root", "url"]).join(visited.groupBy("root").agg(F.count("*").alias("used")), "root")
+        next_ones = next_ones.withColumn("place", F.row_number().over(W.partitionBy("root").orderBy("at")).cast("long")).where(F.col("place") + F.col("used") <= F.col("budget"))
+        frontier = staged(next_ones.select("root", "root_url", "url", "budget", "place"), "frontier")
         if frontier.isEmpty():
-            return found.drop("budget", "place").withColumnRenamed("target", "url")
-        visited = visited.unionByName(frontier.select("root_url", "url"))
+            return found.drop("budget", "place", *([] if named else ["root"])).withColumnRenamed("target", "url")
+        visited = visited.unionByName(frontier.select("root", "url"))
 
 
 def robots_allows(text: str | None, agent: str, path: str) -> bool:

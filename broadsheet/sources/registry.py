@@ -9,11 +9,10 @@ import hashlib
 import json
 import re
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.functions import texts, urls
+from broadsheet.functions.patterns import problem, usable
 from broadsheet.operators.candidates import KIND_ALIASES, KINDS
 
 from . import jsonapi, markup
@@ -112,21 +111,14 @@ def policies(spark: SparkSession, publishers: list[dict], sources: list[dict]) -
 
     A pattern that doesn't compile never matches; as an allowance it counts as plain text.
     """
-    compiles, by_id, rows = spark.sparkContext._jvm.java.util.regex.Pattern.compile, {p["id"]: p for p in publishers}, []
-
-    def usable(pattern: str) -> bool:
-        try:
-            return bool(compiles(pattern))
-        except (Py4JJavaError, PySparkException):
-            return False
-
+    by_id, rows = {p["id"]: p for p in publishers}, []
     for s in sources:
         said, config = policy(by_id.get(s.get("publisher_id"), {}), s), s.get("config") or {}
-        good = {n: [p for p in said[n] if usable(p)] for n in PATTERN_KEYS}
+        good = {n: usable(said[n]) for n in PATTERN_KEYS}
         text = [p.lower() for p in said["allow"] if p not in good["allow"]]
         identity = config.get("identity_filter")
         phrases = [k for x in _list(identity.get("any") if isinstance(identity, dict) else identity) if (k := texts.key(str(x)))]
-        rows.append((s["id"], said["hosts"], good["allow"], text, good["exclude"], good["navigation"], phrases, bool(said["allow"])))
+        rows.append((s["id"], said["hosts"], list(good["allow"].values()), text, list(good["exclude"].values()), list(good["navigation"].values()), phrases, bool(said["allow"])))
     return spark.createDataFrame(rows, POLICIES)
 
 
@@ -221,10 +213,8 @@ def issues(publishers: list[dict], sources: list[dict], countries: set[str] | No
         config = s.get("config") or {}
         for key in (k for keys in PATTERN_KEYS.values() for k in keys):
             for pattern in _list(config.get(key)):
-                try:
-                    re.compile(str(pattern))
-                except re.error as e:
-                    found.append((f"{at}.config.{key}", "regex", str(e)))
+                if (why := problem(str(pattern))) is not None:
+                    found.append((f"{at}.config.{key}", "regex", why))
         for key in (k for k in config if k.endswith("_selector")):
             for selector in _list(config[key]):
                 try:

@@ -164,3 +164,54 @@ def test_groups_provenance_and_vocabularies(spark):
     gap = {"country_code": None}
     assert told(gap, roster=roster) == [("list_provenance", "provenance")] and told({**gap, "list_provenance": [{**roster, "source_line": 4}]}, roster=roster) == []
     assert told({**gap, "list_provenance": [{**roster, "version": "v2", "source_line": 0}]}, roster=roster) == [("list_provenance[0].version", "provenance"), ("list_provenance[0].source_line", "provenance")]
+
+
+def test_sources_of_one_url_keep_their_own_settings(spark):
+    """Two archives of one URL differ in selectors, two indexes of one URL in budget."""
+    text = """
+publishers:
+  alpha:
+    name: Alpha
+    website_url: https://a.example.org/
+    sources:
+      - {id: s1, url: "https://a.example.org/list", kind: html, config: {item_selector: "div.a"}}
+      - {id: s2, url: "https://a.example.org/list", kind: html, config: {item_selector: "div.b", next_selector: "a.more"}}
+      - {id: m1, url: "https://a.example.org/index.xml", kind: sitemap, config: {max_sitemaps: 2}}
+      - {id: m2, url: "https://a.example.org/index.xml", kind: sitemap, config: {max_sitemaps: 9}}
+"""
+    publishers, sources = registry.read(text)
+    urlset = lambda u: f"<urlset><url><loc>https://a.example.org{u}</loc></url></urlset>"
+    pages = {
+        "list": '<div class="a"><a href="/x1">x</a></div><div class="b"><a href="/y1">y</a></div><a class="more" href="/list?p=2">more</a>', "list?p=2": '<div class="a"><a href="/x2">x</a></div><div class="b"><a href="/y2">y</a></div>',
+        "index.xml": "<sitemapindex>" + "".join(f"<sitemap><loc>https://a.example.org/{i}.xml</loc></sitemap>" for i in range(3)) + "</sitemapindex>", **{f"{i}.xml": urlset(f"/n/{i}") for i in range(3)},
+    }
+    docs = spark.createDataFrame([(f"https://a.example.org/{u}", 200, c) for u, c in pages.items()], "url string, status int, content string")
+    frame = registry.frames(spark, publishers, sources)[1].withColumn("adapter", F.lit(None).cast("string"))
+    found = {(r.source_id, r.url.rpartition("example.org")[2]) for r in ingest.discover(frame, docs).collect()}
+    assert found == {("s1", "/x1"), ("s2", "/y1"), ("s2", "/y2"), ("m1", "/n/0"), ("m2", "/n/0"), ("m2", "/n/1"), ("m2", "/n/2")}
+
+
+def test_patterns_are_read_in_one_grammar(spark):
+    """Named groups and the end of the text in Python's spelling work in both paths; what can't compile is an issue."""
+    import re
+
+    from broadsheet.functions.patterns import problem, translated
+    from broadsheet.operators.candidates import policy_reason
+
+    allow = [r"/(?P<kind>news)/(?P=kind)?(?#any)", r"[[a]/odd\\Z", r"/(?P<a_b>x)(?P<ab>y)\Z", "["]
+    text = "publishers:\n  alpha:\n    name: A\n    website_url: https://a.example.org/\n    sources:\n      - {id: s, url: 'https://a.example.org/f', kind: rss}\n"
+    publishers, sources = registry.read(text)
+    sources[0]["config"] = {"allow_patterns": allow, "exclude_regex": ["(?P<n>draft)", r"(?<=a+)b"]}
+    told = [(path, code) for path, code, _ in registry.issues(publishers, sources) if code == "regex"]
+    assert told == [("sources[0].config.allow_patterns", "regex"), ("sources[0].config.exclude_regex", "regex")]
+    urls = spark.createDataFrame([(f"https://a.example.org{u}",) for u in ("/news/1", "/news/news", "/draft/news/1", "/other", "/xy", "/xyz")], "url string")
+    by_list = {r.url: r.why for r in urls.select("url", policy_reason(F.col("url"), ["a.example.org"], allow, ["(?P<n>draft)"]).alias("why")).collect()}
+    found = urls.select(F.lit("s").alias("source_id"), F.lit("alpha").alias("publisher_id"), F.lit("rss").alias("kind"), F.lit("https://a.example.org/f").alias("source_url"), F.length("url").alias("position"), "url")
+    _, fates = ingest.select_candidates(ingest._shaped(found), registry.policies(spark, publishers, sources), spark.createDataFrame([], "url string"))
+    by_source = {r.url: r.fate for r in fates.collect()}
+    ok = {f"https://a.example.org{u}" for u in ("/news/1", "/news/news", "/xy")}
+    assert {u for u, why in by_list.items() if why is None} == ok == {u for u, fate in by_source.items() if fate == "new"}
+    for pattern, said in [(r"(?P<q>a)(?P=q)\Z", ["aa", "a", "aa\n"]), ("[]x]+", ["]", "y"]), ("[a[b]", ["[", "c"]), ("[^]]", ["]", "x"]), (r"[\w&&[x]", ["&", "[", "-"]), (r"\(\?P<x>", ["(?P<x>", "x"])]:
+        assert problem(pattern) is None
+        for one in said:
+            assert bool(re.search(pattern, one)) == spark.range(1).select(F.lit(one).rlike(translated(pattern))).first()[0], (pattern, one)
