@@ -30,7 +30,7 @@ COLUMNS = (*IDENTITY, *BUSINESS, *EVIDENCE)
 STATE = (*IDENTITY, *BUSINESS, "content_identity_key", "http_status", "metadata_json")
 
 INPUT = "arrival_seq long, publisher_id string, source_id string, url string, " + ", ".join(f"{c} string" for c in COLUMNS if c not in ("normalized_url", "source_url", "source_url_raw")) + ", metadata_json string"
-OUTPUT = "kind string, article_id long, arrival_seq long, outcome string, " + ", ".join(f"{c} string" for c in COLUMNS) + ", content_identity_key string, metadata_json string, merged_ids array<bigint>"
+OUTPUT = "kind string, article_id long, arrival_seq long, outcome string, " + ", ".join(f"{c} string" for c in COLUMNS) + ", content_identity_key string, metadata_json string, merged_ids array<bigint>, names string"
 
 
 def identity_key(content_hash: str | None, title: str | None) -> str | None:
@@ -91,6 +91,14 @@ class Resolver:
         self.indexes = {c: _Index() for c in (*self.KEYS, "hash_and_title")}
         self.indexed: dict[int, dict] = {}  # article -> the values it is indexed by
 
+    def restore(self, at: int, article: dict, names: list, merged: list[int]) -> None:
+        """Takes in an article of an earlier fold: its values, the (publisher, title) keys that lead to it, and what it absorbed."""
+        self._put(at, article)
+        for publisher, title in names:
+            self._name((publisher, title), at)
+        if merged:
+            self.merged[at] = merged
+
     def _put(self, at: int, article: dict | None) -> None:
         """Sets an article, or removes it (None)."""
         values = {}
@@ -185,9 +193,15 @@ def _clean(row: dict) -> dict:
     }
 
 
-def fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Outcome of each arrival of one component, and the articles that are left."""
+def fold(rows: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Outcome of each arrival of one component, and the articles that are left.
+
+    before: articles that earlier arrivals left (article_id, COLUMNS, metadata_json, content_identity_key, merged_ids, names).
+    """
     resolver, out = Resolver(), []
+    for row in before.to_dict("records") if before is not None else ():
+        article = {c: row[c] for c in (*COLUMNS, "content_identity_key")} | {"metadata": _object(row["metadata_json"])}
+        resolver.restore(int(row["article_id"]), article, json.loads(row["names"]), [int(i) for i in row["merged_ids"]])
     for row in rows.sort_values("arrival_seq").to_dict("records"):
         at, outcome = resolver.add(int(row["arrival_seq"]), _clean(row))
         out.append({"kind": "arrival", "article_id": at, "arrival_seq": int(row["arrival_seq"]), "outcome": outcome})
@@ -195,8 +209,9 @@ def fold(rows: pd.DataFrame) -> pd.DataFrame:
     for row in out:
         row["article_id"] = final.get(row["article_id"], row["article_id"])
     for at, a in resolver.articles.items():
-        out.append({"kind": "article", "article_id": at, "outcome": None, **{c: a[c] for c in COLUMNS}, "content_identity_key": a["content_identity_key"], "metadata_json": json.dumps(a["metadata"], sort_keys=True), "merged_ids": sorted(resolver.merged.get(at, []))})
-    columns = ["kind", "article_id", "arrival_seq", "outcome", *COLUMNS, "content_identity_key", "metadata_json", "merged_ids"]
+        names = json.dumps(sorted(resolver.titled.get(at, ())))
+        out.append({"kind": "article", "article_id": at, "outcome": None, **{c: a[c] for c in COLUMNS}, "content_identity_key": a["content_identity_key"], "metadata_json": json.dumps(a["metadata"], sort_keys=True), "merged_ids": sorted(resolver.merged.get(at, [])), "names": names})
+    columns = ["kind", "article_id", "arrival_seq", "outcome", *COLUMNS, "content_identity_key", "metadata_json", "merged_ids", "names"]
     frame = pd.DataFrame(out, columns=columns)
     frame["arrival_seq"] = frame["arrival_seq"].astype("Int64")
     return frame.astype(object).where(frame.notna(), None) if len(frame) else frame
@@ -229,19 +244,24 @@ def label(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(roots, "arrival_seq", "left").withColumn("component", F.coalesce("component", "arrival_seq"))
 
 
+def shaped(arrivals: DataFrame) -> DataFrame:
+    """The columns of INPUT; those that arrivals lack are null."""
+    have = {c.lower() for c in arrivals.columns}
+    columns = [x.strip().split(" ") for x in INPUT.split(",")]
+    return arrivals.select(*[(F.col(n) if n in have else F.lit(None)).cast("bigint" if t == "long" else t).alias(n) for n, t in columns])
+
+
 def resolve(arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcomes, articles) of arrivals, which have the columns of INPUT; missing ones count as null.
 
     outcomes: arrival_seq, article_id, outcome (created, updated, unchanged). articles: what is left, one row each. All rows
     of a hash are linked, however many.
     """
-    have = {c.lower() for c in arrivals.columns}
-    columns = [x.strip().split(" ") for x in INPUT.split(",")]
-    rows = arrivals.select(*[(F.col(n) if n in have else F.lit(None)).cast("bigint" if t == "long" else t).alias(n) for n, t in columns])
+    rows = shaped(arrivals)
     placed = label(rows, identity_edges(rows))
     folded = staged(placed.groupBy("component").applyInPandas(lambda df: fold(df.drop(columns="component")), OUTPUT), "folded")
     outcomes = folded.where("kind = 'arrival'").select("arrival_seq", "article_id", "outcome")
-    return outcomes, folded.where("kind = 'article'").drop("kind", "arrival_seq", "outcome")
+    return outcomes, folded.where("kind = 'article'").drop("kind", "arrival_seq", "outcome", "names")
 
 
 def identity_lookup(candidates: DataFrame, known: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ The tables hold no such documents, so each query brings its own; the SQL states
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from broadsheet.operators import identity
+from broadsheet.operators import corpus, identity
 from broadsheet.sources import archives, feeds, jsonapi, registry
+from broadsheet.sources.scratch import scratch_dir
 
 from .registry import query
 
@@ -84,17 +87,34 @@ def identity_resolution(spark, d):
     return outcomes.select(F.col("arrival_seq").cast("int").alias("arrival_seq"), F.col("article_id").cast("int").alias("article_id"), "outcome")
 
 
-@query("""WITH x AS (SELECT doc_id, 'https://' || source || '.example.org/' || CAST(doc_id % 400 AS VARCHAR) AS url, lang || ' ' || CAST(doc_id % 400 AS VARCHAR) AS title FROM documents),
-k AS (SELECT url, count(DISTINCT title) AS t, min(doc_id) AS first_id FROM x GROUP BY 1) SELECT x.doc_id, k.first_id AS article_id, CASE WHEN x.doc_id = k.first_id THEN 'created' WHEN lag(title) OVER (PARTITION BY x.url ORDER BY x.doc_id) = title THEN 'unchanged' ELSE 'updated' END AS outcome FROM x JOIN k USING (url)""")
-def identity_by_url(spark, d):
-    """The same resolution over a whole table, where URLs alone decide, which SQL can check."""
+BY_URL = """WITH x AS (SELECT doc_id, 'https://' || source || '.example.org/' || CAST(doc_id % 400 AS VARCHAR) AS url, lang || ' ' || CAST(doc_id % 400 AS VARCHAR) AS title FROM documents),
+k AS (SELECT url, count(DISTINCT title) AS t, min(doc_id) AS first_id FROM x GROUP BY 1) SELECT x.doc_id, k.first_id AS article_id, CASE WHEN x.doc_id = k.first_id THEN 'created' WHEN lag(title) OVER (PARTITION BY x.url ORDER BY x.doc_id) = title THEN 'unchanged' ELSE 'updated' END AS outcome FROM x JOIN k USING (url)"""
+
+
+def _by_url(spark, d):
     x = spark.read.parquet(f"{d}/documents.parquet")
     url = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), (F.col("doc_id") % 400).cast("string"))
-    rows = x.select(F.col("doc_id").alias("arrival_seq"), url.alias("url"), F.concat("lang", F.lit(" "), (F.col("doc_id") % 400).cast("string")).alias("title"))
-    outcomes, _ = identity.resolve(rows)
+    return x.select(F.col("doc_id").alias("arrival_seq"), url.alias("url"), F.concat("lang", F.lit(" "), (F.col("doc_id") % 400).cast("string")).alias("title"))
+
+
+@query(BY_URL)
+def identity_by_url(spark, d):
+    """The same resolution over a whole table, where URLs alone decide, which SQL can check."""
+    outcomes, _ = identity.resolve(_by_url(spark, d))
     return outcomes.select(F.col("arrival_seq").alias("doc_id"), "article_id", "outcome")
 
 
+@query(BY_URL)
+def identity_two_loads(spark, d):
+    """The same arrivals, the later half of them loaded into a stored corpus of the earlier half."""
+    rows = _by_url(spark, d)
+    half = rows.agg(F.percentile_approx("arrival_seq", 0.5)).first()[0]
+    stored = corpus.Corpus(spark, f"{scratch_dir(spark).rstrip('/')}/broadsheet-corpus-{uuid.uuid4().hex}")
+    stored.load(rows.where(F.col("arrival_seq") <= half))
+    stored.load(rows.where(F.col("arrival_seq") > half))
+    return stored.outcomes().select(F.col("arrival_seq").alias("doc_id"), "article_id", "outcome")
+
+
 REGISTRY = """
 publishers:
   alpha:

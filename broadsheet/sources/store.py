@@ -1,4 +1,4 @@
-"""Tables: logical columns over whatever is stored, and versioned folders with a manifest as the commit mark."""
+"""Tables: logical columns over whatever is stored, and the store of them as a log."""
 
 from __future__ import annotations
 
@@ -6,17 +6,15 @@ import hashlib
 import json
 import os
 import tempfile
-import uuid
 from contextlib import suppress
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.functions.coerce import first_of
 
-from .scratch import staged
+from .log import FILE_ROWS, Conflict, Log, Shape  # noqa: F401  Conflict for users of the store
 
 _TS = "timestamp"
 #: Logical tables: column -> type.
@@ -33,7 +31,7 @@ SCHEMAS = {
     "run_articles": dict(id="bigint", run_id="string", article_id="string", publisher_id="string", source_id="string", outcome="string", created_at=_TS, updated_at=_TS, metadata="string"),
     "leases": dict(name="string", owner="string", acquired_at=_TS, lease_until=_TS, heartbeat_at=_TS),
 }
-#: Keys of each table; null counts as empty.
+#: Keys of each table; null is a key of its own.
 KEYS = {"publishers": ["id"], "sources": ["id"], "articles": ["id"], "discoveries": ["article_id", "source_id", "discovered_key"], "identities": ["article_id", "publisher_id"], "runs": ["id"], "run_stats": ["run_id", "publisher_id", "source_id"], "publisher_results": ["run_id", "publisher_id"], "run_events": ["id"], "run_articles": ["run_id", "article_id", "publisher_id", "source_id"], "leases": ["name"]}
 #: Other names that stored tables have for logical columns.
 ALIASES = {"publisher_id": ("zoo_id",), "publisher_slug": ("zoo_slug",), "publisher_name": ("zoo_name",), "run_id": ("crawl_run_id",), "metadata": ("metadata_json",), "config": ("config_json",), "groups": ("groups_json",), "errors": ("errors_json",), "progress": ("progress_json",), "discovered": ("discovered_count", "discovered_candidates"), "fetched": ("fetched_count",), "stored": ("stored_count",), "already_known": ("already_known_count",), "duplicate_candidate": ("duplicate_candidate_count", "duplicates"), "error_count": ("errors_count",)}
@@ -61,134 +59,23 @@ def safe(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in SENSITIVE])
 
 
-#: Parts of a table, by hash of its key; an upsert rewrites those that its keys fall in.
-BUCKETS = 64
-
-
-class Conflict(RuntimeError):
-    """Another writer has changed the same part of a table since it was read."""
-
-
-class Store:
-    """A folder with versions of parts of tables, and numbered manifests, of which the greatest says what counts.
-
-    A table's rows are dealt to BUCKETS parts by their key. A version is written whole before a manifest names it, and a
-    manifest is written under a name of its own before it gets its number, so readers see all of a commit or nothing of it,
-    and a writer that dies leaves only files that nobody reads. No manifest is ever replaced: of two writers of one number
-    the second reads what the first did, and goes on if that left its own parts alone. Replaced files stay until vacuum().
-    """
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self._hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._hadoop.Path(self.path).getFileSystem(conf)
-        self._files = self._hadoop.FileContext.getFileContext(self._fs.getUri(), conf)
-
-    def _at(self, name: str):
-        return self._hadoop.Path(f"{self.path}/{name}")
-
-    def _names(self, folder: str) -> list[str]:
-        return [s.getPath().getName() for s in self._fs.listStatus(self._at(folder))] if self._fs.exists(self._at(folder)) else []
-
-    def _number(self) -> int:
-        return max((int(n[:-5]) for n in self._names("manifests") if n.endswith(".json")), default=0)
-
-    def manifest(self, number: int | None = None) -> dict[str, dict[str, str]]:
-        """table -> bucket -> folder of the version that counts."""
-        number = self._number() if number is None else number
-        if not number:
-            return {}
-        lines = self.spark.read.text(f"{self.path}/manifests/{number:012d}.json").collect()
-        return json.loads("\n".join(r.value for r in lines))
-
-    def _parts(self, table: str, parts: dict[str, str]) -> DataFrame:
-        paths = [f"{self.path}/{table}/{version}/_bucket={b}" for b, version in sorted(parts.items())]
-        found = self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else self.spark.createDataFrame([], struct(table))
-        return logical(found, table)
-
-    def read(self, table: str) -> DataFrame:
-        return self._parts(table, self.manifest().get(table, {}))
-
-    def _bucket(self, table: str, df: DataFrame):
-        keys = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in KEYS[table] if k in df.columns]
-        return F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(self.buckets)).cast("int")
-
-    def _write(self, table: str, df: DataFrame) -> tuple[str, list[str]]:
-        version = uuid.uuid4().hex
-        placed = df.withColumn("_bucket", self._bucket(table, df))
-        # A large bucket is written by several tasks.
-        placed.repartition(F.col("_bucket"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8))).write.partitionBy("_bucket").parquet(f"{self.path}/{table}/{version}")
-        return version, [n.removeprefix("_bucket=") for n in self._names(f"{table}/{version}") if n.startswith("_bucket=")]
-
-    def _name(self, change: dict[str, dict[str, str | None]], base: int, whole: bool) -> dict[str, dict[str, str]]:
-        """Makes a change count: table -> bucket -> version, None for a bucket that is gone. base: the manifest it is based on.
-
-        whole: whether it replaces all of its tables, so that any other change of them is a conflict.
-        """
-        was = self.manifest(base)
-        while True:
-            number = self._number()
-            now = self.manifest(number)
-            if number != base and any(now.get(t, {}).get(b) != was.get(t, {}).get(b) for t, parts in change.items() for b in ({*now.get(t, {}), *parts} if whole else parts)):
-                raise Conflict(f"tables {sorted(change)} have changed since manifest {base}")
-            new = {t: dict(parts) for t, parts in now.items()}
-            for table, parts in change.items():
-                new[table] = {b: v for b, v in (new.get(table, {}) | parts).items() if v}
-            draft = self._at(f"manifests/{uuid.uuid4().hex}.draft")
-            out = self._fs.create(draft, False)
-            out.write(bytearray(json.dumps(new, sort_keys=True).encode()))
-            out.close()
-            try:
-                none = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 0)
-                self._files.rename(draft, self._at(f"manifests/{number + 1:012d}.json"), none)  # never over another
-                return new
-            except Py4JJavaError as e:
-                self._fs.delete(draft, False)
-                if "FileAlreadyExists" not in str(e.java_exception.getClass()):
-                    raise
-
-    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> dict[str, dict[str, str]]:
+class Store(Log):
+    """The logical tables as a log: see Log. Rows come in as they are stored, by any of their names."""
+
+    def __init__(self, spark: SparkSession, path: str, file_rows: int = FILE_ROWS):
+        super().__init__(spark, path, {t: Shape(columns, tuple(KEYS[t])) for t, columns in SCHEMAS.items()}, file_rows)
+
+    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> dict[str, list[dict]]:
         """Writes some tables anew and makes them count at once. Conflict if one has changed since manifest ``base``."""
-        base, change = self._number() if base is None else base, {}
-        for table, df in tables.items():
-            version, buckets = self._write(table, logical(df, table))
-            change[table] = dict.fromkeys(self.manifest(base).get(table, {})) | dict.fromkeys(buckets, version)
-        return self._name(change, base, True)
-
-    def upsert(self, table: str, rows: DataFrame) -> dict[str, dict[str, str]]:
-        """Rows replace those of the same key; others stay. Of several new rows with a key, one stays.
-
-        Only the buckets that the new keys fall in are read and written again.
-        """
-        base, keys = self._number(), KEYS[table]
-        names = [f"_{k}" for k in keys]
-        keyed = lambda df: df.select("*", *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys])
-        new = staged(keyed(logical(rows, table)).dropDuplicates(names), "upsert")
-        touched = {str(r["b"]) for r in new.select(self._bucket(table, new).alias("b")).distinct().collect()}  # BUCKETS at most
-        if not touched:
-            return self.manifest(base)
-        before = {b: v for b, v in self.manifest(base).get(table, {}).items() if b in touched}
-        old = keyed(self._parts(table, before)).join(new.select(*names), names, "left_anti")
-        version, buckets = self._write(table, old.unionByName(new).drop(*names))
-        return self._name({table: dict.fromkeys(touched) | dict.fromkeys(buckets, version)}, base, False)
-
-    def vacuum(self) -> int:
-        """Removes versions and manifests that don't count any more; for a time when nobody writes or reads."""
-        number, gone = self._number(), 0
-        kept = {t: set(parts.values()) for t, parts in self.manifest(number).items()}
-        for name in self._names("manifests"):
-            if name != f"{number:012d}.json":
-                self._fs.delete(self._at(f"manifests/{name}"), False)
-        for table in SCHEMAS:
-            for version in self._names(table):
-                if version not in kept.get(table, ()):
-                    gone += bool(self._fs.delete(self._at(f"{table}/{version}"), True))
-                    continue
-                held = {b for b, v in self.manifest(number)[table].items() if v == version}
-                for part in self._names(f"{table}/{version}"):
-                    if part.startswith("_bucket=") and part.removeprefix("_bucket=") not in held:
-                        gone += bool(self._fs.delete(self._at(f"{table}/{version}/{part}"), True))
-        return gone
+        return self.replace({t: logical(df, t) for t, df in tables.items()}, base)
+
+    def upsert(self, table: str, rows: DataFrame) -> dict[str, list[dict]]:
+        """Rows replace those of the same key; others stay. Of several new rows with a key, one stays. Only the rows are written."""
+        return self.append({table: (logical(rows, table), None)})
+
+    def delete(self, table: str, keys: DataFrame) -> dict[str, list[dict]]:
+        """Removes the rows of the keys."""
+        return self.append({table: (None, keys)})
 
 
 def atomic_write(path: str, content: bytes) -> None:
