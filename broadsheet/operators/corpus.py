@@ -48,12 +48,13 @@ class Corpus:
     def _roots(self, components: DataFrame, number: int) -> DataFrame:
         """(component, root), by following parents until none has one."""
         at = staged(components.select("component", F.col("component").alias("root")).distinct(), "roots")
-        while True:
+        while self.log.manifest(number).get("parents"):
             up = self.log.lookup("parents", at.select(F.col("root").alias("component")), number).select(F.col("component").alias("root"), "parent")
             moved = staged(at.join(up, "root", "left").select("component", F.coalesce("parent", "root").alias("root"), F.col("parent").isNotNull().alias("moved")), "roots")
             at = moved.drop("moved")
             if not moved.where("moved").limit(1).count():
-                return at
+                break
+        return at
 
     def load(self, arrivals: DataFrame) -> DataFrame:
         """Folds arrivals (the columns of identity.INPUT) into the corpus; their outcomes: arrival_seq, article_id, outcome.

@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -61,6 +62,7 @@ class Log:
 
     def __init__(self, spark: SparkSession, path: str, shapes: dict[str, Shape], file_rows: int = FILE_ROWS):
         self.spark, self.path, self.shapes, self.file_rows = spark, path.rstrip("/"), shapes, file_rows
+        self._known: dict[int, str] = {}
         self._hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._hadoop.Path(self.path).getFileSystem(conf)
         self._files = self._hadoop.FileContext.getFileContext(self._fs.getUri(), conf)
@@ -77,10 +79,11 @@ class Log:
     def manifest(self, number: int | None = None) -> dict[str, list[dict]]:
         """table -> its runs, oldest first: version, rows, gone, bytes, files (name, least and greatest hash)."""
         number = self.number() if number is None else number
-        if not number:
-            return {}
-        lines = self.spark.read.text(f"{self.path}/manifests/{number:012d}.json").collect()
-        return json.loads("\n".join(r.value for r in lines))
+        if number and number not in self._known:  # manifests never change
+            stream = self._fs.open(self._at(f"manifests/{number:012d}.json"))
+            self._known[number] = str(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+        return json.loads(self._known[number]) if number else {}
 
     def _name(self, base: int, changed, replaced: set[str]) -> dict[str, list[dict]]:
         """Makes changed(runs of now) the next manifest; Conflict if a table of ``replaced`` differs from manifest ``base``."""
@@ -112,7 +115,9 @@ class Log:
         folder = f"{self.path}/{table}/{version}"
         placed = rows.withColumn("_h", _hash(shape.by)).withColumn("_k", _hash(shape.keys))
         # Rows of a value that very many share are parted by the whole key.
-        placed.repartitionByRange(-(-n // self.file_rows), "_h", "_k").sortWithinPartitions("_h", "_k").drop("_k").write.parquet(folder)
+        files = -(-n // self.file_rows)
+        dealt = placed.repartitionByRange(files, "_h", "_k") if files > 1 else placed.coalesce(1)
+        dealt.sortWithinPartitions("_h", "_k").drop("_k").write.parquet(folder)
         told = self.spark.read.parquet(folder).select("_h", "_gone", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size"))
         told = told.groupBy("file", "size").agg(F.min("_h").alias("low"), F.max("_h").alias("high"), F.count("*").alias("n"), F.count_if("_gone").alias("gone")).collect()  # a row a file
         files = sorted([[r["file"], r["low"], r["high"]] for r in told], key=lambda f: f[1:])
@@ -131,11 +136,13 @@ class Log:
 
     def append(self, changes: dict[str, tuple[DataFrame | None, DataFrame | None]], base: int | None = None) -> dict[str, list[dict]]:
         """table -> (rows that replace those of their key, keys that are gone), at once. base: Conflict if one changed since."""
-        runs = {}
-        for table, (rows, gone) in changes.items():
-            shaped = staged(self._shaped(table, rows, gone), "change")
-            if run := self._write(table, shaped, shaped.count()):
-                runs[table] = run
+
+        def written(table: str) -> dict | None:
+            shaped = staged(self._shaped(table, *changes[table]), "change")
+            return self._write(table, shaped, shaped.count())
+
+        with ThreadPoolExecutor(len(changes)) as pool:  # tables are written side by side
+            runs = {t: run for t, run in zip(changes, pool.map(written, changes), strict=True) if run}
         if not runs:
             return self.manifest()
         named = self._name(self.number() if base is None else base, lambda now: now | {t: [*now.get(t, []), run] for t, run in runs.items()}, set(changes) if base is not None else set())
@@ -185,6 +192,8 @@ class Log:
     def lookup(self, table: str, keys: DataFrame, number: int | None = None) -> DataFrame:
         """The rows of a table whose placing columns are among keys."""
         runs, by = self.manifest(number).get(table, []), self.shapes[table].by
+        if not runs:
+            return self.spark.createDataFrame([], self.shapes[table].ddl)
         wanted = keys.select(*[F.col(c).cast(self.shapes[table].columns[c]).alias(c) for c in by]).distinct()
         opened = self._open(table, runs, self.files_for(table, wanted, runs)).alias("o")
         asked = wanted.withColumn("_h", _hash(by)).alias("w")
