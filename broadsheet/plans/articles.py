@@ -9,6 +9,7 @@ from broadsheet.functions.dates import parse_datetime
 from broadsheet.operators import candidates, joins, merges, rollups
 from broadsheet.sources.articles import article_scan
 
+from .documents import DAY, named_day
 from .registry import Tables, query
 
 #: A host normaliser in SQL for the catalogue's URLs.
@@ -269,14 +270,20 @@ def registry_dedup(spark, d):
     return merges.registry_dedup(s, ["s_nationkey", "grp"], "s_suppkey", ["s_name"], "enabled")
 
 
-DATES = ["2025-04-03", "Thu, 03 Apr 2025 09:30:00 GMT", "7. März 2025", "5 février 2024", "03.04.2025", "29.02.2023", "2023-11-05T06:07:08.246813579Z", "not-a-date", "12 agosto 2022", ""]
+FRENCH = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
+SPANISH = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
 
-@query("SELECT raw, parsed_at FROM (VALUES ('2025-04-03', '2025-04-03 00:00:00.000000'), ('Thu, 03 Apr 2025 09:30:00 GMT', '2025-04-03 09:30:00.000000'), ('7. März 2025', '2025-03-07 00:00:00.000000'), ('5 février 2024', '2024-02-05 00:00:00.000000'), ('03.04.2025', '2025-04-03 00:00:00.000000'), ('29.02.2023', NULL), ('2023-11-05T06:07:08.246813579Z', '2023-11-05 06:07:08.246813'), ('not-a-date', NULL), ('12 agosto 2022', '2022-08-12 00:00:00.000000'), ('', NULL)) v(raw, parsed_at)")
+@query("""SELECT o_orderkey, CASE o_orderkey % 10 WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d 09:30:00.000000') WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%d 06:07:08.246813') WHEN 6 THEN NULL WHEN 8 THEN NULL WHEN 9 THEN NULL
+  ELSE strftime(o_orderdate, '%Y-%m-%d 00:00:00.000000') END AS parsed_at FROM orders""")
 def parse_dates(spark, d):
-    """Forms of dates that publishers use, against their known times."""
-    x = spark.createDataFrame([(r,) for r in DATES], "raw string")
-    return x.select("raw", F.date_format(parse_datetime("raw"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("parsed_at"))
+    """Days of orders in the forms that publishers use: ISO, mail dates, words of several languages, figures, and what is no date."""
+    forms = [
+        F.date_format(DAY, "yyyy-MM-dd"), F.date_format(DAY, "EEE, dd MMM yyyy '09:30:00 GMT'"), named_day(), named_day(FRENCH, " "), F.date_format(DAY, "dd.MM.yyyy"),
+        F.date_format(DAY, "yyyy-MM-dd'T06:07:08.246813579Z'"), F.lit("not-a-date"), named_day(SPANISH, " "), F.date_format(DAY, "'31.02.'yyyy"), F.lit(""),
+    ]
+    raw = F.element_at(F.array(*forms), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    return Tables(spark, d).orders.select("o_orderkey", F.date_format(parse_datetime(raw), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("parsed_at"))
 
 
 @query("""WITH a AS (SELECT p.doc_id AS id, 'before' AS run FROM documents p WHERE p.doc_id % 2 = 0 UNION ALL SELECT doc_id, 'after' FROM documents WHERE doc_id % 3 = 0) SELECT (SELECT count(*) FROM (SELECT id FROM a WHERE run = 'after' EXCEPT SELECT id FROM a WHERE run = 'before')) AS added, (SELECT count(*) FROM (SELECT id FROM a WHERE run = 'before' EXCEPT SELECT id FROM a WHERE run = 'after')) AS gone, (SELECT count(*) FROM (SELECT id FROM a WHERE run = 'before' INTERSECT SELECT id FROM a WHERE run = 'after')) AS shared""")

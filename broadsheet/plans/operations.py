@@ -263,11 +263,14 @@ def audit_two_runs(spark, d):
     return audit.two_run_acceptance(x.where("doc_id % 2 = 0"), x.where("doc_id % 3 = 0"), "p", "k")
 
 
-@query("""SELECT * FROM (VALUES ('2025-04-03T09:30:00Z', 1743672600.0, '2025-04-03T09:30:00.000000Z', true), ('2025-04-03 09:30:00', 1743672600.0, '2025-04-03T09:30:00.000000Z', false), ('2025-04-03', 1743638400.0, '2025-04-03T00:00:00.000000Z', false), (' soon ', CAST('-inf' AS DOUBLE), 'soon', false), ('', CAST('-inf' AS DOUBLE), NULL, false)) v(raw, score, stamp, strict)""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN epoch(o_orderdate) + 34200 WHEN 1 THEN epoch(o_orderdate) + 34200 WHEN 2 THEN epoch(o_orderdate) ELSE CAST('-inf' AS DOUBLE) END AS score,
+  CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT09:30:00.000000Z') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT09:30:00.000000Z') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00.000000Z') WHEN 3 THEN 'soon' END AS stamp, o_orderkey % 5 = 0 AS strict FROM orders""")
 def time_scores(spark, d):
     """Scores of times, their canonical form, and whether they state an offset; what is no time scores least."""
-    x = spark.createDataFrame([(r,) for r in ("2025-04-03T09:30:00Z", "2025-04-03 09:30:00", "2025-04-03", " soon ", "")], "raw string")
-    return x.select("raw", dates.score(F.col("raw")).alias("score"), dates.stamp(F.col("raw")).alias("stamp"), dates.strict_timestamp(F.col("raw")).isNotNull().alias("strict"))
+    day = F.col("o_orderdate")
+    forms = F.array(F.date_format(day, "yyyy-MM-dd'T09:30:00Z'"), F.date_format(day, "yyyy-MM-dd '09:30:00'"), F.date_format(day, "yyyy-MM-dd"), F.lit(" soon "), F.lit(""))
+    x = Tables(spark, d).orders.select("o_orderkey", F.element_at(forms, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("raw"))
+    return x.select("o_orderkey", dates.score(F.col("raw")).alias("score"), dates.stamp(F.col("raw")).alias("stamp"), dates.strict_timestamp(F.col("raw")).isNotNull().alias("strict"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'col' WHEN event_id % 3 = 1 THEN 'meta' END AS reason, CAST(CASE WHEN event_id % 4 = 0 THEN event_id WHEN event_id % 4 = 1 THEN 7 WHEN event_id % 4 = 2 THEN 2 ELSE 1 END AS BIGINT) AS images, CASE WHEN event_id % 2 = 0 THEN 'parse_error,timeout' ELSE 'timeout' END AS classes FROM events""")
@@ -288,12 +291,15 @@ def service_statuses(spark, d):
     return e.select("event_id", "status", classify.poll_hint(F.col("status"))["interval_seconds"].alias("poll"), classify.lease_busy(F.col("kind"), F.lit("x")).alias("busy"))
 
 
-@query("""SELECT * FROM (VALUES ('DE_at', 'de-AT', 'a b', 'request to https://e.org/x failed', '{"a": 1}'), ('en', 'en', 'x', 'odd', '{"html": "[html omitted]"}')) v(raw, tag, cleaned, error, metadata)""")
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'de-AT' WHEN 1 THEN 'en' END AS tag, c_name || ' & b' AS cleaned, CASE WHEN c_custkey % 2 = 0 THEN 'request to https://e.org/' || c_custkey || ' failed: token=<redacted>' ELSE 'odd' END AS error,
+  CASE WHEN c_custkey % 2 = 0 THEN '{"a": ' || c_custkey || '}' ELSE '{"html": "[html omitted]", "n": {"password": "[secret omitted]"}}' END AS metadata FROM customer""")
 def stored_texts(spark, d):
     """Texts as they are stored: language tags, cleaned titles, errors without secrets, metadata without pages."""
-    x = spark.createDataFrame([("DE_at", " a&#32; b ", "request to https://u:p@e.org/x?token=1 failed", '{"a": 1}'), ("en", "x", "odd", '{"html": "<p>"}')], "raw string, title string, e string, m string")
-    tag = F.pandas_udf(lambda said: said.map(texts.language_tag), "string")
-    return x.select("raw", tag("raw").alias("tag"), texts.clean_text("title").alias("cleaned"), texts.sanitize_error("e").alias("error"), texts.sanitize_metadata("m").alias("metadata"))
+    k, tag = F.col("c_custkey"), F.pandas_udf(lambda said: said.map(texts.language_tag), "string")
+    error = F.when(k % 2 == 0, F.concat(F.lit("request to https://u:p@e.org/"), k.cast("string"), F.lit("?token=1 failed: token=abc"))).otherwise("odd")
+    metadata = F.when(k % 2 == 0, F.concat(F.lit('{"a": '), k.cast("string"), F.lit("}"))).otherwise('{"html": "<p>", "n": {"password": "x"}}')
+    x = Tables(spark, d).customer.select("c_custkey", F.element_at(F.array(F.lit("DE_at"), F.lit("en"), F.lit("no tag")), (k % 3 + 1).cast("int")).alias("raw"), F.concat(F.lit(" "), "c_name", F.lit("&#32;&amp;  b ")).alias("title"), error.alias("e"), metadata.alias("m"))
+    return x.select("c_custkey", tag("raw").alias("tag"), texts.clean_text("title").alias("cleaned"), texts.sanitize_error("e").alias("error"), texts.sanitize_metadata("m").alias("metadata"))
 
 
 @query("SELECT s_nationkey, CAST(sum(greatest(CAST(floor(s_acctbal) AS BIGINT), 0)) AS BIGINT) AS total FROM supplier GROUP BY 1")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.operators import consolidate, identity, ingest
-from broadsheet.plans import documents as d
+import payloads as d
 from broadsheet.sources import feeds, registry
 
 SOURCES = "id string, publisher_id string, url string, kind string, enabled boolean, adapter string"

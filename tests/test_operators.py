@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators import candidates, identity, joins, latest, merges, paging, reporting, rollups
 from broadsheet.plans import report
-from broadsheet.plans.documents import ARRIVALS
+from payloads import ARRIVALS
 from broadsheet.sources.store import SCHEMAS, Conflict, Store, logical, safe, write_report
 
 rows = lambda *a: pytest.rows(*a)
