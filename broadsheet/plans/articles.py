@@ -9,7 +9,7 @@ from broadsheet.functions.dates import parse_datetime
 from broadsheet.operators import candidates, joins, merges, rollups
 from broadsheet.sources.articles import article_scan
 
-from .documents import DAY, named_day
+from .documents import DAY, named_day, text
 from .registry import Tables, query
 
 #: A host normaliser in SQL for the catalogue's URLs.
@@ -270,6 +270,24 @@ def registry_dedup(spark, d):
     return merges.registry_dedup(s, ["s_nationkey", "grp"], "s_suppkey", ["s_name"], "enabled")
 
 
+@query("""SELECT 'https://example.org/p/' || o_orderkey AS url, o_orderkey % 4 AS kind, 'https://example.org/order/' || o_orderkey AS canonical_url, 'Order ' || o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN ' & more' ELSE '' END AS title,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Ann' WHEN 2 THEN 'Bo ' || o_orderkey END AS author, CASE o_orderkey % 4 WHEN 0 THEN 'Sum ' || o_orderkey WHEN 2 THEN 'Told' END AS summary,
+  CASE WHEN o_orderkey % 4 < 3 THEN 'Body of order ' || o_orderkey || '. End.' END AS content, CASE o_orderkey % 4 WHEN 0 THEN 'https://example.org/i/' || o_orderkey || '.png' WHEN 2 THEN 'https://example.org/ld' || o_orderkey || '.png' END AS image_url,
+  CASE o_orderkey % 4 WHEN 0 THEN 'de-AT' WHEN 1 THEN 'fr' END AS language, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00.000000') END AS published, CASE WHEN o_orderkey % 4 < 3 THEN 'success' ELSE 'content_parse_error' END AS parse_status FROM orders""")
+def article_fields(spark, d):
+    """Pages of orders, parsed: fields from meta tags, from linked data (in a list, in a graph, with several types), or from the markup; body without active parts."""
+    k, day = F.col("o_orderkey"), F.date_format(DAY, "yyyy-MM-dd")
+    meta = text('<meta property="og:title" content="Order ', k, ' &amp;amp; more"><meta name="author" content="Ann"><meta property="og:description" content="Sum ', k, '"><meta property="og:image" content="/i/', k, '.png"><meta property="article:published_time" content="', day, 'T00:00:00Z">')
+    linked = text('<script type="application/ld+json">{"@context": "https://schema.org", "@graph": [{"@type": "BreadcrumbList"}, {"@type": ["Thing", "NewsArticle"], "description": "Told", "author": [{"name": "Bo ', k, '"}], "datePublished": "', day, '", "image": [{"url": "https://example.org/ld', k, '.png"}]}]}</script><script type="application/ld+json">{broken</script>')
+    body = text('<article><p>Body of <b>order</b> ', k, '.</p><script>track("x")</script><style>p {}</style><p onclick="go()">End.</p><form><input value="q"></form></article>')
+    page = text(
+        "<html", F.when(k % 4 == 0, ' lang="de_at"').otherwise(""), "><head><title>Order ", k, '</title><link rel="alternate" href="/x"><link rel="canonical" href="/order/', k, '?utm_source=x">', F.when(k % 4 == 0, meta).when(k % 4 == 2, linked).when(k % 4 == 1, '<meta http-equiv="x" name="content-language" content="FR">').otherwise(""),
+        "</head><body><nav><a href='/'>Menu</a></nav>", F.when(k % 4 == 1, text('<time datetime="', day, '">then</time>')).otherwise(""), F.when(k % 4 < 3, body).otherwise(""), "<footer>Foot</footer></body></html>",
+    )
+    x = article_scan(Tables(spark, d).orders.select(text("https://example.org/p/", k).alias("url"), page.alias("content")))
+    return x.select("url", (F.regexp_extract("url", "[0-9]+$", 0).cast("long") % 4).alias("kind"), "canonical_url", "title", "author", "summary", F.regexp_replace("content", r"\s+", " ").alias("content"), "image_url", "language", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("published"), "parse_status")
+
+
 FRENCH = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
 SPANISH = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
