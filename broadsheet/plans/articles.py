@@ -9,7 +9,7 @@ from broadsheet.functions.dates import parse_datetime
 from broadsheet.operators import candidates, joins, merges, rollups
 from broadsheet.sources.articles import article_scan
 
-from .documents import DAY, named_day, text
+from .documents import named_day, order_day, text
 from .registry import Tables, query
 
 #: A host normaliser in SQL for the catalogue's URLs.
@@ -276,7 +276,7 @@ def registry_dedup(spark, d):
   CASE o_orderkey % 4 WHEN 0 THEN 'de-AT' WHEN 1 THEN 'fr' END AS language, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00.000000') END AS published, CASE WHEN o_orderkey % 4 < 3 THEN 'success' ELSE 'content_parse_error' END AS parse_status FROM orders""")
 def article_fields(spark, d):
     """Pages of orders, parsed: fields from meta tags, from linked data (in a list, in a graph, with several types), or from the markup; body without active parts."""
-    k, day = F.col("o_orderkey"), F.date_format(DAY, "yyyy-MM-dd")
+    k, day = F.col("o_orderkey"), F.date_format(order_day(), "yyyy-MM-dd")
     meta = text('<meta property="og:title" content="Order ', k, ' &amp;amp; more"><meta name="author" content="Ann"><meta property="og:description" content="Sum ', k, '"><meta property="og:image" content="/i/', k, '.png"><meta property="article:published_time" content="', day, 'T00:00:00Z">')
     linked = text('<script type="application/ld+json">{"@context": "https://schema.org", "@graph": [{"@type": "BreadcrumbList"}, {"@type": ["Thing", "NewsArticle"], "description": "Told", "author": [{"name": "Bo ', k, '"}], "datePublished": "', day, '", "image": [{"url": "https://example.org/ld', k, '.png"}]}]}</script><script type="application/ld+json">{broken</script>')
     body = text('<article><p>Body of <b>order</b> ', k, '.</p><script>track("x")</script><style>p {}</style><p onclick="go()">End.</p><form><input value="q"></form></article>')
@@ -297,8 +297,8 @@ SPANISH = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agos
 def parse_dates(spark, d):
     """Days of orders in the forms that publishers use: ISO, mail dates, words of several languages, figures, and what is no date."""
     forms = [
-        F.date_format(DAY, "yyyy-MM-dd"), F.date_format(DAY, "EEE, dd MMM yyyy '09:30:00 GMT'"), named_day(), named_day(FRENCH, " "), F.date_format(DAY, "dd.MM.yyyy"),
-        F.date_format(DAY, "yyyy-MM-dd'T06:07:08.246813579Z'"), F.lit("not-a-date"), named_day(SPANISH, " "), F.date_format(DAY, "'31.02.'yyyy"), F.lit(""),
+        F.date_format(order_day(), "yyyy-MM-dd"), F.date_format(order_day(), "EEE, dd MMM yyyy '09:30:00 GMT'"), named_day(), named_day(FRENCH, " "), F.date_format(order_day(), "dd.MM.yyyy"),
+        F.date_format(order_day(), "yyyy-MM-dd'T06:07:08.246813579Z'"), F.lit("not-a-date"), named_day(SPANISH, " "), F.date_format(order_day(), "'31.02.'yyyy"), F.lit(""),
     ]
     raw = F.element_at(F.array(*forms), (F.col("o_orderkey") % 10 + 1).cast("int"))
     return Tables(spark, d).orders.select("o_orderkey", F.date_format(parse_datetime(raw), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("parsed_at"))

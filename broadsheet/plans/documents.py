@@ -20,7 +20,14 @@ from .registry import Tables, query
 
 GERMAN = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
 CARDS = {"item_selector": "article.news-grid-item", "title_selector": "[itemprop=headline]"}
-KEY, DAY = F.col("o_orderkey"), F.col("o_orderdate")
+
+
+def order_key():
+    return F.col("o_orderkey")
+
+
+def order_day():
+    return F.col("o_orderdate")
 
 
 def _time(column: str):
@@ -33,7 +40,7 @@ def text(*parts):
 
 
 def named_day(months: tuple[str, ...] = GERMAN, between: str = ". "):
-    return text(F.dayofmonth(DAY), between, F.element_at(F.array(*map(F.lit, months)), F.month(DAY)), " ", F.year(DAY))
+    return text(F.dayofmonth(order_day()), between, F.element_at(F.array(*map(F.lit, months)), F.month(order_day())), " ", F.year(order_day()))
 
 
 def documents(rows: DataFrame, url, before: str, after: str, between: str = "") -> DataFrame:
@@ -48,10 +55,10 @@ SELECT 'https://example.org/c/' || c AS feed_url, CAST(row_number() OVER (PARTIT
 def feed_items(spark, d):
     """Items of RSS and Atom feeds, one a customer: links, identifiers as links, dates of several forms; a missing date on purpose is no error."""
     o = Tables(spark, d).orders
-    dated = F.when(KEY % 4 == 0, F.date_format(DAY, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(KEY % 4 == 1, named_day()).otherwise(F.when(KEY % 8 == 2, "TBA").otherwise("someday"))
-    link = F.when(KEY % 4 == 0, text("<link>/order/", KEY, "?utm_source=feed</link><dc:creator>Ann</dc:creator>")).when(KEY % 4 == 1, text("<link>https://EXAMPLE.org/order/", KEY, "/</link>")).when(KEY % 4 == 2, text("<guid>https://example.org/order/", KEY, "#x</guid>")).otherwise("")
-    rss = o.where("o_custkey % 3 <> 0").withColumn("piece", text("<item><title>Order &amp;amp; ", KEY, "</title>", link, "<pubDate>", dated, "</pubDate></item>"))
-    atom = o.where("o_custkey % 3 = 0").withColumn("piece", text("<entry><id>urn:", KEY, "</id><title>Order &amp;amp; ", KEY, '</title><link rel="self" href="/self"/><link rel="alternate" href="/order/', KEY, '?b=2&amp;a=1"/><published>', F.date_format(DAY, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "</published><author><name>Bo</name></author></entry>"))
+    dated = F.when(order_key() % 4 == 0, F.date_format(order_day(), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(order_key() % 4 == 1, named_day()).otherwise(F.when(order_key() % 8 == 2, "TBA").otherwise("someday"))
+    link = F.when(order_key() % 4 == 0, text("<link>/order/", order_key(), "?utm_source=feed</link><dc:creator>Ann</dc:creator>")).when(order_key() % 4 == 1, text("<link>https://EXAMPLE.org/order/", order_key(), "/</link>")).when(order_key() % 4 == 2, text("<guid>https://example.org/order/", order_key(), "#x</guid>")).otherwise("")
+    rss = o.where("o_custkey % 3 <> 0").withColumn("piece", text("<item><title>Order &amp;amp; ", order_key(), "</title>", link, "<pubDate>", dated, "</pubDate></item>"))
+    atom = o.where("o_custkey % 3 = 0").withColumn("piece", text("<entry><id>urn:", order_key(), "</id><title>Order &amp;amp; ", order_key(), '</title><link rel="self" href="/self"/><link rel="alternate" href="/order/', order_key(), '?b=2&amp;a=1"/><published>', F.date_format(order_day(), "yyyy-MM-dd'T'HH:mm:ss'Z'"), "</published><author><name>Bo</name></author></entry>"))
     url = text("https://example.org/c/", F.col("o_custkey"))
     docs = documents(rss, url, '<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>', "</channel></rss>").unionByName(documents(atom, url, "<feed>", "</feed>"))
     return feeds.feed_scan(docs).select("feed_url", "position", "url", "title", "author", _time("published_at").alias("published"), F.col("date_problem").isNotNull().alias("bad_date"))
@@ -62,9 +69,9 @@ def feed_items(spark, d):
 def sitemap_entries(spark, d):
     """Entries of the sitemaps that indexes lead to, although each index names itself as well."""
     o = Tables(spark, d).orders
-    leaf = text("https://example.org/s", F.col("o_custkey") % 40, "-", KEY % 5, ".xml")
-    place = F.when(KEY % 2 == 0, text("https://example.org/o/", KEY, "?utm_medium=x")).otherwise(text("/o/", KEY, "/"))
-    entries = o.withColumn("piece", text("<url><loc>", place, "</loc><lastmod>", F.when(KEY % 3 > 0, F.date_format(DAY, "yyyy-MM-dd")).otherwise("not-a-date"), "</lastmod></url>"))
+    leaf = text("https://example.org/s", F.col("o_custkey") % 40, "-", order_key() % 5, ".xml")
+    place = F.when(order_key() % 2 == 0, text("https://example.org/o/", order_key(), "?utm_medium=x")).otherwise(text("/o/", order_key(), "/"))
+    entries = o.withColumn("piece", text("<url><loc>", place, "</loc><lastmod>", F.when(order_key() % 3 > 0, F.date_format(order_day(), "yyyy-MM-dd")).otherwise("not-a-date"), "</lastmod></url>"))
     maps = documents(entries, leaf, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</urlset>")
     root = text("https://example.org/i", F.col("o_custkey") % 40, ".xml")
     of = o.groupBy(root.alias("root")).agg(F.array_sort(F.collect_set(leaf)).alias("leaves"))
@@ -80,8 +87,8 @@ def sitemap_entries(spark, d):
   CASE WHEN o_orderkey % 3 = 1 THEN 'date could not be parsed: ' || chr(39) || 'someday' || chr(39) END AS date_problem FROM orders WHERE o_orderkey % 3 < 2""")
 def json_items(spark, d):
     """Items of API answers, one a customer: fields by several names, repeats and items without a link left out."""
-    full = text('{"id": ', KEY, ', "headline": "Order ', KEY, '", "links": {"html": "/n/', KEY, '?utm_campaign=z"}, "publishedAt": "', F.date_format(DAY, "yyyy-MM-dd'T'HH:mm:ss'Z'"), '", "author": {"name": "Cy"}}, {"Headline": "again", "url": "/n/', KEY, '"}')
-    piece = F.when(KEY % 3 == 0, full).when(KEY % 3 == 1, text('{"title": "Order ', KEY, '", "href": "https://example.org/n/', KEY, '", "date": "someday"}')).otherwise('{"title": "no link"}')
+    full = text('{"id": ', order_key(), ', "headline": "Order ', order_key(), '", "links": {"html": "/n/', order_key(), '?utm_campaign=z"}, "publishedAt": "', F.date_format(order_day(), "yyyy-MM-dd'T'HH:mm:ss'Z'"), '", "author": {"name": "Cy"}}, {"Headline": "again", "url": "/n/', order_key(), '"}')
+    piece = F.when(order_key() % 3 == 0, full).when(order_key() % 3 == 1, text('{"title": "Order ', order_key(), '", "href": "https://example.org/n/', order_key(), '", "date": "someday"}')).otherwise('{"title": "no link"}')
     docs = documents(Tables(spark, d).orders.withColumn("piece", piece), text("https://example.org/api/", F.col("o_custkey")), '{"data": {"items": [', "]}}", ", ")
     x = jsonapi.json_scan(docs, {"max_items": 1000})
     return x.select("api_url", "position", "url", "title", "author", "identifier", _time("published_at").alias("published"), "date_problem")
@@ -92,7 +99,7 @@ def archive_items(spark, d):
     """Cards of archives, one a customer with eight cards a page, along next links; repeats within and across pages left out."""
     place = W.partitionBy("o_custkey").orderBy("o_orderkey")
     o = Tables(spark, d).orders.select("*", F.floor((F.row_number().over(place) - 1) / 8).alias("p"), F.lag("o_orderkey", 1, 0).over(place).alias("was"), F.floor((F.count("*").over(W.partitionBy("o_custkey")) - 1) / 8).alias("last"))
-    card = text('<article class="news-grid-item"><a href="/n/', KEY, '"><h3 itemprop="headline">Order ', KEY, '</h3></a><time datetime="', F.date_format(DAY, "yyyy-MM-dd"), '">x</time></article><article class="news-grid-item"><a href="/n/', KEY, '?utm_source=x">again</a></article><article class="news-grid-item"><h3>no link</h3></article>')
+    card = text('<article class="news-grid-item"><a href="/n/', order_key(), '"><h3 itemprop="headline">Order ', order_key(), '</h3></a><time datetime="', F.date_format(order_day(), "yyyy-MM-dd"), '">x</time></article><article class="news-grid-item"><a href="/n/', order_key(), '?utm_source=x">again</a></article><article class="news-grid-item"><h3>no link</h3></article>')
     at = lambda p: text("/a/", F.col("o_custkey"), F.when(p == 0, "").otherwise(text("?page=", p, "&cHash=A", p)))
     follow = F.when(F.col("p") < F.col("last"), text('<a class="next" href="', F.replace(at(F.col("p") + 1), F.lit("&"), F.lit("&amp;")), '">next</a>')).otherwise(text('<a class="next" href="/a/', F.col("o_custkey"), '">first</a>'))
     docs = staged(documents(o.withColumn("piece", F.concat(card, follow)), text("https://example.org", at(F.col("p"))), "<main>", "</main>"), "archives")
