@@ -16,13 +16,23 @@ def optional_total(value: Column) -> Column:
     return F.sum(value).cast("long")
 
 
-def run_summary(stats: DataFrame, run: str, metrics: dict[str, Column], publisher: str, source: str, completed: Column, stop_reason: str, order: list[Column]) -> DataFrame:
-    """One row a run: sums of metrics, distinct publishers and sources, how many of them completed wholly, first stop reason."""
-    sums = {name: total(value) for name, value in metrics.items()}
-    by_source = stats.groupBy(run, publisher, source).agg(*[v.alias(k) for k, v in sums.items()], F.bool_and(completed).alias("done"), F.min(F.when(F.col(stop_reason).isNotNull(), F.struct(*order, F.col(stop_reason).alias("reason")))).alias("stop"))
-    by_publisher = by_source.groupBy(run, publisher).agg(*[F.sum(k).alias(k) for k in sums], F.bool_and("done").alias("all_done"), F.count_if("done").alias("sources_done"), F.count("*").alias("sources"), F.min("stop").alias("stop"))
+def source_parts(stats: DataFrame, run: str, metrics: dict[str, Column], publisher: str, source: str, completed: Column, stop_reason: str, order: list[Column]) -> DataFrame:
+    """What a run's summary needs of each of its sources: sums of metrics, whether all is done, the first stop reason."""
+    stop = F.min(F.when(F.col(stop_reason).isNotNull(), F.struct(*order, F.col(stop_reason).alias("reason"))))
+    return stats.groupBy(run, publisher, source).agg(*[total(v).alias(k) for k, v in metrics.items()], F.bool_and(completed).alias("done"), stop.alias("stop"))
+
+
+def fold_parts(parts: DataFrame, run: str, publisher: str, metrics: list[str]) -> DataFrame:
+    """The summaries of runs from the parts of all their sources."""
+    by_publisher = parts.groupBy(run, publisher).agg(
+        *[F.sum(k).alias(k) for k in metrics],
+        F.bool_and("done").alias("all_done"),
+        F.count_if("done").alias("sources_done"),
+        F.count("*").alias("sources"),
+        F.min("stop").alias("stop"),
+    )
     return by_publisher.groupBy(run).agg(
-        *[F.sum(k).cast("long").alias(k) for k in sums],
+        *[F.sum(k).cast("long").alias(k) for k in metrics],
         F.count("*").alias("publishers"),
         F.sum("sources").cast("long").alias("sources"),
         F.count_if("all_done").alias("publishers_completed"),
@@ -31,6 +41,11 @@ def run_summary(stats: DataFrame, run: str, metrics: dict[str, Column], publishe
     )
 
 
+def run_summary(stats: DataFrame, run: str, metrics: dict[str, Column], publisher: str, source: str, completed: Column, stop_reason: str, order: list[Column]) -> DataFrame:
+    """One row a run: sums of metrics, distinct publishers and sources, how many of them completed wholly, first stop reason."""
+    return fold_parts(source_parts(stats, run, metrics, publisher, source, completed, stop_reason, order), run, publisher, list(metrics))
+
+
 def zero_filled(df: DataFrame, key: str, vocabulary: list[str], aggregates: dict[str, Column]) -> DataFrame:
     """Aggregates for each word of a fixed vocabulary, 0 where none is seen; other values are left out."""
     words = df.sparkSession.createDataFrame([(w,) for w in vocabulary], f"{key} string")

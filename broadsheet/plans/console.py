@@ -3,10 +3,13 @@ suppliers sources, nations publishers, regions groups."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from broadsheet.functions import classify, coerce, dates
-from broadsheet.operators import candidates, joins, latest, paging, rollups
+from broadsheet.operators import candidates, joins, latest, maintained, paging, rollups
+from broadsheet.sources.scratch import scratch_dir
 
 from .registry import Tables, query
 
@@ -83,7 +86,8 @@ def run_list_newest(spark, d):
     return r.select("run_id", stamp("started_at").alias("started_at"), dates.duration_ms(F.col("started_at"), F.col("finished_at")).alias("duration_ms"), stamp(F.greatest("started_at", "finished_at", "heartbeat_at")).alias("last_updated"), place.cast("long").alias("place"))
 
 
-@query(f"""WITH s AS (
+KINDS = {"discovered": "view", "fetched": "click", "stored": "purchase", "known": "signup", "errors": "error"}
+SUMMARY = f"""WITH s AS (
   SELECT {DAY} AS run_id, user_id % 10 AS publisher, user_id,
          count(*) FILTER (WHERE event_type = 'view') AS discovered, count(*) FILTER (WHERE event_type = 'click') AS fetched, count(*) FILTER (WHERE event_type = 'purchase') AS stored, count(*) FILTER (WHERE event_type = 'signup') AS known, count(*) FILTER (WHERE event_type = 'error') AS errors,
          bool_and(event_type <> 'error') AS done, min((ts, event_id, event_type)) FILTER (WHERE event_type IN ('error', 'purchase')) AS stop
@@ -91,14 +95,34 @@ def run_list_newest(spark, d):
 p AS (SELECT run_id, publisher, sum(discovered) AS discovered, sum(fetched) AS fetched, sum(stored) AS stored, sum(known) AS known, sum(errors) AS errors, bool_and(done) AS all_done, count(*) FILTER (WHERE done) AS sources_done, count(*) AS sources, min(stop) AS stop FROM s GROUP BY ALL)
 SELECT run_id, CAST(sum(discovered) AS BIGINT) AS discovered, CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(stored) AS BIGINT) AS stored, CAST(sum(known) AS BIGINT) AS known, CAST(sum(errors) AS BIGINT) AS errors, count(*) AS publishers, CAST(sum(sources) AS BIGINT) AS sources,
        count(*) FILTER (WHERE all_done) AS publishers_completed, CAST(sum(sources_done) AS BIGINT) AS sources_completed, min(stop)[3] AS stop_reason
-FROM p GROUP BY run_id""")
+FROM p GROUP BY run_id"""
+
+
+@query(SUMMARY)
 def run_summary(spark, d):
-    kinds = {"discovered": "view", "fetched": "click", "stored": "purchase", "known": "signup", "errors": "error"}
+    metrics = {name: F.when(F.col("event_type") == kind, 1) for name, kind in KINDS.items()}
     stats = Tables(spark, d).events.withColumn("run_id", day()).withColumn("publisher", F.col("user_id") % 10).withColumn("stop", F.when(F.col("event_type").isin("error", "purchase"), F.col("event_type")))
-    metrics = {name: F.when(F.col("event_type") == kind, 1) for name, kind in kinds.items()}
     return rollups.run_summary(stats, "run_id", metrics, "publisher", "user_id", F.col("event_type") != "error", "stop", [F.col("ts"), F.col("event_id")])
 
 
+@query(SUMMARY)
+def run_summary_maintained(spark, d):
+    """The same summaries, kept under changes: a third of the events arrives late, every seventh is mended, and a run of false ones goes."""
+    kind = F.col("event_type")
+    events = Tables(spark, d).events.select(
+        day().alias("run_id"), (F.col("user_id") % 10).alias("publisher_id"), F.col("user_id").alias("source_id"), F.col("event_id").alias("id"),
+        *[F.when(kind == k, 1).alias(name) for name, k in KINDS.items()],
+        (kind != "error").alias("completed"), F.when(kind.isin("error", "purchase"), kind).alias("stop_reason"), "ts",
+    )
+    late, mended = F.col("id") % 3 == 0, F.col("id") % 7 == 0
+    wrong = events.where(mended & ~late).withColumn("discovered", F.lit(5)).withColumn("completed", F.lit(False)).withColumn("stop_reason", F.lit("wrong"))
+    false = events.where(mended).withColumn("id", -1 - F.col("id")).withColumn("run_id", F.when(F.col("id") % 2 == 0, "none").otherwise(F.col("run_id")))
+    kept = maintained.RunSummaries(spark, f"{scratch_dir(spark).rstrip('/')}/broadsheet-summaries-{uuid.uuid4().hex}", list(KINDS), {"ts": "timestamp"})
+    kept.change(events.where(~mended & ~late).unionByName(wrong).unionByName(false))
+    kept.change(events.where(mended | late), false)
+    return kept.read()
+
+
 @query(f"""WITH e AS (SELECT u.user_id, r.run_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0) u CROSS JOIN (SELECT DISTINCT {DAY} AS run_id FROM events) r),
 g AS (SELECT user_id, {DAY} AS run_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL)
 SELECT user_id, run_id, coalesce(n, 0) AS n, CASE WHEN e.user_id IS NULL THEN 'extra' WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n > 1 THEN 'duplicate' ELSE 'exactly_one' END AS state
