@@ -144,23 +144,32 @@ def classified_runs(runs: DataFrame, leases: DataFrame, stats: DataFrame, result
     return x.withColumn("state", state).withColumn("reason", reason).withColumn("label", classify.status_label(state)).drop("_stop")
 
 
-def append_events(events: DataFrame, rows: DataFrame) -> DataFrame:
-    """New events with ids after the greatest one, in order of arrival (run_id, arrival); metadata is made safe.
+def in_order(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """The rows with ``_n``, 1, 2, 3... by ``order`` without gaps, and how many there are.
 
     The rows are range-partitioned and written once, with their place in their partition, so counting and numbering see the
-    same cuts. One count a partition reaches the driver; no task sees all new rows.
+    same cuts. One count a partition reaches the driver; no task sees all rows.
     """
-    top = events.agg(F.max("id")).first()[0] or 0
-    placed = rows.repartitionByRange("run_id", "arrival").sortWithinPartitions("run_id", "arrival").withColumn("_m", F.monotonically_increasing_id())
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     placed = staged(placed, "events")
     part = F.shiftright("_m", 33)
-    before, total = {}, top
+    before, total = {}, 0
     for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():  # a row a partition
         before[r["p"]], total = total, total + r["n"]
     if not before:
-        return rows.withColumn("id", F.lit(None).cast("long")).limit(0)
+        return placed.withColumn("_n", F.col("_m")).drop("_m"), 0
     start = F.element_at(F.create_map(*[F.lit(v).cast("long") for kv in before.items() for v in kv]), part)
-    return placed.withColumn("id", start + F.col("_m") % (1 << 33) + 1).withColumn("metadata", texts.sanitize_metadata("metadata")).drop("_m")
+    return placed.withColumn("_n", start + F.col("_m") % (1 << 33) + 1).drop("_m"), total
+
+
+def append_events(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """New events with ids after the greatest one, in order of arrival (run_id, arrival); metadata is made safe.
+
+    One writer at a time; ``outbox.Outbox`` gives ids to several.
+    """
+    top = events.agg(F.max("id")).first()[0] or 0
+    numbered, _ = in_order(rows, ["run_id", "arrival"])
+    return numbered.withColumn("id", F.lit(top).cast("long") + F.col("_n")).withColumn("metadata", texts.sanitize_metadata("metadata")).drop("_n")
 
 
 # --- sources, publishers, articles ---

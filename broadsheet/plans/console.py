@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from broadsheet.functions import classify, coerce, dates
-from broadsheet.operators import candidates, joins, latest, maintained, paging, rollups
+from broadsheet.operators import candidates, joins, latest, maintained, outbox, paging, rollups
 from broadsheet.sources.scratch import scratch_dir
 
 from .registry import Tables, query
@@ -468,3 +468,23 @@ def publisher_priority_order(spark, d):
     x = Tables(spark, d).supplier.select(F.col("s_name").alias("name"), status.alias("status"), (F.col("s_suppkey") % 4).alias("warnings"))
     order = W.orderBy(classify.severity(F.col("status")), -F.col("warnings"), F.lower("name"))  # the publishers of a report
     return x.select("name", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(f"""WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id % 2 DESC, {DAY}, event_id) AS id FROM events)
+SELECT sink, event_id, id FROM e, (SELECT unnest(['first', 'second']) AS sink)""")
+def events_outbox(spark, d):
+    """What two sinks have of the events of two batches, of which one comes twice, where one sink fails at first."""
+    events = Tables(spark, d).events.select(day().alias("run_id"), F.col("event_id").alias("arrival"))
+    folder = f"{scratch_dir(spark).rstrip('/')}/broadsheet-outbox-{uuid.uuid4().hex}"
+    box, keep = outbox.Outbox(spark, f"{folder}/log", {"run_id": "string", "arrival": "bigint"}), {s: outbox.filed(f"{folder}/{s}") for s in ("first", "second")}
+
+    def failing(rows, after, until):
+        keep["second"](rows, after, until)
+        raise OSError("the sink is full")
+
+    for rest, batch in ((1, "odd"), (0, "even"), (1, "odd")):
+        box.append(events.where(F.col("arrival") % 2 == rest), ["run_id", "arrival"], batch)
+        box.deliver_all(keep | {"second": failing} if batch == "odd" else keep)
+    box.deliver_all(keep)
+    of = lambda sink: spark.read.parquet(f"{folder}/{sink}").select(F.lit(sink).alias("sink"), F.col("arrival").alias("event_id"), "id")
+    return of("first").unionByName(of("second"))
