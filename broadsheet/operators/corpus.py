@@ -11,7 +11,6 @@ The tables are logs: a look-up opens the files that may hold its keys, and a loa
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +27,6 @@ SHAPES = {
     "outcomes": Shape({"arrival_seq": "bigint", "article_id": "bigint", "outcome": "string"}, ("arrival_seq",)),
     "loads": Shape({"name": "string", "last_seq": "bigint"}, ("name",)),
 }
-_FOLDED = f"component long, {identity.OUTPUT}"
-
-
-def _fold(arrivals: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-    """One component: what it has stored, then what arrives."""
-    component = int((arrivals if len(arrivals) else states)["component"].iloc[0])
-    found = identity.fold(arrivals.drop(columns="component"), states.drop(columns="component"))
-    found.insert(0, "component", component)
-    return found
 
 
 class Corpus:
@@ -79,8 +69,7 @@ class Corpus:
         joined = placed.join(old, "arrival_seq").select(F.col("arrival_seq").alias("root"), "component")
         stored = self.log.lookup("articles", old.select(F.col("arrival_seq").alias("component")), base)
         stored = staged(stored.withColumnRenamed("component", "root").join(joined, "root"), "stored")
-        folded = rows.join(placed, "arrival_seq").groupBy("component").cogroup(stored.drop("root").groupBy("component")).applyInPandas(_fold, _FOLDED)
-        folded = staged(folded, "folded")
+        folded = staged(identity.folded(rows.join(placed, "arrival_seq"), stored.drop("root")), "folded")
         outcomes = folded.where("kind = 'arrival'").select("arrival_seq", "article_id", "outcome")
         # All that were followed point straight to where they are now.
         moved = roots.join(joined.withColumnRenamed("component", "parent"), "root").select("component", "parent")

@@ -12,13 +12,15 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import texts, urls
-from broadsheet.sources.scratch import staged
+from broadsheet.sources.scratch import spread, staged
 
 from .components import components
 
@@ -193,16 +195,16 @@ def _clean(row: dict) -> dict:
     }
 
 
-def fold(rows: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
-    """Outcome of each arrival of one component, and the articles that are left.
+def fold_rows(rows: Iterable[dict], before: Iterable[dict] = ()) -> list[dict]:
+    """Outcome of each arrival of one component, in order of arrival, and the articles that are left.
 
     before: articles that earlier arrivals left (article_id, COLUMNS, metadata_json, content_identity_key, merged_ids, names).
     """
     resolver, out = Resolver(), []
-    for row in before.to_dict("records") if before is not None else ():
+    for row in before:
         article = {c: row[c] for c in (*COLUMNS, "content_identity_key")} | {"metadata": _object(row["metadata_json"])}
         resolver.restore(int(row["article_id"]), article, json.loads(row["names"]), [int(i) for i in row["merged_ids"]])
-    for row in rows.sort_values("arrival_seq").to_dict("records"):
+    for row in rows:
         at, outcome = resolver.add(int(row["arrival_seq"]), _clean(row))
         out.append({"kind": "arrival", "article_id": at, "arrival_seq": int(row["arrival_seq"]), "outcome": outcome})
     final = {d: k for k, donors in resolver.merged.items() for d in donors}
@@ -211,12 +213,52 @@ def fold(rows: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame
     for at, a in resolver.articles.items():
         names = json.dumps(sorted(resolver.titled.get(at, ())))
         out.append({"kind": "article", "article_id": at, "outcome": None, **{c: a[c] for c in COLUMNS}, "content_identity_key": a["content_identity_key"], "metadata_json": json.dumps(a["metadata"], sort_keys=True), "merged_ids": sorted(resolver.merged.get(at, [])), "names": names})
+    return out
+
+
+def fold(rows: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
+    """fold_rows() of frames, whose rows may stand in any order."""
+    out = fold_rows(rows.sort_values("arrival_seq").to_dict("records"), before.to_dict("records") if before is not None else ())
     columns = ["kind", "article_id", "arrival_seq", "outcome", *COLUMNS, "content_identity_key", "metadata_json", "merged_ids", "names"]
     frame = pd.DataFrame(out, columns=columns)
     frame["arrival_seq"] = frame["arrival_seq"].astype("Int64")
     return frame.astype(object).where(frame.notna(), None) if len(frame) else frame
 
 
+#: Rows that are taken from a batch, and given on, at once.
+ROWS = 1000
+_ARROW = {"long": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
+_FOLDED = pa.schema([(n, _ARROW[t]) for n, t in (x.strip().split(" ") for x in f"component long, {OUTPUT}".split(","))])
+
+
+def fold_sorted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fold_rows() of one component after the other. Rows come sorted by component, what is stored first, then by arrival.
+
+    Components are small and many, so none has a frame or a batch of its own; held are the rows of one component.
+    """
+    component, stored, arrived, out = None, [], [], []
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            for row in batch.slice(at, ROWS).to_pylist():
+                if row["component"] != component:
+                    out += [{"component": component, **r} for r in fold_rows(arrived, stored)]
+                    component, stored, arrived = row["component"], [], []
+                    if len(out) >= ROWS:
+                        yield pa.RecordBatch.from_pylist(out, _FOLDED)
+                        out = []
+                (stored if row["arrival_seq"] is None else arrived).append(row)
+    out += [{"component": component, **r} for r in fold_rows(arrived, stored)]
+    for at in range(0, len(out), ROWS):
+        yield pa.RecordBatch.from_pylist(out[at : at + ROWS], _FOLDED)
+
+
+def folded(arrivals: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """component and OUTPUT: each component of arrivals (INPUT, component) folded into the articles that it has stored."""
+    rows = arrivals.unionByName(stored, allowMissingColumns=True) if stored is not None else arrivals
+    rows = rows.repartition(spread(rows.sparkSession), "component").sortWithinPartitions("component", "arrival_seq")
+    return rows.mapInArrow(fold_sorted, f"component long, {OUTPUT}")
+
+
 def identity_edges(rows: DataFrame) -> DataFrame:
     """(arrival_seq, key) for all keys by which the rule may link two rows."""
     link = urls.normalize_url
@@ -259,9 +301,9 @@ def resolve(arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = shaped(arrivals)
     placed = label(rows, identity_edges(rows))
-    folded = staged(placed.groupBy("component").applyInPandas(lambda df: fold(df.drop(columns="component")), OUTPUT), "folded")
-    outcomes = folded.where("kind = 'arrival'").select("arrival_seq", "article_id", "outcome")
-    return outcomes, folded.where("kind = 'article'").drop("kind", "arrival_seq", "outcome", "names")
+    found = staged(folded(placed).drop("component"), "folded")
+    outcomes = found.where("kind = 'arrival'").select("arrival_seq", "article_id", "outcome")
+    return outcomes, found.where("kind = 'article'").drop("kind", "arrival_seq", "outcome", "names")
 
 
 def identity_lookup(candidates: DataFrame, known: DataFrame) -> DataFrame:

@@ -34,6 +34,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for rows that take long in Python: as many as the session's shuffles have, and three for each core at least.
+
+    A few MB of such rows are work for all cores, but Spark reads and joins partitions by their size.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
 def mark() -> int:
     """A point in time for release()."""
     return len(_STAGED)

@@ -202,3 +202,15 @@ def test_report(spark, tmp_path):
     events = logical(events, "run_events")
     page = lambda **k: [r.id for r in report.event_page(events, t["publishers"], t["sources"], "r1", **k).collect()]
     assert page(level="error") == [3] and page(text="CAFÉ") == [2] and page(after=3, limit=1) == [4] and page(level="none") == []
+
+
+def test_components_are_folded_in_a_stream():
+    """Components have no frame each: one pass over sorted rows folds them, also where a batch ends within one."""
+    import pyarrow as pa
+
+    columns = {c: None for c in (*identity.COLUMNS, "publisher_id", "metadata_json", "url")}
+    said = [{**columns, "component": c, "arrival_seq": c * 10 + i, "url": f"https://e.org/{c}", "title": f"T{i}"} for c in range(30) for i in range(3)]
+    schema = pa.schema([(n, pa.int64() if n in ("component", "arrival_seq") else pa.string()) for n in said[0]])
+    got = [r for b in identity.fold_sorted(pa.RecordBatch.from_pylist(said[i : i + 7], schema) for i in range(0, 90, 7)) for r in b.to_pylist()]
+    assert [(r["component"], r["article_id"], r["outcome"]) for r in got if r["kind"] == "arrival"] == [(c, c * 10, o) for c in range(30) for o in ("created", "updated", "updated")]
+    assert sum(r["kind"] == "article" for r in got) == 30 and list(identity.fold_sorted([])) == []
