@@ -89,3 +89,11 @@ def test_small_tables_of_pages_are_work_for_all_cores(spark):
 
     plans.load()
     assert plans.QUERIES["article_fields"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_articles_are_given_on_a_few_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"content": PAGE, "url": f"https://e.org/{i}"} for i in range(2 * articles.ROWS + 1)])
+    found = list(articles.parse_articles([batch]))
+    assert [b.num_rows for b in found] == [articles.ROWS, articles.ROWS, 1] and len({r["url"] for b in found for r in b.to_pylist()}) == batch.num_rows
