@@ -29,7 +29,7 @@ def duplicate_stories(spark: SparkSession, folder: str) -> DataFrame:
     The parser runs once a page, before any shuffle; only hashes and keys are shuffled, with partial sums in each task.
     """
     pages = Tables(spark, folder).pages.select("url", F.col("html").alias("content"))
-    parsed = article_scan(pages).select(urls.normalize_url("url").alias("url"), "content_hash", "parse_status", texts.title_key("title").alias("key"))
+    parsed = article_scan(pages, {"ended_references": True}).select(urls.normalize_url("url").alias("url"), "content_hash", "parse_status", texts.title_key("title").alias("key"))
     story = F.coalesce(texts.content_identity(F.col("content_hash"), F.col("key")), F.col("url"))
     stories = parsed.groupBy(urls.host(F.col("url")).alias("host"), story.alias("story")).agg(F.count("*").alias("pages"), F.min("url").alias("first_url"), F.max("url").alias("last_url"), F.max("parse_status").alias("parse_status"))
     return stories.groupBy("host").agg(

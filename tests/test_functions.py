@@ -146,3 +146,17 @@ def test_links_and_display(spark):
     df = spark.createDataFrame([("https://c.example.org/start?x=1", "a b", "2025-01-02"), ("javascript:x", "a", "2025-01-02T03:04:05Z"), ("https://c.example.org/", "", "soon")], "b string, s string, t string")
     found = df.select(urls.control_link(F.col("b"), F.col("s")).alias("l"), dates.display(F.col("t")).alias("d")).collect()
     assert [tuple(r) for r in found] == [("https://c.example.org/start?x=1&source_id=a+b", "2025-01-02"), (None, "2025-01-02 03:04 UTC"), (None, "soon")]
+
+
+def test_cut_references_stay_as_they_are():
+    from broadsheet.sources.articles import article
+
+    assert texts.ended("a &amp; b&ouml; &#38; &nosuch; &amp") == "a &amp; b&ouml; &#38; &amp;nosuch; &amp;amp" and texts.ended("<script>a && b</script>&") == "<script>a && b</script>&amp;"
+    page = "<html><head><title>One &amp; two &amp</title></head><body></body></html>"
+    assert article(page)["title"] == "One & two &" and article(page, None, {"ended_references": True})["title"] == "One & two &amp"
+    assert article(page)["html_hash"] == article(page, None, {"ended_references": True})["html_hash"]
+
+
+def test_title_keys_of_cut_references(spark):
+    frame = spark.createDataFrame([("A &amp;&amp",), (None,)], "t string")
+    assert [r[0] for r in frame.select(texts.title_key(texts.ended_text("t"))).collect()] == ["a &&amp", ""]
