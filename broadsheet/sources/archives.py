@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from broadsheet.functions import dates, texts, urls
 
 from . import markup
-from .feeds import ITEM, _frame
+from .feeds import ITEM, _frame, items_of
 from .jsonapi import _config
 from .scratch import staged
 
@@ -23,8 +24,12 @@ DEFAULTS = {"item_selector": "article", "link_selector": "a[href]", "title_selec
 
 def archive_items(page: str | None, base: str | None, config: dict | None = None, deduplicate: bool = True) -> list[dict]:
     """Candidates of one page in order; cards without a link are left out, repeats within the page as well."""
+    return _cards(markup.parse(page or ""), base, config, deduplicate)
+
+
+def _cards(page: markup.Node, base: str | None, config: dict | None, deduplicate: bool) -> list[dict]:
     config, out, seen = DEFAULTS | (config or {}), [], set()
-    for card in markup.parse(page or "").select(config["item_selector"]):
+    for card in page.select(config["item_selector"]):
         link = card if card.tag == "a" and "href" in card.attrs else card.first(config["link_selector"])
         target = urls.resolve(base, link.attrs.get("href")) if link is not None else None
         if not target or (deduplicate and target in seen):
@@ -42,7 +47,11 @@ def archive_items(page: str | None, base: str | None, config: dict | None = None
 
 def next_page(page: str | None, base: str | None, selector: str) -> str | None:
     """Target of the next link as it would be fetched: its query stays as it is."""
-    link = markup.parse(page or "").first(selector)
+    return _next(markup.parse(page or ""), base, selector)
+
+
+def _next(page: markup.Node, base: str | None, selector: str) -> str | None:
+    link = page.first(selector)
     return urls.resolve(base, link.attrs.get("href"), identity=False) if link is not None else None
 
 
@@ -60,10 +69,15 @@ def archive_scan(documents: DataFrame, config: dict | None = None, deduplicate:
     return documents.select("url", F.explode(parse_archive(F.col("content"), F.col("url"), config, deduplicate)).alias("i")).select(F.col("url").alias("page_url"), "i.*")
 
 
-@F.pandas_udf(T.StringType())
-def _follow(page: pd.Series, base: pd.Series, said: pd.Series) -> pd.Series:
-    found = [(p, b, _config(c).get("next_selector")) for p, b, c in zip(page, base, said, strict=True)]
-    return pd.Series([next_page(p, b, s) if s else None for p, b, s in found], dtype=object)
+_STEP = T.StructType([*ITEM.fields, T.StructField("next", T.StringType())])
+
+
+def _step(row: dict, deduplicate: bool) -> Iterator[dict]:
+    """The candidates of a page, then where it leads to, from one tree."""
+    page, config = markup.parse(row["content"] or ""), _config(row["config"])
+    yield from _cards(page, row["page_url"], config, deduplicate)
+    if (selector := config.get("next_selector")) and (target := _next(page, row["page_url"], selector)):
+        yield {"next": target}
 
 
 def archive_walk(documents: DataFrame, roots: DataFrame, selector: str | None = None, config: dict | None = None, max_pages: int = 10, preserve_duplicates: bool = False) -> DataFrame:
@@ -86,9 +100,9 @@ def archive_walk(documents: DataFrame, roots: DataFrame, selector: str | None =
     visited, found, number = frontier.select("root", "url"), None, 0
     while True:
         pages = documents.select("url", "content").join(frontier, "url")
-        pages = pages.select("root", "root_url", "config", F.col("url").alias("page_url"), parse_archive(F.col("content"), F.col("url"), F.col("config"), not preserve_duplicates).alias("items"), _follow("content", "url", "config").alias("next"))
-        pages = staged(pages, "pages")
-        items = pages.select("root", "root_url", "page_url", F.lit(number).alias("page"), F.explode("items").alias("i")).select("root", "root_url", "page_url", "page", "i.*")
+        pages = pages.select("root", "root_url", "config", F.col("url").alias("page_url"), "content")
+        pages = staged(items_of(pages, lambda row: _step(row, not preserve_duplicates), _STEP, ["root", "root_url", "config", "page_url"]), "pages")
+        items = pages.where("next is null").select("root", "root_url", "page_url", F.lit(number).alias("page"), *ITEM.names)
         found = items if found is None else found.unionByName(items)
         number += 1
         following = pages.where("next is not null").where(F.lit(number) < most).select("root", "root_url", F.col("next").alias("url"), "config")
