@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,16 +101,63 @@ def feed_items(payload, base: str | None) -> list[dict]:
     return out
 
 
-def sitemap_entries(payload, base: str | None) -> list[dict]:
-    """Entries of a sitemap or of an index of sitemaps."""
-    document, out = root(payload), []
-    index = document is not None and _name(document) == "sitemapindex"
-    for element in document if document is not None else ():
-        if _name(element) == ("sitemap" if index else "url"):
-            target, raw = urls.resolve(base, _said(_child(element, "loc")), identity=not index), _said(_child(element, "lastmod"))
-            if target:
-                out.append({"position": len(out), "url": target, "last_modified": dates.parse(raw), "last_modified_raw": raw, "is_index": index})
-    return out
+class _Nothing:
+    """Takes in what a parser reads and keeps none of it."""
+
+    def start(self, tag, attrs):
+        pass
+
+    def end(self, tag):
+        pass
+
+    def data(self, text):
+        pass
+
+    def close(self):
+        return True
+
+
+def _readable(payload: bytes | str | None) -> bytes | str | None:
+    """The payload in the form that root() reads, without a tree; None if malformed."""
+    for attempt in (payload, payload.decode("utf-8", "replace") if isinstance(payload, bytes) else None):
+        try:
+            if attempt:
+                parser = ET.XMLParser(target=_Nothing())
+                parser.feed(attempt)
+                parser.close()
+                return attempt
+        except (ET.ParseError, LookupError, ValueError):
+            continue
+    return None
+
+
+#: Bytes or characters of a sitemap that are parsed at once.
+PIECE = 65536
+
+
+def sitemap_entries(payload, base: str | None) -> Iterator[dict]:
+    """Entries of a sitemap or of an index of sitemaps, one by one: no tree of the whole is made. A malformed one has none."""
+    said, position, open_ = _readable(payload), 0, []
+    parser = ET.XMLPullParser(("start", "end"))
+    for at in range(0, len(said) + PIECE, PIECE) if said else ():
+        if at < len(said):
+            parser.feed(said[at : at + PIECE])
+        else:
+            parser.close()  # gives what the parser has held back
+        for event, element in parser.read_events():
+            if event == "start":
+                open_.append(element)
+                continue
+            open_.pop()
+            if len(open_) != 1:
+                continue
+            index = _name(open_[0]) == "sitemapindex"
+            if _name(element) == ("sitemap" if index else "url"):
+                target, raw = urls.resolve(base, _said(_child(element, "loc")), identity=not index), _said(_child(element, "lastmod"))
+                if target:
+                    yield {"position": position, "url": target, "last_modified": dates.parse(raw), "last_modified_raw": raw, "is_index": index}
+                    position += 1
+            open_[0].remove(element)
 
 
 def _frame(rows: list[list[dict]]) -> pd.Series:
@@ -120,18 +169,38 @@ def parse_feed(payload: pd.Series, base: pd.Series) -> pd.Series:
     return _frame([feed_items(p, b) for p, b in zip(payload, base, strict=True)])
 
 
-@F.pandas_udf(T.ArrayType(ENTRY))
-def parse_sitemap(payload: pd.Series, base: pd.Series) -> pd.Series:
-    return _frame([sitemap_entries(p, b) for p, b in zip(payload, base, strict=True)])
+#: Items that are given on at once.
+ROWS = 500
+_ARROW = {T.StringType(): pa.string(), T.TimestampType(): pa.timestamp("us", tz="UTC"), T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.BooleanType(): pa.bool_()}
+
+
+def items_of(documents: DataFrame, parse: Callable[[dict], Iterable[dict]], schema: T.StructType, kept: list[str]) -> DataFrame:
+    """kept columns of documents, and one row for each item of parse(row), whatever their number: documents are read one by one, items given on a few at a time."""
+    out = T.StructType([*[documents.schema[k] for k in kept], *schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, ready = pa.schema([(f.name, _ARROW[f.dataType]) for f in out.fields]), []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                carried = {k: row[k] for k in kept}
+                for item in parse(row):
+                    ready.append(carried | item)
+                    if len(ready) == ROWS:
+                        yield pa.RecordBatch.from_pylist(ready, arrow)
+                        ready = []
+        yield pa.RecordBatch.from_pylist(ready, arrow)
+
+    return documents.mapInArrow(run, out)
 
 
 def feed_scan(documents: DataFrame) -> DataFrame:
     """documents (url, content) -> one row for each item."""
-    return documents.select("url", F.explode(parse_feed("content", "url")).alias("i")).select(F.col("url").alias("feed_url"), "i.*")
+    return items_of(documents.select(F.col("url").alias("feed_url"), "content"), lambda row: feed_items(row["content"], row["feed_url"]), ITEM, ["feed_url"])
 
 
 def sitemap_scan(documents: DataFrame) -> DataFrame:
-    return documents.select("url", F.explode(parse_sitemap("content", "url")).alias("e")).select(F.col("url").alias("sitemap_url"), "e.*")
+    return items_of(documents.select(F.col("url").alias("sitemap_url"), "content"), lambda row: sitemap_entries(row["content"], row["sitemap_url"]), ENTRY, ["sitemap_url"])
 
 
 def sitemap_walk(documents: DataFrame, roots: DataFrame, max_sitemaps: int = 20) -> DataFrame:

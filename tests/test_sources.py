@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from broadsheet.sources import archives, articles, feeds, jsonapi, markup, registry
@@ -97,3 +99,26 @@ def test_articles_are_given_on_a_few_at_a_time():
     batch = pa.RecordBatch.from_pylist([{"content": PAGE, "url": f"https://e.org/{i}"} for i in range(2 * articles.ROWS + 1)])
     found = list(articles.parse_articles([batch]))
     assert [b.num_rows for b in found] == [articles.ROWS, articles.ROWS, 1] and len({r["url"] for b in found for r in b.to_pylist()}) == batch.num_rows
+
+
+def test_large_sitemaps_are_read_piece_by_piece():
+    from types import GeneratorType
+
+    said = "<urlset>" + "".join(f"<url><loc>/o/{i}</loc></url>" for i in range(10_000)) + "</urlset>"
+    for payload in (said, said.encode()):
+        found = feeds.sitemap_entries(payload, "https://e.org/s.xml")
+        assert isinstance(found, GeneratorType) and [(e["position"], e["url"]) for e in found] == [(i, f"https://e.org/o/{i}") for i in range(10_000)]
+    assert list(feeds.sitemap_entries(said[:-1], "https://e.org/s.xml")) == [] and list(feeds.sitemap_entries(None, None)) == []
+
+
+def test_items_come_without_arrays(spark):
+    docs = spark.createDataFrame([("https://e.org/api", json.dumps([{"url": f"/{i}"} for i in range(1200)])), ("https://e.org/none", "[]")], "url string, content string")
+    found = jsonapi.json_scan(docs, {"max_items": 1000})
+    assert found.count() == 1000 and "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_archive_pages_are_parsed_once(monkeypatch):
+    seen, parse = [], archives.markup.parse
+    monkeypatch.setattr(archives.markup, "parse", lambda text: seen.append(text) or parse(text))
+    row = {"content": '<article><a href="/n">N</a></article><a class="next" href="?p=2">next</a>', "config": json.dumps({"next_selector": "a.next"}), "page_url": "https://e.org/a"}
+    assert [(r.get("url"), r.get("next")) for r in archives._step(row, True)] == [("https://e.org/n", None), (None, "https://e.org/a?p=2")] and len(seen) == 1
