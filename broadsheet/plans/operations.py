@@ -266,11 +266,18 @@ def audit_two_runs(spark, d):
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN epoch(o_orderdate) + 34200 WHEN 1 THEN epoch(o_orderdate) + 34200 WHEN 2 THEN epoch(o_orderdate) ELSE CAST('-inf' AS DOUBLE) END AS score,
   CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT09:30:00.000000Z') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT09:30:00.000000Z') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00.000000Z') WHEN 3 THEN 'soon' END AS stamp, o_orderkey % 5 = 0 AS strict FROM orders""")
 def time_scores(spark, d):
-    """Scores of times, their canonical form, and whether they state an offset; what is no time scores least."""
-    day = F.col("o_orderdate")
+    """Scores of times, their canonical form, and whether they state an offset; what is no time scores least.
+
+    The texts state an order's day; what it has of a time of day is added to the score. An order without a day has a form, but neither score nor stamp.
+    """
+    key, at = F.col("o_orderkey"), F.col("o_orderdate")
+    dated = F.coalesce((key % 5).between(0, 2), F.lit(False))
+    day = F.coalesce(at, F.lit("1970-01-01").cast("date"))
     forms = F.array(F.date_format(day, "yyyy-MM-dd'T09:30:00Z'"), F.date_format(day, "yyyy-MM-dd '09:30:00'"), F.date_format(day, "yyyy-MM-dd"), F.lit(" soon "), F.lit(""))
-    x = Tables(spark, d).orders.select("o_orderkey", F.element_at(forms, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("raw"))
-    return x.select("o_orderkey", dates.score(F.col("raw")).alias("score"), dates.stamp(F.col("raw")).alias("stamp"), dates.strict_timestamp(F.col("raw")).isNotNull().alias("strict"))
+    clock = (F.hour(at) * 3600 + F.minute(at) * 60 + F.date_part(F.lit("SECOND"), at)).cast("double")
+    x = Tables(spark, d).orders.select("o_orderkey", F.get(forms, (key % 5).cast("int")).alias("raw"), F.when(dated, clock).otherwise(0.0).alias("clock"))
+    raw = F.col("raw")
+    return x.select("o_orderkey", (dates.score(raw) + F.col("clock")).alias("score"), F.when(F.col("clock").isNotNull(), dates.stamp(raw)).alias("stamp"), F.when(key.isNotNull(), dates.strict_timestamp(raw).isNotNull()).alias("strict"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'col' WHEN event_id % 3 = 1 THEN 'meta' END AS reason, CAST(CASE WHEN event_id % 4 = 0 THEN event_id WHEN event_id % 4 = 1 THEN 7 WHEN event_id % 4 = 2 THEN 2 ELSE 1 END AS BIGINT) AS images, CASE WHEN event_id % 2 = 0 THEN 'parse_error,timeout' ELSE 'timeout' END AS classes FROM events""")

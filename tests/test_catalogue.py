@@ -37,6 +37,16 @@ def test_query(spark, duck, name):
         assert found.count() > 0
 
 
+def test_time_scores_of_odd_orders(spark, tmp_path):
+    """Orders with a time of day, keys below zero, no key and no date are as the query's SQL has them."""
+    odd = "SELECT * REPLACE (CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 13 > 0 THEN o_orderdate + to_microseconds(o_orderkey * 57777777) END AS o_orderdate)"
+    with duckdb.connect() as c:
+        c.execute(f"COPY ({odd} FROM '{FOLDER}/orders.parquet') TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+        expected = plain(c.execute(plans.SQL["time_scores"]).df())
+    assert plain(plans.QUERIES["time_scores"](spark, str(tmp_path)).toPandas()) == expected
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
