@@ -149,14 +149,32 @@ def duration_ms(start: Column, end: Column) -> Column:
 
 
 def lenient_timestamp(value: Column) -> Column:
-    """Timestamp of ISO-like text, else null."""
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd", "dd.MM.yyyy")])
+    """Timestamp of ISO-like text, else null. Text without an offset is in UTC, whatever the session's zone."""
+    said = F.when(value.rlike(r"T.*(Z|[+-]\d\d:\d\d)$"), value).otherwise(F.concat(value, F.lit("Z")))
+    read = lambda form: F.try_to_timestamp(said, F.lit(form + "XXX"))
+    # One form fits at most, and trying those that don't takes far longer than telling them apart.
+    return F.when(value.contains("T"), read("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")).when(value.contains(" "), read("yyyy-MM-dd HH:mm:ss[.SSSSSS]")).when(value.contains("."), read("dd.MM.yyyy")).when(value.contains("-"), read("yyyy-MM-dd"))
+
+
+#: Microseconds of an hour, a minute, a second and of one.
+_CLOCK = (3_600_000_000, 60_000_000, 1_000_000, 1)
+
+
+def _utc(at: Column, between: str, clock: str, *units: int) -> Column:
+    """Day and time of day in UTC as text, whatever the session's zone; the clock has one part a unit."""
+
+    def said(micros: Column) -> Column:
+        rest = F.pmod(micros, F.lit(86_400_000_000))
+        parts = [F.floor(F.pmod(rest, F.lit(turn)) / unit) for unit, turn in zip(units, (86_400_000_000, *units), strict=False)]
+        return F.concat(F.date_format(F.date_from_unix_date(((micros - rest) / 86_400_000_000).cast("int")), "yyyy-MM-dd"), F.lit(between), F.format_string(clock, *parts))
+
+    return F.get(F.transform(F.array(F.unix_micros(at)), said), F.lit(0))  # so that a time is read once, not once a part
 
 
 def strict_timestamp(value: Column) -> Column:
     """Timestamp of ISO text that states its offset; null for all else."""
     text = F.trim(value)
-    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d(:\d\d([.]\d+)?)?\s*([Zz]|[+-]\d\d:?\d\d)$"), F.coalesce(text.try_cast("timestamp"), lenient_timestamp(F.upper(text))))
+    return F.when(text.rlike(r"^(\d{4}|[+]\d{5,})-\d\d-\d\d[Tt ]\d\d:\d\d(:\d\d([.]\d+)?)?\s*([Zz]|[+-]\d\d:?\d\d)$"), F.coalesce(text.try_cast("timestamp"), lenient_timestamp(F.upper(text))))
 
 
 def score(value: Column) -> Column:
@@ -173,7 +191,7 @@ def first_valid(*values: Column) -> Column:
 def stamp(value: Column) -> Column:
     """A time as ISO text in UTC; other text stays as it is, empty text is null."""
     text = F.nullif(F.trim(value), F.lit(""))
-    return F.coalesce(F.date_format(lenient_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), text)
+    return F.coalesce(_utc(lenient_timestamp(text), "T", "%02d:%02d:%02d.%06dZ", *_CLOCK), text)
 
 
 def bounds(first: Column, last: Column) -> tuple[Column, Column]:
@@ -191,7 +209,7 @@ def bounds(first: Column, last: Column) -> tuple[Column, Column]:
 def display(raw: Column) -> Column:
     """Time as shown: a date stays a date, a time is in UTC to the minute, other text stays as it is."""
     text = F.trim(raw)
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).otherwise(F.coalesce(F.date_format(lenient_timestamp(text), "yyyy-MM-dd HH:mm 'UTC'"), text))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).otherwise(F.coalesce(_utc(lenient_timestamp(text), " ", "%02d:%02d UTC", *_CLOCK[:2]), text))
 
 
 SQL_FUNCTIONS = {"parse_datetime": parse_datetime, "date_problem": date_problem}

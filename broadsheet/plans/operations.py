@@ -268,16 +268,18 @@ def audit_two_runs(spark, d):
 def time_scores(spark, d):
     """Scores of times, their canonical form, and whether they state an offset; what is no time scores least.
 
-    The texts state an order's day; what it has of a time of day is added to the score. An order without a day has a form, but neither score nor stamp.
+    The texts state an order's day; what they say beyond it is added to the order's own time. An order without a day has a form, but neither score nor stamp.
     """
     key, at = F.col("o_orderkey"), F.col("o_orderdate")
     dated = F.coalesce((key % 5).between(0, 2), F.lit(False))
-    day = F.coalesce(at, F.lit("1970-01-01").cast("date"))
+    day = F.coalesce(at.cast("date"), F.lit("1970-01-01").cast("date"))
     forms = F.array(F.date_format(day, "yyyy-MM-dd'T09:30:00Z'"), F.date_format(day, "yyyy-MM-dd '09:30:00'"), F.date_format(day, "yyyy-MM-dd"), F.lit(" soon "), F.lit(""))
-    clock = (F.hour(at) * 3600 + F.minute(at) * 60 + F.date_part(F.lit("SECOND"), at)).cast("double")
-    x = Tables(spark, d).orders.select("o_orderkey", F.get(forms, (key % 5).cast("int")).alias("raw"), F.when(dated, clock).otherwise(0.0).alias("clock"))
-    raw = F.col("raw")
-    return x.select("o_orderkey", (dates.score(raw) + F.col("clock")).alias("score"), F.when(F.col("clock").isNotNull(), dates.stamp(raw)).alias("stamp"), F.when(key.isNotNull(), dates.strict_timestamp(raw).isNotNull()).alias("strict"))
+    # By its parts, as the order's time has no zone and the session may have any.
+    seconds = ((F.unix_date(at.cast("date")).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60) * 1_000_000 + (F.date_part(F.lit("SECOND"), at) * 1_000_000).cast("long")) / 1e6
+    x = Tables(spark, d).orders.select("o_orderkey", F.get(forms, (key % 5).cast("int")).alias("raw"), dated.alias("dated"), F.unix_date(day).cast("long").alias("day"), seconds.alias("seconds"))
+    raw, dated, seconds = F.col("raw"), F.col("dated"), F.col("seconds")
+    stamp = F.regexp_replace(dates.stamp(raw), r"^[+]", "")  # of years from 10000 on
+    return x.select("o_orderkey", F.when(dated, seconds + (dates.score(raw) - F.col("day") * 86400)).otherwise(dates.score(raw)).alias("score"), F.when(~dated | seconds.isNotNull(), stamp).alias("stamp"), F.when(key.isNotNull(), dates.strict_timestamp(raw).isNotNull()).alias("strict"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'col' WHEN event_id % 3 = 1 THEN 'meta' END AS reason, CAST(CASE WHEN event_id % 4 = 0 THEN event_id WHEN event_id % 4 = 1 THEN 7 WHEN event_id % 4 = 2 THEN 2 ELSE 1 END AS BIGINT) AS images, CASE WHEN event_id % 2 = 0 THEN 'parse_error,timeout' ELSE 'timeout' END AS classes FROM events""")

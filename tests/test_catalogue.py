@@ -47,6 +47,23 @@ def test_time_scores_of_odd_orders(spark, tmp_path):
     assert plain(plans.QUERIES["time_scores"](spark, str(tmp_path)).toPandas()) == expected
 
 
+@pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/New_York"])
+def test_time_scores_in_any_zone(spark, tmp_path, zone):
+    """The session's zone, its missing hours and years of five digits change nothing; scores are the SQL's to the last bit."""
+    odd = "SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '12345-03-08 02:30:00' WHEN o_orderkey % 3 > 0 THEN o_orderdate + to_microseconds(o_orderkey * 57777777) END AS o_orderdate)"
+    with duckdb.connect() as c:
+        c.execute(f"COPY ({odd} FROM '{FOLDER}/orders.parquet') TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+        expected = sorted(map(str, c.execute(plans.SQL["time_scores"]).fetchall()))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        found = [tuple(r) for r in plans.QUERIES["time_scores"](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert sorted(map(str, found)) == expected
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -148,6 +148,20 @@ def test_links_and_display(spark):
     assert [tuple(r) for r in found] == [("https://c.example.org/start?x=1&source_id=a+b", "2025-01-02"), (None, "2025-01-02 03:04 UTC"), (None, "soon")]
 
 
+def test_times_are_in_utc_whatever_the_session_says(spark):
+    cases = [("2024-03-10 02:30:00", 1710037800.0, "2024-03-10T02:30:00.000000Z", "2024-03-10 02:30 UTC"), ("2024-03-10T02:30:00.000001-05:00", 1710055800.000001, "2024-03-10T07:30:00.000001Z", "2024-03-10 07:30 UTC")]
+    cases += [("1969-12-31", -86400.0, "1969-12-31T00:00:00.000000Z", "1969-12-31"), ("10.03.2024", 1710028800.0, "2024-03-10T00:00:00.000000Z", "2024-03-10 00:00 UTC"), ("soon", float("-inf"), "soon", "soon")]
+    df = spark.createDataFrame([(c[0],) for c in cases], "t string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            found = df.select("t", dates.score(F.col("t")), dates.stamp(F.col("t")), dates.display(F.col("t"))).collect()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+        assert [tuple(r) for r in found] == cases
+
+
 def test_cut_references_stay_as_they_are():
     from broadsheet.sources.articles import article
 
