@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
 from itertools import groupby, product
@@ -101,11 +102,20 @@ def _in_words(tokens: list[tuple[str, str, bool]]) -> datetime | None:
     return datetime(int(said["y"][1]), month, int(said["d"][1])) if month else None
 
 
+#: The form of most dates: a day, or a second in UTC.
+_ISO = re.compile("[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}:[0-9]{2}Z?)?")
+
+
 def parse(value: str | None) -> datetime | None:
     """Time in UTC: ISO, then mail dates, then dates in figures or words. None for all else."""
     text = html.unescape(value or "").strip()
     if not text:
         return None
+    if _ISO.fullmatch(text):
+        try:
+            return datetime.fromisoformat(text).replace(tzinfo=UTC)
+        except ValueError:
+            pass
     tokens = _tokens(text)
     if _fraction(tokens) is False:
         return None

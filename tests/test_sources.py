@@ -122,3 +122,36 @@ def test_archive_pages_are_parsed_once(monkeypatch):
     monkeypatch.setattr(archives.markup, "parse", lambda text: seen.append(text) or parse(text))
     row = {"content": '<article><a href="/n">N</a></article><a class="next" href="?p=2">next</a>', "config": json.dumps({"next_selector": "a.next"}), "page_url": "https://e.org/a"}
     assert [(r.get("url"), r.get("next")) for r in archives._step(row, True)] == [("https://e.org/n", None), (None, "https://e.org/a?p=2")] and len(seen) == 1
+
+
+def test_pages_are_walked_once_not_once_a_tag(monkeypatch):
+    walked, walk = [], markup.Node.walk
+    monkeypatch.setattr(markup.Node, "walk", lambda self: walked.append(self.tag) or walk(self))
+    assert articles.article(PAGE, "https://e.org/1")["parse_status"] == "success" and "#document" not in walked
+
+
+def test_plain_pieces_are_read_as_by_the_standard_parser(monkeypatch):
+    from html.parser import HTMLParser
+
+    def told(node):
+        return [node.tag, *node.attrs.items(), "".join(c if isinstance(c, str) else str(told(c)) for c in node.children)]
+
+    odd = ["<p>", "</p>", '<P class="x" class="y">', "<a href='/y&amp;z'>", "<a href=x>", '<a title="a>b"/>', '<a title="', '<a href="1"rel="2">', "<br/>", "<img alt='&quot;' />", "<script>", "</SCRIPT >", '<script type="x">a<b', "</script>", "<style/>", "<title>", "<!-- a > b -->", "<!--x-->", "<!-->", "<!doctype html>", "<![CDATA[", "<?php ?>", "</ >", "<", "&amp", "&lt;", "text ", '<p\x0bid="x">', "<li>", "<td>", "</b\n>", "<plaintext>"]
+    pages = ["".join(odd[(i * j * j + i) % len(odd)] for j in range(1, 2 + i % 9)) for i in range(3000)]
+    found = [told(markup.parse(p)) for p in pages]
+    monkeypatch.setattr(markup._Builder, "goahead", HTMLParser.goahead)
+    assert found == [told(markup.parse(p)) for p in pages]
+    document = markup.parse("<p class=x>1</p><div><p>2</p><b>3</b></div>")
+    assert [[n.text() for n in document.select(s)] for s in ("p", "P.x", "div > p", "p, b", "*", "div p:not(.x)", "i")] == [["1", "2"], ["1"], ["2"], ["1", "2", "3"], ["1", "2 3", "2", "3"], ["2"], []]
+
+
+def test_plain_links_resolve_as_all_others(monkeypatch):
+    import re
+
+    from broadsheet.functions import urls
+
+    links = ["/order/1?utm_source=x", "/a/./b", "/a/../b", "/a//b", "/a/", "/", "//e.net/x", "https://e.net/i.png", "HTTPS://e.net/x", "https://u@e.net/x", "https://e.net:443/x", "/x?utm_a=1&b=2", "/x?b=2", "/x#f", "/...", "/.x", "x", "ftp://e.net/x", "/é"]
+    bases = ["https://e.org/p/1", "http://e.org", "https://E.org/", "https://e.org:443/", "https://[", "", None]
+    found = [urls.resolve(b, link) for b in bases for link in links]
+    monkeypatch.setattr(urls, "_PLAIN", re.compile("(?!)"))
+    assert found == [urls.resolve(b, link) for b in bases for link in links] and found[0] == "https://e.org/order/1"
